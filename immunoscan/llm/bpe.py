@@ -14,7 +14,8 @@ import base64
 import heapq
 import sys
 import types
-from itertools import chain
+import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, table
 
-REMEMBER = 400_000
+REMEMBER = 1_000_000  # pre-tokens that a worker keeps
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -69,34 +70,43 @@ def slot(h: int, d: int, n: int) -> int:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merges of the lowest rank first, the leftmost among equal ones."""
-    n = len(piece)
-    end = list(range(1, n + 1))
-    after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    """Merges of the lowest rank first, the leftmost among equal ones.
+
+    A heap entry is rank * n + place; it is stale if the pair that starts at the place has another rank by now.
+    """
+    n, get, push, pop = len(piece), ranks.get, heapq.heappush, heapq.heappop
+    pair = [get(piece[i : i + 2], -1) for i in range(n)]
+    pair[-1] = -1
+    heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
     heapq.heapify(heap)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = after[i] if live[i] else n
-        if j >= n or end[j] != stop:
+        r, i = divmod(pop(heap), n)
+        if pair[i] != r:
             continue
-        end[i], live[j] = end[j], False
+        j = after[i]
         after[i] = k = after[j]
+        pair[j] = pair[i] = -1
         if k < n:
             before[k] = i
-            if (r := ranks.get(piece[i : end[k]])) is not None:
-                heapq.heappush(heap, (r, i, end[k]))
-        if (h := before[i]) >= 0 and (r := ranks.get(piece[h : end[i]])) is not None:
-            heapq.heappush(heap, (r, h, end[i]))
+            if (r := get(piece[i : after[k]], -1)) >= 0:
+                pair[i] = r
+                push(heap, r * n + i)
+        h = before[i]
+        if h >= 0:
+            pair[h] = r = get(piece[h:k], -1)
+            if r >= 0:
+                push(heap, r * n + h)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = after[i]
+        j = after[i]
+        out.append(ranks[piece[i:j]])
+        i = j
     return out
 
 
 class Tokens(dict):
-    """Pre-token to ids. A pre-token that is not yet known goes through both tiers."""
+    """Pre-token to the bytes of its 32-bit ids. A pre-token that is not yet known goes through both tiers."""
 
     def __init__(self, ranks: dict[bytes, int], shift: np.ndarray, slots: np.ndarray):
         import xxhash
@@ -112,10 +122,10 @@ class Tokens(dict):
         i = self.slots[-d - 1 if d < 0 else slot(h, d, n)]
         return self.ids[i] if self.keys[i] == piece else None
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
+    def __missing__(self, token: str) -> bytes:
         piece = token.encode()
         one = self.whole(piece)
-        out = (one,) if one is not None else tuple(merge(piece, self.ranks))
+        out = array("i", (one,) if one is not None else merge(piece, self.ranks)).tobytes()
         if len(self) >= REMEMBER:
             self.clear()
         if len(token) <= 64:
@@ -123,6 +133,10 @@ class Tokens(dict):
         return out
 
 
+def text_ids(text: str, tokens: Tokens, split) -> np.ndarray:
+    return np.frombuffer(b"".join(map(tokens.__getitem__, split(text))), np.int32)
+
+
 def _kept(name: str, make):
     """One value a worker process, whatever the number of its tasks."""
     held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
@@ -141,20 +155,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     def run(batches):
         import regex
 
-        tokens = _kept(f"tokens{hash((len(ranks_size), pattern))}", lambda: Tokens(*shared.value))
+        tokens = _kept(f"tokens{name}", lambda: Tokens(*shared.value))
         split = regex.compile(pattern).findall
-        get = tokens.__getitem__
         for batch in batches:
             flat, sizes = [], []
             for text in batch.column("text").to_pylist():
-                ids = np.fromiter(chain.from_iterable(map(get, split(text))), np.int32) if text else np.zeros(0, np.int32)
+                ids = text_ids(text, tokens, split) if text else np.zeros(0, np.int32)
                 flat.append(ids)
                 sizes.append(ids.size)
             off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(id_col), ids], names=[id_col, "ids"])
 
-    ranks_size = range(len(ranks))
+    name = zlib.crc32(repr((pattern, sorted(ranks.items()))).encode())  # which vocabulary a worker remembers
     return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, ids array<int>")
 
 
