@@ -1,4 +1,287 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the fixture views; their SQL is in oracle.py."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.dims import LINEAR, METHODS
+from ..operators import assays as A
+from ..operators import motifs as M
+from ..operators import peptides as P
+from ..operators import structure as S
+from ..operators import tracks as T
+from ..sources import fixtures as X
+from .oracle import ORACLES
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def a2_normalise(spark: SparkSession, d: str) -> DataFrame:
+    raw = X.table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.regexp_replace("text", "[^A-Za-z \n]", "").alias("t"))
+    return raw.select("seq_id", F.upper(F.regexp_replace("t", "[ \n]", "")).alias("seq")).where("seq <> ''")
+
+
+@query
+def a5_record_cap(spark: SparkSession, d: str) -> DataFrame:
+    return X.sequences(spark, d).select("seq_id", "organism", "n").orderBy("seq_id").limit(100)
+
+
+@query
+def a6_wide_scores(spark: SparkSession, d: str) -> DataFrame:
+    t = T.linear_track(X.sequences(spark, d))
+    wide = t.groupBy("seq_id", "pos", "aa").pivot("method", LINEAR).agg(F.first("score"))
+    return wide.select("seq_id", "pos", "aa", *[F.col(f"`{m}`").alias(m.replace("-", "_")) for m in LINEAR])
+
+
+@query
+def a9_dense_export(spark: SparkSession, d: str) -> DataFrame:
+    s = X.sequences(spark, d)
+    t = T.linear_track(s).groupBy("seq_id", "pos").pivot("method", LINEAR).agg(F.first("score"))
+    out = T.residues(s).select("seq_id", "pos", "aa").join(t, ["seq_id", "pos"], "left").na.fill(0.0)
+    return out.select("seq_id", "pos", "aa", *[F.col(f"`{m}`").alias(m.replace("-", "_")) for m in LINEAR])
+
+
+@query
+def b1_residues(spark: SparkSession, d: str) -> DataFrame:
+    return T.residues(X.sequences(spark, d)).select("seq_id", "pos", "aa")
+
+
+@query
+def b3_linear_track(spark: SparkSession, d: str) -> DataFrame:
+    return T.linear_track(X.sequences(spark, d)).select("seq_id", "method", "pos", "score")
+
+
+@query
+def b4_product_track(spark: SparkSession, d: str) -> DataFrame:
+    return T.product_track(X.sequences(spark, d)).select("seq_id", "pos", "score")
+
+
+@query
+def b5_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    t = T.linear_track(X.sequences(spark, d)).groupBy("seq_id", "method").agg((F.sum("total").cast("double") / (7000 * F.count("*"))).alias("mean"))
+    fixed = F.create_map(*[x for m in LINEAR if METHODS[m][1] for x in (F.lit(m), F.lit(METHODS[m][1]))])[F.col("method")]
+    return t.select("seq_id", "method", F.round(F.coalesce(fixed, "mean"), 6).alias("threshold"))
+
+
+@query
+def b6_regions(spark: SparkSession, d: str) -> DataFrame:
+    return T.regions(X.sequences(spark, d), methods=["kolaskar-tongaonkar"]).select("seq_id", "start", "end", "peptide", "score")
+
+
+@query
+def b7_all_methods(spark: SparkSession, d: str) -> DataFrame:
+    return T.regions(X.sequences(spark, d))
+
+
+@query
+def b8_score_at(spark: SparkSession, d: str) -> DataFrame:
+    s = X.sequences(spark, d)
+    at = s.select("seq_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 4, 30, 60)])).alias("pos"))
+    t = T.linear_track(s, ["parker"]).select("seq_id", "pos", "score")
+    return at.join(t, ["seq_id", "pos"], "left")
+
+
+@query
+def b9_aligned_track(spark: SparkSession, d: str) -> DataFrame:
+    s = X.sequences(spark, d)
+    return T.residues(s).select("seq_id", "pos", "aa").join(T.linear_track(s, ["parker"]).select("seq_id", "pos", "score"), ["seq_id", "pos"], "left")
+
+
+@query
+def b10_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return X.all_sequences(spark, d).where("n not between 60 and 1800").select("seq_id", F.expr("case when n < 60 then 'short' else 'long' end").alias("reason"))
+
+
+@query
+def b11_track_summary(spark: SparkSession, d: str) -> DataFrame:
+    t = T.linear_track(X.sequences(spark, d))
+    return t.groupBy("seq_id", "method").agg(F.max("score").alias("top"), F.min("score").alias("low"), F.round(F.sum("total").cast("double") / (7000 * F.count("*")), 6).alias("mean"))
+
+
+@query
+def b12_top_spans(spark: SparkSession, d: str) -> DataFrame:
+    t = T.linear_track(X.sequences(spark, d), ["parker"])
+    cut = t.withColumn("cut", F.expr("percentile(total, 0.8) over (partition by seq_id)")).where("total >= cut")
+    runs = T.islands(cut, ["seq_id"], 4, (F.sum("total") * 1000 / F.count("*")).alias("mean"))
+    rank = F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("mean"), "start"))
+    return runs.withColumn("rank", rank.cast("long")).where("rank <= 5").select("seq_id", "start", "end", "rank")
+
+
+@query
+def b13_top_sites(spark: SparkSession, d: str) -> DataFrame:
+    s = X.sequences(spark, d)
+    g = M.n_glycosylation(s).where("score >= 0.5").join(s.select("seq_id", "n"), "seq_id")
+    g = g.withColumn("rank", F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("score"), F.desc("pos"))).cast("long")).where("rank <= 5")
+    return g.select("seq_id", "rank", "pos", F.greatest(F.lit(1).cast("long"), F.col("pos") - 1).alias("lo"), F.least("n", F.col("pos") + 1).alias("hi"))
+
+
+@query
+def c1_votes(spark: SparkSession, d: str) -> DataFrame:
+    return T.votes(X.sequences(spark, d))
+
+
+@query
+def c3_consensus_regions(spark: SparkSession, d: str) -> DataFrame:
+    return T.consensus(X.sequences(spark, d)).select("seq_id", "start", "end", "length", "top")
+
+
+@query
+def c4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    s = X.sequences(spark, d)
+    return T.regions(s).groupBy("seq_id", "method").agg(F.sum("length").alias("called")).join(s.select("seq_id", "n"), "seq_id").select("seq_id", "method", "called", F.round(100 * F.col("called").cast("double") / F.col("n"), 6).alias("coverage"))
+
+
+@query
+def d1_kmers(spark: SparkSession, d: str) -> DataFrame:
+    return P.kmers(X.sequences(spark, d), 9)
+
+
+@query
+def d2_strided_kmers(spark: SparkSession, d: str) -> DataFrame:
+    return P.kmers(X.sequences(spark, d), 15, P.stride(15, 1))
+
+
+@query
+def d3_standard_kmers(spark: SparkSession, d: str) -> DataFrame:
+    raw = X.table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq")).withColumn("n", F.length("seq").cast("long"))
+    return P.kmers(raw, 9).where(P.standard(F.col("peptide"))).groupBy("seq_id").agg(F.count("*").alias("kept"))
+
+
+@query
+def d7_affinity_levels(spark: SparkSession, d: str) -> DataFrame:
+    a = A.clean(X.assays(spark, d)).withColumn("s", (F.col("rec_id") % 23 - 8).cast("double"))
+    ic50 = P.ic50_of(F.col("s"))
+    return a.select("rec_id", F.round(ic50, 6).alias("ic50"), F.round(P.percentile_of(ic50), 6).alias("pct_rank"), P.level_of(ic50).alias("level"))
+
+
+@query
+def d20_binder_census(spark: SparkSession, d: str) -> DataFrame:
+    a = A.clean(X.assays(spark, d)).withColumn("ic50", A.affinity(F.col("quant"), F.col("qual")))
+    return a.groupBy("seq_id", "allele").agg(F.count("*").alias("total"), F.count_if(F.col("ic50") < 50).alias("strong"), F.count_if((F.col("ic50") >= 50) & (F.col("ic50") < 500)).alias("weak"))
+
+
+@query
+def e1_n_glycosylation(spark: SparkSession, d: str) -> DataFrame:
+    return M.n_glycosylation(X.sequences(spark, d))
+
+
+@query
+def e4_motifs(spark: SparkSession, d: str) -> DataFrame:
+    s, out = X.sequences(spark, d), None
+    for name, pattern in M.PATTERNS.items():
+        part = M.find(s, name, pattern)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def f3_protrusion(spark: SparkSession, d: str) -> DataFrame:
+    return S.protrusion(X.residues3d(spark, d)).select("structure_id", "idx", F.round("protrusion", 6).alias("protrusion"))
+
+
+@query
+def f4_contacts(spark: SparkSession, d: str) -> DataFrame:
+    return S.contact_number(X.residues3d(spark, d)).select("structure_id", "idx", "contacts")
+
+
+@query
+def f10_surface_propensity(spark: SparkSession, d: str) -> DataFrame:
+    return S.surface_propensity(X.residues3d(spark, d)).select("structure_id", "idx", F.round("score", 6).alias("score"), (F.round("score", 9) >= F.round("cut", 9)).alias("called"))
+
+
+@query
+def f11_protrusion_by_area(spark: SparkSession, d: str) -> DataFrame:
+    return S.protrusion_by_area(X.residues3d(spark, d)).select("structure_id", "idx", F.round("score", 6).alias("score"))
+
+
+@query
+def f15_bfactor(spark: SparkSession, d: str) -> DataFrame:
+    return S.bfactor_norm(X.residues3d(spark, d)).select("structure_id", "idx", F.round("flexibility", 6).alias("flexibility"))
+
+
+@query
+def g1_clean_assays(spark: SparkSession, d: str) -> DataFrame:
+    return A.clean(X.assays(spark, d)).select("rec_id", "peptide", "allele")
+
+
+@query
+def g2_affinity(spark: SparkSession, d: str) -> DataFrame:
+    return X.assays(spark, d).select("rec_id", F.round(A.affinity(F.col("quant"), F.col("qual")), 6).alias("ic50"))
+
+
+@query
+def g3_top_alleles(spark: SparkSession, d: str) -> DataFrame:
+    return A.allele_counts(A.clean(X.assays(spark, d)), 20, 30)
+
+
+@query
+def g4_mhc_class(spark: SparkSession, d: str) -> DataFrame:
+    return X.assays(spark, d).groupBy(A.mhc_class(F.col("allele")).alias("mhc_class")).agg(F.count("*").alias("n"))
+
+
+def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s, p = X.sequences(spark, d), X.ref_peptides(spark, d)
+    # candidates share a 12-mer, so containment is an equality join
+    hit = P.kmers(s, 12).join(p, "peptide").groupBy("seq_id", "pep_id", "peptide").agg(F.min("start").alias("start"))
+    return hit.withColumn("start", F.col("start") + F.when(F.col("pep_id") % 3 == 0, 1).otherwise(0)), s
+
+
+@query
+def h4_validated_positions(spark: SparkSession, d: str) -> DataFrame:
+    claims, s = _claims(spark, d)
+    v = A.validate(claims, s)
+    spots = v.select("seq_id", "n", "pep_id", F.explode(F.sequence(F.col("at"), F.col("at") + 11)).alias("pos"))
+    out = spots.groupBy("seq_id", "n").agg(F.count_distinct("pep_id").alias("matched"), F.count_distinct("pos").alias("positions"))
+    return out.where("matched >= 4 and positions >= 8")
+
+
+@query
+def h5_coverage_filter(spark: SparkSession, d: str) -> DataFrame:
+    out = QUERIES["h4_validated_positions"](spark, d).withColumn("coverage", F.round(F.col("positions").cast("double") / F.col("n"), 6))
+    return out.where("positions >= 0.03D * n and positions <= 0.9D * n").select("seq_id", "matched", "positions", "coverage")
+
+
+@query
+def h6_capped_selection(spark: SparkSession, d: str) -> DataFrame:
+    c = QUERIES["h5_coverage_filter"](spark, d).join(X.sequences(spark, d).select("seq_id", "organism"), "seq_id")
+    return A.capped(c, "organism", [F.desc("matched"), F.col("seq_id")], 6, 50).select("seq_id", "organism", "matched")
+
+
+@query
+def h7_set_profile(spark: SparkSession, d: str) -> DataFrame:
+    s = X.sequences(spark, d)
+    return s.agg(F.count("*").alias("sequences"), F.count_distinct("organism").alias("organisms"), F.sum("n").alias("residues"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
+
+
+@query
+def i2_method_rates(spark: SparkSession, d: str) -> DataFrame:
+    claims, s = _claims(spark, d)
+    truth = A.validate(claims, s).select("seq_id", F.explode(F.sequence(F.col("at"), F.col("at") + 11)).alias("pos")).distinct().withColumn("t", F.lit(True))
+    pred = T.regions(s).select("seq_id", "method", F.explode(F.sequence("start", "end")).alias("pos"))
+    kept = s.join(truth.select("seq_id").distinct(), "seq_id", "left_semi").select("seq_id", "n")
+    known = truth.groupBy("seq_id").agg(F.count("*").alias("known"))
+    hits = pred.join(kept.select("seq_id"), "seq_id", "left_semi").join(truth, ["seq_id", "pos"], "left").groupBy("seq_id", "method").agg(F.count("t").alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"))
+    spine = kept.join(known, "seq_id").withColumn("method", F.explode(F.array(*[F.lit(m) for m in LINEAR])))
+    out = spine.join(hits, ["seq_id", "method"], "left").na.fill(0, ["tp", "fp"])
+    out = out.withColumns({"fn": F.col("known") - F.col("tp"), "tn": F.col("n") - F.col("known") - F.col("fp")})
+    return A.rates(out.select("seq_id", "method", "tp", "fp", "fn", "tn"))
+
+
+@query
+def i5_distribution(spark: SparkSession, d: str) -> DataFrame:
+    m = QUERIES["c4_coverage"](spark, d)
+    r = lambda c: F.round(c, 4)
+    return m.groupBy("method").agg(r(F.avg("coverage")).alias("mean"), r(F.stddev_pop("coverage")).alias("sd"), r(F.median("coverage")).alias("median"), r(F.min("coverage")).alias("low"), r(F.max("coverage")).alias("top"))
+
+
+@query
+def i6_auc(spark: SparkSession, d: str) -> DataFrame:
+    res = X.residues3d(spark, d).withColumn("truth", F.col("chain_id") == "H")
+    return A.auc(res, "structure_id", "sasa", "truth")
