@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .numtext import BYTE_VALUE, U8, chunks, flat, mix, powers, prefix, sliding, span, words
 from .shared import partitions
 
-NODE_BITS = 12  # a node index and a position share one long
+NODE_BITS = 4  # a node index and a position (below 2**28) share the low half of one long
 
 
 @dataclass(frozen=True)
@@ -126,6 +126,7 @@ def _node_rows(spec: Windows):
     def run(batches):
         b = spec.node
         nodes = -(-spec.width // b)
+        assert nodes <= 1 << NODE_BITS
         for batch in batches:
             data, off = flat(batch.column("text"))
             r1, r2 = (batch.column(k).to_numpy() for k in ("r1", "r2"))
@@ -177,14 +178,19 @@ def _window_rows(spec: Windows):
     return run
 
 
-KEY = F.struct("r1", "rp")
-HIGH = F.expr("shiftleft(shiftright(rp, 32), 32)")
-LOW = F.expr("rp & 4294967295")
+def high():
+    """The row key's second half, from a packed column."""
+    return F.expr("shiftleft(shiftright(rp, 32), 32)")
+
+
+def low():
+    """The position, from a packed column."""
+    return F.expr("rp & 4294967295")
 
 
 def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose whole range is repeated, and those to look at more closely (with their partners)."""
-    classes = rows.groupBy("p").agg(F.min("c").alias("c"), F.count("*").alias("n"), F.min(KEY).alias("rep"))
+    classes = rows.groupBy("p").agg(F.min("c").alias("c"), F.count("*").alias("n"), F.min(F.struct("r1", "rp")).alias("rep"))
     cores = classes.groupBy("c").agg(F.sum("n").alias("nc"), F.count("*").alias("np")).where("nc > 1")
     seen = classes.join(cores, "c")
     settled = rows.join(seen.where("n > 1").select("p"), "p", "left_semi")
@@ -192,7 +198,7 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _places(rows: DataFrame) -> DataFrame:
-    return rows.select("r1", HIGH.alias("r2"), LOW.alias("place")).groupBy("r1", "r2").agg(F.collect_list("place").alias("places"))
+    return rows.select("r1", high().alias("r2"), low().alias("place")).groupBy("r1", "r2").agg(F.collect_list("place").alias("places"))
 
 
 def intervals(docs: DataFrame, repeated: DataFrame, spec: Windows) -> DataFrame:
@@ -202,19 +208,19 @@ def intervals(docs: DataFrame, repeated: DataFrame, spec: Windows) -> DataFrame:
     occurs twice. A stretch may pass the document's end; the reader cuts it there.
     """
     settled, rest = _settle(repeated)
-    place = LOW
-    found = [settled.select("r1", HIGH.alias("r2"), F.greatest(F.lit(0), place - (spec.width - 1)).alias("lo"), (place + spec.length).alias("hi"))]
+    place = low()
+    found = [settled.select("r1", high().alias("r2"), F.greatest(F.lit(0), place - (spec.width - 1)).alias("lo"), (place + spec.length).alias("hi"))]
     if spec.node:
         nodes = docs.join(_places(rest), ["r1", "r2"]).mapInArrow(_node_rows(spec), "r1 long, rp long, c long, p long")
         settled, rest = _settle(nodes)
         at, q = F.shiftright(place, NODE_BITS), place.bitwiseAND((1 << NODE_BITS) - 1)
         near = q * spec.node
         far = F.least(near + spec.node, F.lit(spec.width)) - 1
-        found.append(settled.select("r1", HIGH.alias("r2"), F.greatest(F.lit(0), at - far).alias("lo"), (at - near + spec.length).alias("hi")))
+        found.append(settled.select("r1", high().alias("r2"), F.greatest(F.lit(0), at - far).alias("lo"), (at - near + spec.length).alias("hi")))
     single = docs.join(_places(rest), ["r1", "r2"]).mapInArrow(_window_rows(spec), "r1 long, rp long, p long")
     twice = single.groupBy("p").agg(F.count("*").alias("n")).where("n > 1").select("p")
     hits = single.join(twice, "p", "left_semi")
-    found.append(hits.select("r1", HIGH.alias("r2"), place.alias("lo"), (place + spec.length).alias("hi")))
+    found.append(hits.select("r1", high().alias("r2"), place.alias("lo"), (place + spec.length).alias("hi")))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

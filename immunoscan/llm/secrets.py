@@ -99,7 +99,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     """``docs`` with the same columns; live base spans and added spans are masked in the text."""
     found = scan(docs)
     cut = F.concat(F.filter("base", lambda s: F.array_contains("live", s["value"])), "added")
-    found = found.select("r1", "r2", F.array_sort(cut).alias("cut_")).where("size(cut_) > 0").dropDuplicates(["r1", "r2"])
+    found = found.select("r1", "r2", F.array_sort(cut).alias("cut_")).where("size(cut_) > 0").dropDuplicates(["r1", "r2"]).withColumnsRenamed({"r1": "r1_key_", "r2": "r2_key_"})
 
     def add(acc, s):
         later = s["stop"] > acc["at"]
@@ -109,7 +109,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
 
     done = F.aggregate("cut_", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
     masked = F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
-    keyed = docs.select(*docs.columns, *row_keys()).join(found, ["r1", "r2"], "left")
+    keyed = docs.select(*docs.columns, *row_keys("_key_")).join(found, ["r1_key_", "r2_key_"], "left")
     new = keyed.withColumn("text", F.when(F.col("cut_").isNotNull(), masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.when(F.col("cut_").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -53,9 +53,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_keys() -> list:
+def row_keys(mark: str = "") -> list:
     """Two hashes that stand for one document row; rows that repeat get equal keys and equal results."""
     return [
-        F.xxhash64("doc_id", "text").alias("r1"),
-        F.shiftleft(F.hash("text", "doc_id").cast("long"), 32).alias("r2"),
+        F.xxhash64("doc_id", "text").alias("r1" + mark),
+        F.shiftleft(F.hash("text", "doc_id").cast("long"), 32).alias("r2" + mark),
     ]

@@ -25,7 +25,8 @@ BYTES = Windows("bytes", length=200, gram=40, node=12)
 def repeated_positions(docs: DataFrame, spec: Windows) -> DataFrame:
     """First round: positions whose gram occurs twice."""
     rows = materialize(anchor_rows(docs.select("text", *row_keys()), spec), "positions")
-    ranks = rows.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
+    # written first, so that the join below reads both sides from plain exchanges and a frequent rank can be split
+    ranks = materialize(rows.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "ranks")
     out = materialize(rows.join(ranks, "c", "left_semi"), "repeated")
     discard(rows)
     return out
