@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numtext import BYTE_VALUE, U8, chunks, flat, mix, powers, prefix, sliding, span, words
-from .shared import partitions
+from .shared import discard, materialize, partitions
 
 NODE_BITS = 4  # a node index and a position (below 2**28) share the low half of one long
 
@@ -188,12 +188,19 @@ def low():
     return F.expr("rp & 4294967295")
 
 
-def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose whole range is repeated, and those to look at more closely (with their partners)."""
+def _settle(rows: DataFrame, write: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows whose whole range is repeated, and those to look at more closely (with their partners).
+
+    With ``write`` both are tables, so that ``rows`` and their shuffles can go.
+    """
     classes = rows.groupBy("p").agg(F.min("c").alias("c"), F.count("*").alias("n"), F.min(F.struct("r1", "rp")).alias("rep"))
     cores = classes.groupBy("c").agg(F.sum("n").alias("nc"), F.count("*").alias("np")).where("nc > 1")
     seen = classes.join(cores, "c")
+    if write:
+        seen = materialize(seen.select("p", "n", "np", "rep"), "classes")
     settled = rows.join(seen.where("n > 1").select("p"), "p", "left_semi")
+    if write:
+        settled = materialize(settled.select("r1", "rp"), "settled")
     return settled, seen.where("n = 1 or np > 1").select("rep.r1", "rep.rp")
 
 
@@ -205,9 +212,10 @@ def intervals(docs: DataFrame, repeated: DataFrame, spec: Windows) -> DataFrame:
     """``r1, r2, spans`` of the documents: stretches (lo, hi) that repeated windows cover.
 
     ``docs``: r1, r2, text, already dealt out by r1, r2. ``repeated``: the anchor rows whose gram
-    occurs twice. A stretch may pass the document's end; the reader cuts it there.
+    occurs twice, a table of ``materialize``, which is removed. A stretch may pass the document's end; the reader cuts it there.
     """
-    settled, rest = _settle(repeated)
+    settled, rest = _settle(repeated, write=True)
+    discard(repeated)
     place = low()
     found = [settled.select("r1", high().alias("r2"), F.greatest(F.lit(0), place - (spec.width - 1)).alias("lo"), (place + spec.length).alias("hi"))]
     if spec.node:

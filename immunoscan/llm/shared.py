@@ -32,10 +32,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Removes a table of ``materialize`` that no later plan reads."""
+    """Removes a table of ``materialize`` that no later plan reads.
+
+    The driver's JVM is asked to collect as well: Spark then drops the shuffle files of plans that are done.
+    """
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

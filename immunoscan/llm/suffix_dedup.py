@@ -3,7 +3,7 @@
 Spark ranks positions by the string that starts there and drops a position as soon as its rank is
 unique; the compared length grows from round to round until it is past the threshold. Ranks are
 64-bit classes. The positions are the anchors of repeats.py (every 200-byte string holds one), so the
-first round compares grams of 40 bytes; later rounds compare (rank, rank at a larger offset) pairs of
+first round compares grams of 96 bytes; later rounds compare (rank, rank at a larger offset) pairs of
 ranges of windows, and the last round single strings of 200 bytes. Ranking all byte positions instead
 would shuffle eight bytes and more for each byte of text, beyond the disk budget.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .repeats import Windows, anchor_rows, dealt, intervals, removal
 from .shared import discard, materialize, row_keys, small_batches, table
 
-BYTES = Windows("bytes", length=200, gram=40, node=12)
+BYTES = Windows("bytes", length=200, gram=96, node=32)
 
 
 def repeated_positions(docs: DataFrame, spec: Windows) -> DataFrame:
