@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +52,59 @@ def bfactor_norm(res: DataFrame) -> DataFrame:
     by = Window.partitionBy("structure_id")
     sd = F.stddev_pop("bfactor").over(by)
     return res.withColumn("flexibility", F.when(F.col("bfactor").isNotNull(), F.when(sd > 0, (F.tanh((F.col("bfactor") - F.avg("bfactor").over(by)) / sd / 2) + 1) / 2).otherwise(0.5)))
+
+
+def local_density(res: DataFrame, radius: float = 10.0) -> DataFrame:
+    """Residues within the radius, the residue itself included, over the sphere's volume."""
+    return contact_number(res, radius).withColumn("density", (F.col("contacts") + 1) / F.lit(4 / 3 * math.pi * radius**3))
+
+
+def residue_depth(res: DataFrame, exposed: float = 60.0) -> DataFrame:
+    """structure_id, idx, depth: distance to the nearest exposed residue of the structure."""
+    placed = res.where("x is not null").select("structure_id", "idx", "sasa", "x", "y", "z")
+    shell = placed.where(F.col("sasa") >= exposed).select("structure_id", *[F.col(c).alias("s" + c) for c in "xyz"])
+    square = sum(((F.col(c) - F.col("s" + c)) * (F.col(c) - F.col("s" + c)) for c in "yz"), (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")))
+    return placed.join(shell, "structure_id").groupBy("structure_id", "idx").agg(F.sqrt(F.min(square)).alias("depth"))
+
+
+def gap_regions(scored: DataFrame, gap: int = 2, least: int = 3) -> DataFrame:
+    """Runs of ``called`` residues that bridge up to ``gap`` others; mean score and centroid over the whole span."""
+    by = Window.partitionBy("structure_id").orderBy("idx")
+    hot = scored.where("called").select("structure_id", "idx").withColumn("new", (F.col("idx") - F.lag("idx").over(by) > gap + 1).cast("int"))
+    runs = hot.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(by)).groupBy("structure_id", "run").agg(F.min("idx").alias("start"), F.max("idx").alias("end"), F.count("*").alias("above"))
+    span = runs.where(F.col("above") >= least).select("*", F.explode(F.sequence("start", "end")).alias("idx"))
+    centre = [F.when(F.count(c) == F.count("*"), F.avg(c)).alias(c) for c in "xyz"]
+    return span.join(scored, ["structure_id", "idx"]).groupBy("structure_id", "start", "end", "above").agg(F.avg("score").alias("score"), *centre)
+
+
+# Words of antibody chain descriptions, and words that rule a description out.
+ANTIBODY = ["immunoglobulin", "antibody", "fab ", "fab", "fv ", "scfv", "igg", "ige", "iga", "igm", "heavy chain", "light chain", "kappa", "lambda", "nanobody", "vhh", "single-domain", "hc fragment", "fragment b", "myeloma"]
+NOT_ANTIBODY = ["receptor", "binding protein"]
+
+
+def chain_split(chains: DataFrame, least: int = 50) -> DataFrame:
+    """structure_id, antibodies, antigen_id, length: the antigen is the longest other chain, of at least ``least``."""
+    low = F.lower("description")
+    mark = F.lit(False)
+    for word in ANTIBODY:
+        mark = mark | F.contains(low, F.lit(word))
+    for word in NOT_ANTIBODY:
+        mark = mark & ~F.contains(low, F.lit(word))
+    rows = chains.withColumn("antibody", F.coalesce(mark, F.lit(False)))
+    best = F.max(F.when(~F.col("antibody") & (F.col("length") >= least), F.struct("length", "chain_id"))).alias("best")
+    names = F.array_join(F.array_sort(F.collect_list(F.when(F.col("antibody"), F.col("chain_id")))), ",").alias("antibodies")
+    out = rows.groupBy("structure_id").agg(names, best).where("best is not null and antibodies <> ''")
+    return out.select("structure_id", "antibodies", F.col("best.chain_id").alias("antigen_id"), F.col("best.length").alias("length"))
+
+
+def interface(atoms: DataFrame, antigen: str = "A", antibody: str = "H", cutoff: float = 4.0, least: int = 4) -> DataFrame:
+    """Antigen residues with an atom within the cutoff of an antibody atom, in structures with enough of them."""
+    cell = [F.floor(F.col(c) / cutoff).alias("c" + c) for c in "xyz"]
+    placed = atoms.where("x is not null").select("structure_id", "chain_id", "idx", "x", "y", "z", *cell)
+    other = placed.where(F.col("chain_id") == antibody).select("structure_id", *[F.col(c).alias(c + "2") for c in "xyz"], "cx", "cy", "cz")
+    for c in "xyz":
+        other = other.withColumn("d", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))).withColumn("c" + c, F.col("c" + c) + F.col("d")).drop("d")
+    square = sum(((F.col(c) - F.col(c + "2")) * (F.col(c) - F.col(c + "2")) for c in "yz"), (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")))
+    near = placed.where(F.col("chain_id") == antigen).join(other, ["structure_id", "cx", "cy", "cz"]).where(F.sqrt(square) <= cutoff)
+    spots = near.select("structure_id", "idx").distinct()
+    return spots.withColumn("n", F.count("*").over(Window.partitionBy("structure_id"))).where(F.col("n") >= least).drop("n")

@@ -12,9 +12,11 @@ from ..operators import peptides as P
 from ..operators import structure as S
 from ..operators import tracks as T
 from ..sources import fixtures as X
-from .oracle import ORACLES
+from . import spatial
+from .oracle import ORACLES as TRACK_SQL
 
-QUERIES: dict = {}
+QUERIES: dict = {**spatial.QUERIES}
+ORACLES = TRACK_SQL | spatial.ORACLES
 
 
 def query(f):

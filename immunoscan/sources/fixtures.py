@@ -70,8 +70,26 @@ def residues3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two atoms a residue: CA as it is, CB beside it."""
+    res = residues3d(spark, sf_dir).select("structure_id", "chain_id", "idx", "x", "y", "z")
+    kinds = F.explode(F.array(F.struct(F.lit("CA").alias("atom"), F.lit(0.0).alias("dx")), F.struct(F.lit("CB").alias("atom"), F.lit(1.5).alias("dx"))))
+    return res.withColumn("k", kinds).select("structure_id", "chain_id", "idx", "k.atom", (F.col("x") + F.col("k.dx")).alias("x"), "y", "z")
+
+
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(
+        "cast(floor(p_partkey / 4) as long) as structure_id",
+        "char(65 + p_partkey % 4) as chain_id",
+        "case p_partkey % 3 when 0 then 'immunoglobulin heavy chain' when 1 then 'antibody receptor' else 'lysozyme' end as description",
+        "cast(p_size * 5 as long) as length",
+    )
+
+
 # The same views for DuckDB.
 SQL = {
+    "atoms": "atoms AS (SELECT structure_id, chain_id, idx, 'CA' AS atom, x, y, z FROM residues3d UNION ALL SELECT structure_id, chain_id, idx, 'CB', x + 15e-1, y, z FROM residues3d)",
+    "chains": "chains AS (SELECT CAST(p_partkey // 4 AS BIGINT) AS structure_id, chr(CAST(65 + p_partkey % 4 AS INT)) AS chain_id, CASE p_partkey % 3 WHEN 0 THEN 'immunoglobulin heavy chain' WHEN 1 THEN 'antibody receptor' ELSE 'lysozyme' END AS description, CAST(p_size * 5 AS BIGINT) AS length FROM part)",
     "sequences": f"""sequences AS (SELECT doc_id AS seq_id, 'doc_' || doc_id AS name, source AS organism, lang, seq, length(seq) AS n FROM (SELECT *,
  regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{AA}]', '', 'g') AS seq FROM documents) WHERE length(seq) BETWEEN 60 AND 1800)""",
     "ref_peptides": f"""ref_peptides AS (SELECT item_id * 100 + i AS pep_id, item_id AS source_id, substr(pep, 1 + 12 * i, 12) AS peptide FROM (SELECT item_id,

@@ -15,7 +15,7 @@ def test_every_query_has_sql():
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "events"):
+    for t in ("documents", "embeddings", "benchmark", "events", "part"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
