@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from immunoscan.operators import motifs, peptides, tracks
+from immunoscan.operators import motifs, peptides, structure, tracks
 
 SEQ = "MKTAYIAKQRQISFVKSHFSRQLEEALCLSLHRALQ"
 
@@ -51,3 +51,23 @@ def test_motif_positions(spark):
 def test_glycosylation_kinds(spark):
     rows = {(r["pos"], r["site_type"]) for r in motifs.n_glycosylation(seqs(spark, "ANATNPSNACN")).collect()}
     assert rows == {(2, "canonical"), (5, "proline"), (8, "cysteine")}
+
+
+def test_gap_regions_bridge_two(spark):
+    on = {2, 3, 6, 10, 11, 12, 20, 24}
+    rows = [("s", i, float(i), i in on, 1.0 if i != 11 else None) for i in range(30)]
+    df = spark.createDataFrame(rows, "structure_id string, idx long, score double, called boolean, x double").withColumns({"y": F.lit(2.0), "z": F.lit(3.0)})
+    got = {(r["start"], r["end"], r["above"], r["score"], r["x"]) for r in structure.gap_regions(df).collect()}
+    assert got == {(2, 6, 3, 4.0, 1.0), (10, 12, 3, 11.0, None)}
+
+
+def test_chain_split_takes_the_longest_other_chain(spark):
+    rows = [(1, "H", "Fab heavy chain", 220), (1, "A", "lysozyme", 129), (1, "B", "lysozyme", 129), (1, "C", "Fc receptor antibody", 60), (2, "A", "lysozyme", 129), (3, "H", "IgG", 200), (3, "A", "toxin", 49), (4, "H", "Kappa", 99), (4, "A", None, 80)]
+    got = {tuple(r) for r in structure.chain_split(spark.createDataFrame(rows, "structure_id long, chain_id string, description string, length long")).collect()}
+    assert got == {(1, "H", "B", 129), (4, "H", "A", 80)}
+
+
+def test_interface_counts_touching_residues(spark):
+    atoms = [("s", "H", 0, 0.0, 0.0, 0.0)] + [("s", "A", i, float(i), 0.0, 0.0) for i in range(1, 7)] + [("t", "H", 0, 0.0, 0.0, 0.0), ("t", "A", 1, 1.0, 0.0, 0.0), ("s", "A", 9, None, None, None)]
+    df = spark.createDataFrame(atoms, "structure_id string, chain_id string, idx long, x double, y double, z double")
+    assert {tuple(r) for r in structure.interface(df).collect()} == {("s", i) for i in range(1, 5)}
