@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 
 from .graph import components, forest
 from .numtext import SPACE, U8, chunks, flat, words
-from .shared import materialize, partitions, small_batches, table
+from .shared import materialize, partitions, row_keys, small_batches, table
 
 LEAF = 256  # fingerprints a subtree, about
+BANDS, ROWS = 20, 4  # at similarity 0.8 a pair agrees on no band with probability 3e-5
+FAR = 24  # at similarity 0.8 fingerprints differ in 10 of 64 bits on average, standard deviation 3
+ROUNDS = 3  # rounds of similar_groups in which a bucket's documents meet one other each
+BLOCK = 1000  # documents a block of the pairs that remain
 CHUNK = 20_000  # rows a walk holds at once
 
 
@@ -36,47 +40,56 @@ def _lower() -> np.ndarray:
     return out
 
 
+def _hashed(batch, shingle: int):
+    """Shingle hashes of a batch's texts, in parts: (rows, first hash of each row, number of its hashes, hashes).
+    Rows without words are left out."""
+    import xxhash
+
+    digest, low = xxhash.xxh64_intdigest, _lower()
+    data, off = flat(batch.column("text"))
+    for i, j in chunks(off, 1 << 20):
+        part = low[data[off[i] : off[j]]]
+        starts, ends, first = words(part, off[i : j + 1] - off[i])
+        if not starts.size:
+            continue
+        keep = ~SPACE[part]
+        after = ends[ends < part.size]
+        after = after[SPACE[part[after]]]
+        keep[after] = True
+        part[after] = 32
+        to = np.cumsum(keep) - 1
+        raw = part[keep].tobytes()
+        s, e = to[starts], to[ends - 1] + 1
+        count = np.diff(first)
+        some = np.flatnonzero(count)
+        # the last shingle - 1 words of a document start no shingle, unless there are no others
+        opens = np.ones(starts.size, bool)
+        close = np.minimum(np.arange(starts.size) + shingle - 1, starts.size - 1)
+        for back in range(1, shingle):
+            opens[(first[1:] - back)[count >= back + 1]] = False
+        short = some[count[some] < shingle]
+        close[first[short]] = first[short + 1] - 1
+        at = np.flatnonzero(opens)
+        h = np.array([digest(raw[a:b], 42) for a, b in zip(s[at].tolist(), e[close[at]].tolist(), strict=True)], U8)
+        begin = np.searchsorted(at, first[some])
+        yield i + some, begin, np.diff(np.append(begin, at.size)), h
+
+
+def _fingerprint(h: np.ndarray) -> int:
+    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > h.size).view(">u8")[0]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, fp`` with fp the SimHash over word shingles as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        import xxhash
-
-        digest, low = xxhash.xxh64_intdigest, _lower()
         for batch in batches:
-            data, off = flat(batch.column("text"))
             fps = np.zeros(batch.num_rows, U8)
-            for i, j in chunks(off, 1 << 20):
-                part = low[data[off[i] : off[j]]]
-                starts, ends, first = words(part, off[i : j + 1] - off[i])
-                if not starts.size:
-                    continue
-                keep = ~SPACE[part]
-                after = ends[ends < part.size]
-                after = after[SPACE[part[after]]]
-                keep[after] = True
-                part[after] = 32
-                to = np.cumsum(keep) - 1
-                raw = part[keep].tobytes()
-                s, e = to[starts], to[ends - 1] + 1
-                count = np.diff(first)
-                some = np.flatnonzero(count)
-                # the last shingle - 1 words of a document start no shingle, unless there are no others
-                opens = np.ones(starts.size, bool)
-                close = np.minimum(np.arange(starts.size) + shingle - 1, starts.size - 1)
-                for back in range(1, shingle):
-                    opens[(first[1:] - back)[count >= back + 1]] = False
-                short = some[count[some] < shingle]
-                close[first[short]] = first[short + 1] - 1
-                at = np.flatnonzero(opens)
-                h = np.array([digest(raw[a:b], 42) for a, b in zip(s[at].tolist(), e[close[at]].tolist(), strict=True)], U8)
-                begin = np.searchsorted(at, first[some])
-                n = np.diff(np.append(begin, at.size))
-                bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                for k, b, m in zip(some.tolist(), begin.tolist(), n.tolist(), strict=True):
-                    ones = bits[b : b + m].sum(0, dtype=np.int64)
-                    fps[i + k] = np.packbits(2 * ones > m).view(">u8")[0]
+            for rows, begin, n, h in _hashed(batch, shingle):
+                for k, b, m in zip(rows.tolist(), begin.tolist(), n.tolist(), strict=True):
+                    fps[k] = _fingerprint(h[b : b + m])
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
     return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, fp long")
@@ -182,6 +195,116 @@ def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     return marked.join(by_fp, "fp")
 
 
+def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.random.default_rng(7).integers(0, 1 << 63, (2, count), dtype=np.uint64)
+    return drawn[0] | U8(1), drawn[1]
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, key, node, fp, bands``: node stands for the set of shingles, bands for groups of its least hashes."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    times, plus = _seeds(BANDS * ROWS)
+    at_band = np.arange(1, BANDS + 1, dtype=np.uint64) * U8(0x9E3779B97F4A7C15)
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            fps, nodes = np.zeros(batch.num_rows, U8), np.zeros(batch.num_rows, U8)
+            bands = np.zeros((batch.num_rows, BANDS), U8)
+            some = np.zeros(batch.num_rows, bool)
+            for rows, begin, n, h in _hashed(batch, shingle):
+                for k, b, m in zip(rows.tolist(), begin.tolist(), n.tolist(), strict=True):
+                    own = np.unique(h[b : b + m])
+                    fps[k], nodes[k], some[k] = _fingerprint(own), xxhash.xxh64_intdigest(own.tobytes(), 1), True
+                    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, U8)
+                    for x in range(0, own.size, 4096):
+                        mixed = own[x : x + 4096, None] * times + plus
+                        least = np.minimum(least, (mixed ^ (mixed >> U8(29))).min(0))
+                    key = at_band.copy()
+                    for row in least.reshape(BANDS, ROWS).T:
+                        key = (key ^ row) * U8(0xBF58476D1CE4E5B9)
+                        key ^= key >> U8(31)
+                    bands[k] = key
+            sizes = np.where(some, BANDS, 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(bands[some].reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), lists], names=["doc_id", "key", "node", "fp", "bands"])
+
+    keyed = docs.select("doc_id", row_keys()[0].alias("key"), "text")
+    return keyed.mapInArrow(run, f"doc_id {kind}, key long, node long, fp long, bands array<long>")
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``key, sh``: the distinct shingle hashes of each row's text."""
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for rows, begin, n, h in _hashed(batch, shingle):
+                lists = [np.unique(h[b : b + m]).view(np.int64) for b, m in zip(begin.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(lists, pa.list_(pa.int64()))], names=["key", "sh"])
+
+    return docs.mapInArrow(run, "key long, sh array<long>")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose shingle sets have at least this Jaccard similarity."""
+    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    picks = nodes.join(used, "node").select("node", "pick")
+    rows = docs.select(row_keys()[0].alias("key"), "text").join(picks.select(F.col("pick").alias("key")), "key", "left_semi")
+    sets = materialize(_sets(rows, shingle).dropDuplicates(["key"]).join(picks.withColumnRenamed("pick", "key"), "key").select("node", "sh"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """``doc_id, component_id``: groups by links between documents whose shingle sets have this Jaccard similarity.
+
+    Candidates are the links of the trie join, and documents that agree on a band of least hashes and whose
+    fingerprints are within ``FAR`` bits. Every link is verified on the shingle sets. In the first rounds each
+    document of a bucket meets one other of it, so a group of near copies costs a link a document; then documents
+    of a bucket that are still apart are met pair by pair, in blocks, so none is left out.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    marked = materialize(sketches(docs, shingle), "sketches")
+    nodes = materialize(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("key").alias("pick"), F.min("doc_id").alias("least")), "nodes")
+    by_fp = nodes.where("size(bands) > 0").groupBy("fp").agg(F.min("node").alias("node"))
+    near = trie_links(materialize(by_fp.select("fp"), "fingerprints"), radius)
+    tried = near.join(by_fp.toDF("a", "na"), "a").join(by_fp.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    members = nodes.select("node", "fp", F.explode("bands").alias("bucket"), F.col("node").alias("label"))
+    links = label = None
+    for turn in range(ROUNDS + 1):
+        if label is not None:
+            named = nodes.select("node", "fp", F.explode("bands").alias("bucket")).join(label, "node", "left")
+            members = named.select("node", "fp", "bucket", F.coalesce("label", "node").alias("label"))
+        apart = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min_by(F.struct("node", "fp", "label"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("lo <> hi")
+        met = members.join(apart.select("bucket", "m", "lead"), "bucket")
+        if turn < ROUNDS:
+            met = met.where((F.col("label") != F.col("lead.label")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= FAR))
+            pairs = met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
+        else:
+            met = materialize(met.select("bucket", "node", "fp", "label", F.ceil(F.col("m") / BLOCK).alias("k")).withColumn("own", F.pmod(F.xxhash64("node"), "k")), "apart")
+            left = met.select("bucket", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("k") - 1)).alias("j"), F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("label").alias("la"))
+            right = met.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("label").alias("lb"))
+            both = left.join(right, ["bucket", "i", "j"]).where((F.col("la") != F.col("lb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR))
+            pairs = both.select("a", "b")
+        if turn == 0:
+            pairs = pairs.unionByName(tried)
+        pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = _verified(pairs, nodes, docs, shingle, similarity)
+        links = materialize(found if links is None else links.unionByName(found), "links")
+        label = materialize(components(links), "components")
+    member = nodes.select("node", "least", F.col("node").alias("label"))
+    if label is not None:
+        member = nodes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    named = member.groupBy("label").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "node").join(member.join(named, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -263,3 +263,41 @@ def test_pipeline(spark):
     want = {r["doc_id"]: hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in docs.collect()}
     assert {r["doc_id"]: r["decoded_sha256"] for r in out.collect()} == want
     assert docs.select(F.count_distinct("doc_id")).first()[0] == docs.count()
+
+
+def test_similar_groups(spark, none):
+    """Near copies, their copies and chains against all pairs; blocks of two documents exercise the last round."""
+    near = []
+    for _ in range(12):
+        words = prose(150).split(" ")
+        near.append(" ".join(words))
+        for _ in range(rng.randint(1, 6)):
+            words = list(words)
+            for _ in range(rng.randint(1, 4)):
+                words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+            near.append(" ".join(words))
+    rows = ROWS + [(1000 + i, t) for i, t in enumerate(near + near[:9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for (d, _), g in zip(rows, label, strict=True):
+        if d is not None:
+            least[g] = min(d, least.get(g, d))
+    want = Counter((d, least.get(g)) for (d, _), g in zip(rows, label, strict=True))
+    for rounds, block in ((simhash_dedup.ROUNDS, simhash_dedup.BLOCK), (0, 2)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(simhash_dedup, "ROUNDS", rounds)
+            patch.setattr(simhash_dedup, "BLOCK", block)
+            assert Counter(map(tuple, simhash_dedup.similar_groups(df).collect())) == want
+    assert simhash_dedup.similar_groups(none).count() == 0
