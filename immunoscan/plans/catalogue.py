@@ -12,11 +12,11 @@ from ..operators import peptides as P
 from ..operators import structure as S
 from ..operators import tracks as T
 from ..sources import fixtures as X
-from . import spatial
+from . import scoring, spatial
 from .oracle import ORACLES as TRACK_SQL
 
-QUERIES: dict = {**spatial.QUERIES}
-ORACLES = TRACK_SQL | spatial.ORACLES
+QUERIES: dict = {**spatial.QUERIES, **scoring.QUERIES}
+ORACLES = TRACK_SQL | spatial.ORACLES | scoring.ORACLES
 
 
 def query(f):
