@@ -14,7 +14,7 @@ from ..functions.dims import LINEAR, METHODS, lookup, milli
 
 def residues(seqs: DataFrame) -> DataFrame:
     """seq_id, n, pos (from 1), aa."""
-    return seqs.select("seq_id", "n", F.posexplode(F.split("seq", "")).alias("p", "aa")).select("seq_id", "n", (F.col("p") + 1).cast("long").alias("pos"), "aa")
+    return seqs.where("n > 0").select("seq_id", "n", F.posexplode(F.split("seq", "")).alias("p", "aa")).select("seq_id", "n", (F.col("p") + 1).cast("long").alias("pos"), "aa")
 
 
 def linear_track(seqs: DataFrame, methods: list[str] = LINEAR) -> DataFrame:

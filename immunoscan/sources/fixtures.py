@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import AA
 
 
+_bounded: ContextVar[bool] = ContextVar("bounded", default=True)
+
+
+@contextmanager
+def unbounded():
+    """Within it, ``sequences`` and the views over it take documents of every length."""
+    token = _bounded.set(False)
+    try:
+        yield
+    finally:
+        _bounded.reset(token)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,7 +39,8 @@ def all_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_sequences(spark, sf_dir).where("n between 60 and 1800")
+    out = all_sequences(spark, sf_dir)
+    return out.where("n between 60 and 1800") if _bounded.get() else out
 
 
 def nucleic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +49,10 @@ def nucleic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ref_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", clean(F.col("text")).alias("pep"))
-    cut = items.select("item_id", "pep", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i")).where("length(pep) >= 12 * i + 12")
-    return cut.select((F.col("item_id") * 100 + F.col("i")).alias("pep_id"), F.col("item_id").alias("source_id"), F.expr("substr(pep, 1 + 12 * i, 12)").alias("peptide"))
+    cut = items.where("length(pep) >= 12").select("item_id", "pep", F.explode(F.expr("sequence(0, cast(length(pep) div 12 as int) - 1)")).alias("i"))
+    # from the 100th on, item_id * 100 + i would be an id of the next item
+    pep_id = F.when(F.col("i") < 100, F.col("item_id") * 100 + F.col("i")).otherwise(-(F.col("item_id") * 1_000_000 + F.col("i")))
+    return cut.select(pep_id.alias("pep_id"), F.col("item_id").alias("source_id"), F.expr("substr(pep, 1 + 12 * i, 12)").alias("peptide"))
 
 
 def assays(spark: SparkSession, sf_dir: str) -> DataFrame:
