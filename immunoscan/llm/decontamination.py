@@ -1,10 +1,11 @@
 """Operator 1: benchmark decontamination by SimHash over item-sized windows.
 
 A window can be similar to an item only if they share a shingle, so windows are laid where a document has a
-shingle of an item, in line with it, as long as the item. Each window and each item has a 64-bit SimHash of
-its shingles. Fingerprints are cut into ``radius + 1`` blocks: two within ``radius`` bits agree on one block
-at least, so an equality join on (length, block, value) finds all of them. Candidates are verified exactly:
-weighted Jaccard similarity of the shingle multisets, at least ``similarity``.
+shingle of an item, in line with it, as long as the item. Every pair of a window and the item it was laid for
+is a candidate, however far apart their fingerprints are. Beside them, each window and each item has a 64-bit
+SimHash of its shingles. Fingerprints are cut into ``radius + 1`` blocks: two within ``radius`` bits agree on one
+block at least, so an equality join on (length, block, value) finds all of them, also for other items. Candidates
+are verified exactly: weighted Jaccard similarity of the shingle multisets, at least ``similarity``.
 
 All of it is DataFrame work. Item shingles are broadcast only while there are at most ``BROADCAST_ROWS``;
 beyond that the join shuffles, and only documents with a hit are joined with their text again.
@@ -65,39 +66,43 @@ def _strings(words: str, k: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: the best window of each document and item."""
     items = benchmark.where("text is not null").select("item_id", _words("text").alias("iw")).where("size(iw) > 0")
-    items = items.withColumn("k", F.least(F.size("iw"), F.lit(shingle)))
+    items = items.withColumn("k", F.least(F.size("iw"), F.lit(shingle))).withColumn("item", F.xxhash64("item_id", "iw"))
     items = materialize(items, "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most ``shingle`` values
     base = docs.where("text is not null").select(*row_keys(), _words("text").alias("w"))
     wins = None
     for k in sizes:
         own = items.where(F.col("k") == k)
-        grams = own.select(F.size("iw").alias("len"), F.posexplode(_hashes("iw", k)).alias("o", "h")).distinct()
+        grams = own.select("item", F.size("iw").alias("len"), F.posexplode(_hashes("iw", k)).alias("o", "h")).distinct()
         grams = materialize(grams, "grams")
         small = grams.count() <= BROADCAST_ROWS
         at = base.select("r1", "r2", F.size("w").alias("nw"), F.posexplode(_hashes("w", k)).alias("p", "h"))
         hits = at.join(F.broadcast(grams) if small else grams, "h")
         last = F.greatest(F.lit(0), F.col("nw") - F.col("len"))
-        part = hits.select("r1", "r2", F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), last)).alias("start"), "len", F.lit(k).alias("k"))
+        part = hits.select("r1", "r2", F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), last)).alias("start"), "len", F.lit(k).alias("k"), "item")
         wins = part if wins is None else wins.unionByName(part)
     if wins is None:
         return docs.select("doc_id").limit(0).selectExpr("doc_id", "cast(null as long) item_id", "cast(null as int) start_word", "cast(null as int) n_words", "cast(null as double) similarity")
-    wins = materialize(wins.distinct().groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "len", "k")).alias("wins")), "windows")
+    wins = wins.groupBy("r1", "r2", "start", "len", "k").agg(F.collect_set("item").alias("laid_for"))
+    wins = materialize(wins.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "len", "k", "laid_for")).alias("wins")), "windows")
     texts = docs.where("text is not null").select("doc_id", "text", *row_keys())
     laid = wins.join(texts, ["r1", "r2"]).select("doc_id", _words("text").alias("w"), "wins")
     laid = laid.select("doc_id", "w", F.explode("wins").alias("x"))
-    laid = laid.select("doc_id", F.col("x.start").alias("start"), F.col("x.len").alias("len"), F.col("x.k").alias("k"), F.slice("w", F.col("x.start") + 1, F.col("x.len")).alias("ww"))
+    laid = laid.select("doc_id", F.col("x.start").alias("start"), F.col("x.len").alias("len"), F.col("x.k").alias("k"), F.col("x.laid_for").alias("laid_for"), F.slice("w", F.col("x.start") + 1, F.col("x.len")).alias("ww"))
     laid = laid.where(F.size("ww") >= F.col("k")).dropDuplicates(["doc_id", "start", "len"])
 
     def marked(df: DataFrame, words: str) -> DataFrame:
         df = df.withColumn("sh", _strings(words, F.col("k"))).withColumn("hs", F.transform("sh", lambda s: F.xxhash64(s)))
         return df.withColumn("fp", _simhash("hs"))
 
-    mine = materialize(marked(laid, "ww").select("doc_id", "start", "len", "fp", "sh", F.size("ww").alias("n_words")), "marked")
-    known = materialize(marked(items, "iw").select("item_id", F.size("iw").alias("len"), F.col("fp").alias("ifp"), F.col("sh").alias("ish")), "known")
+    mine = materialize(marked(laid, "ww").select("doc_id", "start", "len", "laid_for", "fp", "sh", F.size("ww").alias("n_words")), "marked")
+    known = materialize(marked(items, "iw").select("item_id", "item", F.size("iw").alias("len"), F.col("fp").alias("ifp"), F.col("sh").alias("ish")), "known")
     a = mine.select("doc_id", "start", "len", "fp", "n_words", "sh", _blocks("fp", radius).alias("b")).select("*", "b.block", "b.value").drop("b")
     b = known.select("item_id", "len", "ifp", "ish", _blocks("ifp", radius).alias("b")).select("*", "b.block", "b.value").drop("b")
     near = a.join(b, ["len", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
+    pair = ["doc_id", "item_id", "start", "n_words", "sh", "ish"]
+    aligned = mine.select("doc_id", "start", "n_words", "sh", F.explode("laid_for").alias("item")).join(known.select("item", "item_id", "ish"), "item")
+    near = aligned.select(*pair).unionByName(near.select(*pair))
     near = near.withColumn("similarity", _similarity("sh", "ish")).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words"))
     return near.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity"))
