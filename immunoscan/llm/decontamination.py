@@ -64,7 +64,19 @@ def _strings(words: str, k: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, similarity: the best window of each document and item."""
+    """doc_id, item_id, start_word, n_words, similarity: the best window of each doc_id and item."""
+    near = _pairs(docs, benchmark, shingle, similarity, radius)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words"))
+    return near.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity"))
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """r1, r2: the ``row_keys`` of each row with a passage of the benchmark, whatever its doc_id."""
+    return _pairs(docs, benchmark, shingle, similarity, radius).select("r1", "r2").distinct()
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """r1, r2, doc_id, item_id, start, n_words, similarity of the windows that pass."""
     items = benchmark.where("text is not null").select("item_id", _words("text").alias("iw")).where("size(iw) > 0")
     items = items.withColumn("k", F.least(F.size("iw"), F.lit(shingle))).withColumn("item", F.xxhash64("item_id", "iw"))
     items = materialize(items, "items")
@@ -82,30 +94,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
         part = hits.select("r1", "r2", F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), last)).alias("start"), "len", F.lit(k).alias("k"), "item")
         wins = part if wins is None else wins.unionByName(part)
     if wins is None:
-        return docs.select("doc_id").limit(0).selectExpr("doc_id", "cast(null as long) item_id", "cast(null as int) start_word", "cast(null as int) n_words", "cast(null as double) similarity")
+        return docs.select(*row_keys(), "doc_id").limit(0).selectExpr("r1", "r2", "doc_id", "cast(null as long) item_id", "cast(null as int) start", "cast(null as int) n_words", "cast(null as double) similarity")
     wins = wins.groupBy("r1", "r2", "start", "len", "k").agg(F.collect_set("item").alias("laid_for"))
     wins = materialize(wins.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "len", "k", "laid_for")).alias("wins")), "windows")
     texts = docs.where("text is not null").select("doc_id", "text", *row_keys())
-    laid = wins.join(texts, ["r1", "r2"]).select("doc_id", _words("text").alias("w"), "wins")
-    laid = laid.select("doc_id", "w", F.explode("wins").alias("x"))
-    laid = laid.select("doc_id", F.col("x.start").alias("start"), F.col("x.len").alias("len"), F.col("x.k").alias("k"), F.col("x.laid_for").alias("laid_for"), F.slice("w", F.col("x.start") + 1, F.col("x.len")).alias("ww"))
-    laid = laid.where(F.size("ww") >= F.col("k")).dropDuplicates(["doc_id", "start", "len"])
+    laid = wins.join(texts, ["r1", "r2"]).select("r1", "r2", "doc_id", _words("text").alias("w"), "wins")
+    laid = laid.select("r1", "r2", "doc_id", "w", F.explode("wins").alias("x"))
+    laid = laid.select("r1", "r2", "doc_id", F.col("x.start").alias("start"), F.col("x.len").alias("len"), F.col("x.k").alias("k"), F.col("x.laid_for").alias("laid_for"), F.slice("w", F.col("x.start") + 1, F.col("x.len")).alias("ww"))
+    laid = laid.where(F.size("ww") >= F.col("k")).dropDuplicates(["r1", "r2", "start", "len"])
 
     def marked(df: DataFrame, words: str) -> DataFrame:
         df = df.withColumn("sh", _strings(words, F.col("k"))).withColumn("hs", F.transform("sh", lambda s: F.xxhash64(s)))
         return df.withColumn("fp", _simhash("hs"))
 
-    mine = materialize(marked(laid, "ww").select("doc_id", "start", "len", "laid_for", "fp", "sh", F.size("ww").alias("n_words")), "marked")
+    mine = materialize(marked(laid, "ww").select("r1", "r2", "doc_id", "start", "len", "laid_for", "fp", "sh", F.size("ww").alias("n_words")), "marked")
     known = materialize(marked(items, "iw").select("item_id", "item", F.size("iw").alias("len"), F.col("fp").alias("ifp"), F.col("sh").alias("ish")), "known")
-    a = mine.select("doc_id", "start", "len", "fp", "n_words", "sh", _blocks("fp", radius).alias("b")).select("*", "b.block", "b.value").drop("b")
+    a = mine.select("r1", "r2", "doc_id", "start", "len", "fp", "n_words", "sh", _blocks("fp", radius).alias("b")).select("*", "b.block", "b.value").drop("b")
     b = known.select("item_id", "len", "ifp", "ish", _blocks("ifp", radius).alias("b")).select("*", "b.block", "b.value").drop("b")
     near = a.join(b, ["len", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-    pair = ["doc_id", "item_id", "start", "n_words", "sh", "ish"]
-    aligned = mine.select("doc_id", "start", "n_words", "sh", F.explode("laid_for").alias("item")).join(known.select("item", "item_id", "ish"), "item")
+    pair = ["r1", "r2", "doc_id", "item_id", "start", "n_words", "sh", "ish"]
+    aligned = mine.select("r1", "r2", "doc_id", "start", "n_words", "sh", F.explode("laid_for").alias("item")).join(known.select("item", "item_id", "ish"), "item")
     near = aligned.select(*pair).unionByName(near.select(*pair))
-    near = near.withColumn("similarity", _similarity("sh", "ish")).where(F.col("similarity") >= similarity)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words"))
-    return near.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity"))
+    return near.withColumn("similarity", _similarity("sh", "ish")).where(F.col("similarity") >= similarity).drop("sh", "ish")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,7 +201,7 @@ def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, key, node, fp, bands``: node stands for the set of shingles, bands for groups of its least hashes."""
+    """``doc_id, key, key2, node, fp, bands``: the keys stand for the row, node for the set of shingles, bands for groups of its least hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     times, plus = _seeds(BANDS * ROWS)
     at_band = np.arange(1, BANDS + 1, dtype=np.uint64) * U8(0x9E3779B97F4A7C15)
@@ -228,10 +228,11 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                     bands[k] = key
             sizes = np.where(some, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(bands[some].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), lists], names=["doc_id", "key", "node", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("key2"), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), lists], names=["doc_id", "key", "key2", "node", "fp", "bands"])
 
-    keyed = docs.select("doc_id", row_keys()[0].alias("key"), "text")
-    return keyed.mapInArrow(run, f"doc_id {kind}, key long, node long, fp long, bands array<long>")
+    own, other = row_keys()
+    keyed = docs.select("doc_id", own.alias("key"), other.alias("key2"), "text")
+    return keyed.mapInArrow(run, f"doc_id {kind}, key long, key2 long, node long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -266,6 +267,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     document of a bucket meets one other of it, so a group of near copies costs a link a document; then documents
     of a bucket that are still apart are met pair by pair, in blocks, so none is left out.
     """
+    marked, labels = _grouped(docs, shingle, similarity, radius)
+    named = labels.groupBy("label").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "node").join(labels.join(named, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def kept_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """``r1, r2, n``: the ``row_keys`` of the row of each such group that stays, and how often that row repeats.
+    It is the row of the least doc_id, and of the least key among rows that share it; a null doc_id comes last."""
+    marked, labels = _grouped(docs, shingle, similarity, radius)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "key2")
+    first = marked.groupBy("node").agg(F.min(order).alias("first")).join(labels.select("node", "label"), "node").groupBy("label").agg(F.min("first").alias("first"))
+    keys = first.select(F.col("first.key").alias("key"), F.col("first.key2").alias("key2"))
+    return marked.select("key", "key2").join(keys, ["key", "key2"]).groupBy(F.col("key").alias("r1"), F.col("key2").alias("r2")).agg(F.count("*").alias("n"))
+
+
+def _grouped(docs: DataFrame, shingle: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of ``docs``, and ``node, least, label`` of their nodes."""
     spark = docs.sparkSession
     small_batches(spark)
     marked = materialize(sketches(docs, shingle), "sketches")
@@ -301,8 +319,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     member = nodes.select("node", "least", F.col("node").alias("label"))
     if label is not None:
         member = nodes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    named = member.groupBy("label").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(member.join(named, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return marked, member
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
