@@ -1,11 +1,10 @@
-"""Operator 5: byte-exact dedup of repeated 200-byte strings, by distributed prefix doubling.
-
-Spark ranks positions by the string that starts there and drops a position as soon as its rank is
-unique; the compared length grows from round to round until it is past the threshold. Ranks are
-64-bit classes. The positions are the anchors of repeats.py (every 200-byte string holds one), so the
-first round compares grams of 96 bytes; later rounds compare (rank, rank at a larger offset) pairs of
-ranges of windows, and the last round single strings of 200 bytes. Ranking all byte positions instead
-would shuffle eight bytes and more for each byte of text, beyond the disk budget.
+"""Operator 5: byte-exact dedup of repeated 200-byte strings, by content-selected anchors and window hashes.
+
+These replace distributed prefix doubling: there are no sorted ranks and no doubling of pairs. The positions are
+the anchors of repeats.py (every 200-byte string holds one), and three fixed rounds compare 64-bit hashes made from
+the text: grams of 96 bytes, then ranges of windows, then single strings of 200 bytes. A position whose hash is
+unique in a round takes no part in the next. Ranking all byte positions would shuffle eight bytes and more for
+each byte of text: some 7 GB for 0.5 GB of input in the first round alone (calculated), against a disk budget of 2 GB.
 
 Null text counts as empty. Short texts keep all their bytes. Rows that repeat are copies of each other.
 Extra columns are ignored. An empty table gives an empty result. Matches never cross documents.
