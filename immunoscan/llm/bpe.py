@@ -4,8 +4,10 @@ Tier one: a minimal perfect hash over the vocabulary (hash and displace) resolve
 token as a whole. Tier two: misses go through merges by rank, with a heap over a linked list of bytes.
 Resolved pre-tokens are remembered per worker, up to ``REMEMBER`` entries.
 
-Null text counts as empty: no ids. Decoding gives back the bytes. Repeated rows get equal results, extra
-columns are ignored, an empty table gives an empty result.
+Null text counts as empty: no ids. A very long text is read whole, one at a time; a pre-token of any
+length goes through the heap in n log n steps. Among pairs of equal rank the leftmost merges first.
+Decoding gives back the bytes. Repeated rows get equal results, extra columns are ignored, an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ import sys
 import types
 import zlib
 from array import array
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .shared import small_batches, table
 
@@ -134,9 +136,23 @@ class Tokens(dict):
 
 
 def text_ids(text: str, tokens: Tokens, split) -> np.ndarray:
+    """Encodes one text."""
     return np.frombuffer(b"".join(map(tokens.__getitem__, split(text))), np.int32)
 
 
+def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id."""
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, i in ranks.items():
+        out[i] = piece
+    return out
+
+
+def ids_bytes(ids: list[int], pieces: list[bytes]) -> bytes:
+    """Decodes one list of ids."""
+    return b"".join(map(pieces.__getitem__, ids))
+
+
 def _kept(name: str, make):
     """One value a worker process, whatever the number of its tasks."""
     held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
@@ -145,52 +161,47 @@ def _kept(name: str, make):
     return getattr(held, name)
 
 
+class Codec:
+    """A vocabulary and its pattern, shared with the tasks once; a worker builds its lookup once."""
+
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
+        shared = spark.sparkContext.broadcast((ranks, *perfect_hash(list(ranks))))  # the vocabulary: a fixed size
+        name = f"tokens{zlib.crc32(repr((pattern, sorted(ranks.items()))).encode())}"  # which vocabulary a worker remembers
+
+        def tools():
+            import regex
+
+            tokens = _kept(name, lambda: Tokens(*shared.value))
+            return tokens, regex.compile(pattern).findall, _kept(name + "pieces", lambda: pieces_of(tokens.ranks))
+
+        self.tools = tools
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, ids`` with the token ids of the text."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    shift, slots = perfect_hash(list(ranks))
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, shift, slots))  # the vocabulary: a fixed size
+    tools = Codec(docs.sparkSession, ranks, pattern).tools
 
     def run(batches):
-        import regex
-
-        tokens = _kept(f"tokens{name}", lambda: Tokens(*shared.value))
-        split = regex.compile(pattern).findall
+        tokens, split, _ = tools()
         for batch in batches:
-            flat, sizes = [], []
-            for text in batch.column("text").to_pylist():
-                ids = text_ids(text, tokens, split) if text else np.zeros(0, np.int32)
-                flat.append(ids)
-                sizes.append(ids.size)
-            off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+            flat = [text_ids(text, tokens, split) if text else np.zeros(0, np.int32) for text in batch.column("text").to_pylist()]
+            off = np.cumsum([0, *[ids.size for ids in flat]]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
             yield pa.RecordBatch.from_arrays([batch.column(id_col), ids], names=[id_col, "ids"])
 
-    name = zlib.crc32(repr((pattern, sorted(ranks.items()))).encode())  # which vocabulary a worker remembers
     return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], keep_ids: bool = True) -> DataFrame:
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Adds ``decoded``, the bytes of the ids."""
-    vocabulary = [b""] * (max(ranks.values(), default=-1) + 1)
-    for piece, i in ranks.items():
-        vocabulary[i] = piece
-    size = np.array([len(x) for x in vocabulary], np.int64)
-    first = np.cumsum(size) - size
-    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(vocabulary), np.uint8), size, first))
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces_of(ranks))
 
     def run(batches):
-        raw, size, first = shared.value
+        pieces = shared.value
         for batch in batches:
-            lists = batch.column("ids")
-            out = []
-            for k in range(batch.num_rows):
-                ids = lists[k].values.to_numpy()
-                n = size[ids]
-                end = np.cumsum(n)
-                at = np.repeat(first[ids] - (end - n), n)
-                out.append(raw[at + np.arange(at.size)].tobytes())
+            out = [ids_bytes(ids or (), pieces) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
@@ -198,9 +209,24 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], keep_ids: bool = True) -
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    coded = decode(encode(docs, ranks, pattern), ranks)
-    ids = F.expr("replace(substring(cast(ids as string), 2, length(cast(ids as string)) - 2), ', ', ',')")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: ``encode`` and ``decode`` in one pass, so that ids don't travel."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    tools = Codec(docs.sparkSession, ranks, pattern).tools
+
+    def run(batches):
+        tokens, split, pieces = tools()
+        decimal = [str(i) for i in range(len(pieces))]
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                ids = text_ids(text, tokens, split).tolist() if text else []
+                line = ",".join(map(decimal.__getitem__, ids)).encode()
+                rows.append((len(ids), sha256(line).hexdigest(), sha256(ids_bytes(ids, pieces)).hexdigest()))
+            n, one, two = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
