@@ -19,19 +19,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components, forest
 from .numtext import SPACE, U8, chunks, flat, words
-from .shared import materialize, partitions, row_keys, small_batches, table
+from .shared import discard, materialize, partitions, row_keys, small_batches, table
 
 LEAF = 256  # fingerprints a subtree, about
 BANDS, ROWS = 20, 4  # at similarity 0.8 a pair agrees on no band with probability 3e-5
-FAR = 24  # at similarity 0.8 fingerprints differ in 10 of 64 bits on average, standard deviation 3
-ROUNDS = 3  # rounds of similar_groups in which a bucket's documents meet one other each
-BLOCK = 1000  # documents a block of the pairs that remain
+SPREAD = 1000  # pairs that meet one copy of a set
 CHUNK = 20_000  # rows a walk holds at once
+SLACK = 1e-9  # a bound may admit a pair too many, but never lose one to rounding
 
 
 def _lower() -> np.ndarray:
@@ -248,24 +247,79 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, sh array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose shingle sets have at least this Jaccard similarity."""
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    picks = nodes.join(used, "node").select("node", "pick")
-    rows = docs.select(row_keys()[0].alias("key"), "text").join(picks.select(F.col("pick").alias("key")), "key", "left_semi")
-    sets = materialize(_sets(rows, shingle).dropDuplicates(["key"]).join(picks.withColumnRenamed("pick", "key"), "key").select("node", "sh"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a")
+def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """``node, pick`` of the nodes that share a band of least hashes, or a link of the trie join, with another node."""
+    bands = nodes.select("node", F.explode("bands").alias("bucket"))
+    met = bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    by_fp = materialize(nodes.where("size(bands) > 0").groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
+    links = trie_links(by_fp.select("fp"), radius)
+    near = links.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(by_fp.where("n > 1").select("fp")).distinct()
+    found = bands.join(met, "bucket").select("node").unionByName(nodes.join(near, "fp").select("node")).distinct()
+    return nodes.join(found, "node").select("node", "pick")
+
+
+def _rare_first(sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, n, sh, rest``: the rows of the prefix index. Shingles are ordered by the number of nodes that have them,
+    then by hash; rest counts a node's shingles from this one on. The first shingle that two nodes share has all
+    their common shingles behind it, so it has a row in both: rest can't be less than similarity * n."""
+    each = sets.select("node", F.size("sh").alias("n"), F.explode("sh").alias("sh"))
+    shared = each.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")
+    back = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), F.desc("sh")))
+    ranked = each.join(shared, "sh").withColumn("rest", back)
+    return ranked.where(F.col("rest") + SLACK >= F.lit(similarity) * F.col("n")).select("node", "n", "sh", "rest")
+
+
+def _reach(similarity: float, rest: str = "rest", n: str = "n"):
+    """The greatest size of another set that still can have this similarity, given the shingles from here on."""
+    return F.lit((1 + similarity) / similarity) * F.col(rest) - F.col(n) + SLACK
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose shingle sets have at least this Jaccard similarity. A node may stand in very
+    many pairs as b: a copy of its set serves ``SPREAD`` of them."""
+    met = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPREAD).alias("copies"))
+    right = sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")).join(met, "b").select("b", "sb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    dealt = pairs.join(met, "b").select("a", "b", F.pmod(F.xxhash64("a"), "copies").alias("copy"))
+    both = dealt.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(right, ["b", "copy"])
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return both.where(common + SLACK >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def _with_heads(index: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each node of a shingle's rows with one of them, that with the least share of rarer shingles: in a group
+    of edited copies it is nearest to what they were copied from, so most of the group links with it."""
+    order = (F.col("n") - F.col("rest")) / F.col("n")
+    heads = index.groupBy("sh").agg(F.min(F.struct(order.alias("o"), "node", "n", "rest")).alias("h"), F.count("*").alias("m")).where("m > 1")
+    met = index.join(heads, "sh").where((F.col("node") != F.col("h.node")) & (F.col("h.n") <= _reach(similarity)) & (F.col("n") <= _reach(similarity, "h.rest", "h.n")))
+    return met.select(F.col("node").alias("a"), F.col("h.node").alias("b")).distinct()
+
+
+def _still_apart(index: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """All pairs that share a row of the index, can be similar by their sizes and places, and have different labels.
+
+    Rows of a shingle's commonest label meet only rows of other labels, and only those whose sizes are near."""
+    named = index.join(label, "node", "left").select("node", "n", "sh", "rest", F.coalesce("label", "node").alias("label"))
+    named = named.withColumn("reach", _reach(similarity))
+
+    def mixed(rows):
+        by_label = rows.groupBy("sh", "label").agg(F.count("*").alias("c"), F.min("n").alias("least"))
+        by = by_label.groupBy("sh").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.min("least").alias("least"))
+        return rows.join(by.where("labels > 1").select("sh", "main", "least"), "sh").where("reach >= least").drop("least")
+
+    rows = materialize(mixed(mixed(named).drop("main")).withColumn("cls", F.floor(F.log("n") / F.lit(-math.log(similarity)) + SLACK)), "apart")
+    few = rows.where("label <> main").select("sh", F.explode(F.sequence(F.col("cls") - 1, F.col("cls") + 1)).alias("cls"), *[F.col(c).alias(c + "_a") for c in ("node", "n", "reach", "label")])
+    both = few.join(rows, ["sh", "cls"]).where("label <> label_a and n <= reach_a and n_a <= reach")
+    pairs = materialize(both.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct(), "pairs")
+    discard(rows)
+    return pairs
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """``doc_id, component_id``: groups by links between documents whose shingle sets have this Jaccard similarity.
 
-    Candidates are the links of the trie join, and documents that agree on a band of least hashes and whose
-    fingerprints are within ``FAR`` bits. Every link is verified on the shingle sets. In the first rounds each
-    document of a bucket meets one other of it, so a group of near copies costs a link a document; then documents
-    of a bucket that are still apart are met pair by pair, in blocks, so none is left out.
+    Candidates are documents with a link of the trie join, or that agree on a band of least hashes. Among them links are
+    found exactly, by a prefix index over their rarest shingles: first each document of an index entry meets one other,
+    so a group of near copies costs a link a document; then all pairs that are still apart and can be similar.
     """
     marked, labels = _grouped(docs, shingle, similarity, radius)
     named = labels.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -284,42 +338,21 @@ def kept_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius
 
 def _grouped(docs: DataFrame, shingle: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
     """The sketches of ``docs``, and ``node, least, label`` of their nodes."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     marked = materialize(sketches(docs, shingle), "sketches")
     nodes = materialize(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("key").alias("pick"), F.min("doc_id").alias("least")), "nodes")
-    by_fp = nodes.where("size(bands) > 0").groupBy("fp").agg(F.min("node").alias("node"))
-    near = trie_links(materialize(by_fp.select("fp"), "fingerprints"), radius)
-    tried = near.join(by_fp.toDF("a", "na"), "a").join(by_fp.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    members = nodes.select("node", "fp", F.explode("bands").alias("bucket"), F.col("node").alias("label"))
-    links = label = None
-    for turn in range(ROUNDS + 1):
-        if label is not None:
-            named = nodes.select("node", "fp", F.explode("bands").alias("bucket")).join(label, "node", "left")
-            members = named.select("node", "fp", "bucket", F.coalesce("label", "node").alias("label"))
-        apart = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min_by(F.struct("node", "fp", "label"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("lo <> hi")
-        met = members.join(apart.select("bucket", "m", "lead"), "bucket")
-        if turn < ROUNDS:
-            met = met.where((F.col("label") != F.col("lead.label")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= FAR))
-            pairs = met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
-        else:
-            met = materialize(met.select("bucket", "node", "fp", "label", F.ceil(F.col("m") / BLOCK).alias("k")).withColumn("own", F.pmod(F.xxhash64("node"), "k")), "apart")
-            left = met.select("bucket", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("k") - 1)).alias("j"), F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("label").alias("la"))
-            right = met.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("label").alias("lb"))
-            both = left.join(right, ["bucket", "i", "j"]).where((F.col("la") != F.col("lb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR))
-            pairs = both.select("a", "b")
-        if turn == 0:
-            pairs = pairs.unionByName(tried)
-        pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = _verified(pairs, nodes, docs, shingle, similarity)
-        links = materialize(found if links is None else links.unionByName(found), "links")
-        label = materialize(components(links), "components")
-    member = nodes.select("node", "least", F.col("node").alias("label"))
-    if label is not None:
-        member = nodes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    return marked, member
+    picks = materialize(_candidates(nodes, radius), "candidates")
+    rows = docs.select(row_keys()[0].alias("key"), "text").join(picks.select(F.col("pick").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    sets = materialize(_sets(rows, shingle).join(picks.withColumnRenamed("pick", "key"), "key").select("node", "sh"), "sets")
+    index = materialize(_rare_first(sets, similarity), "index")
+    links = materialize(_verified(materialize(_with_heads(index, similarity), "pairs"), sets, similarity), "links")
+    label = materialize(components(links), "components")
+    more = materialize(_verified(_still_apart(index, label, similarity), sets, similarity), "links")
+    if not more.isEmpty():
+        label = materialize(components(links.unionByName(more)), "components")
+    for done in (picks, sets, index, links, more):
+        discard(done)
+    return marked, nodes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,7 +266,7 @@ def test_pipeline(spark):
 
 
 def test_similar_groups(spark, none):
-    """Near copies, their copies and chains against all pairs; blocks of two documents exercise the last round."""
+    """Near copies, their copies and chains against all pairs."""
     near = []
     for _ in range(12):
         words = prose(150).split(" ")
@@ -295,9 +295,11 @@ def test_similar_groups(spark, none):
         if d is not None:
             least[g] = min(d, least.get(g, d))
     want = Counter((d, least.get(g)) for (d, _), g in zip(rows, label, strict=True))
-    for rounds, block in ((simhash_dedup.ROUNDS, simhash_dedup.BLOCK), (0, 2)):
+    for heads, spread in ((True, 1000), (False, 2)):  # without the first round, the second one finds all links
         with pytest.MonkeyPatch.context() as patch:
-            patch.setattr(simhash_dedup, "ROUNDS", rounds)
-            patch.setattr(simhash_dedup, "BLOCK", block)
+            patch.setattr(simhash_dedup, "SPREAD", spread)
+            if not heads:
+                first = simhash_dedup._with_heads
+                patch.setattr(simhash_dedup, "_with_heads", lambda *x: first(*x).limit(0))
             assert Counter(map(tuple, simhash_dedup.similar_groups(df).collect())) == want
     assert simhash_dedup.similar_groups(none).count() == 0
