@@ -1,23 +1,28 @@
 """Operator 1: benchmark decontamination by SimHash over item-sized windows.
 
-A window can be similar to an item only if they share a shingle, so windows are laid where a document has a
-shingle of an item, in line with it, as long as the item. Every pair of a window and the item it was laid for
-is a candidate, however far apart their fingerprints are. Beside them, each window and each item has a 64-bit
-SimHash of its shingles. Fingerprints are cut into ``radius + 1`` blocks: two within ``radius`` bits agree on one
-block at least, so an equality join on (length, block, value) finds all of them, also for other items. Candidates
-are verified exactly: weighted Jaccard similarity of the shingle multisets, at least ``similarity``.
+A window of a document that is similar to an item shares at least ``similarity / (1 + similarity)`` of both sizes of
+shingles with it. So an item meets only documents that have one of its rarest shingles (as many that an item without
+any of them shares too few), and for each such pair the places of all shared shingles give every start at which a
+window as long as the item can be similar enough. Of these the most similar is laid, the first of equals. No
+window that passes is lost, in whatever order the document has the item's parts.
+
+Each laid window and each item has a 64-bit SimHash of its shingles. Fingerprints are cut into ``radius + 1`` blocks:
+two within ``radius`` bits agree on one block at least, so an equality join on (length, block, value) finds all of
+them, also for other items. These candidates, and each window with the item it was laid for, are verified exactly:
+weighted Jaccard similarity of the shingle multisets, at least ``similarity``.
 
 All of it is DataFrame work. Item shingles are broadcast only while there are at most ``BROADCAST_ROWS``;
 beyond that the join shuffles, and only documents with a hit are joined with their text again.
 
 Words are maximal runs of non-space characters, lower-cased. An item with fewer than ``shingle`` words has
-one shingle, all of them. Null, empty and blank texts match nothing. Repeated rows report once. Extra columns
-are ignored; an empty table gives an empty result.
+one shingle, all of them. A document shorter than an item is one window. Null, empty and blank texts match
+nothing. A very long text is exploded to a row a word, and costs a pair with an item its shared places. Repeated
+rows report once. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, row_keys, table
@@ -25,6 +30,7 @@ from .shared import materialize, row_keys, table
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 12
+SLACK = 1e-9  # a bound may admit a window too many, but never lose one to rounding
 BROADCAST_ROWS = 200_000
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -55,7 +61,10 @@ def _blocks(fp: str, radius: int) -> Column:
 
 def _similarity(a: str, b: str) -> Column:
     """Weighted Jaccard of two arrays of shingles; a shingle weighs as often as it occurs."""
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, s: acc + F.least(F.size(F.filter(a, lambda x: x == s)), F.size(F.filter(b, lambda x: x == s))))
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    count = lambda x, s: F.size(F.filter(x, lambda y: y == s))
+    each = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, s: acc + F.least(count(a, s), count(b, s)))
+    both = F.when(plain, F.size(F.array_intersect(a, b))).otherwise(each)  # where one has no repeats, each shared shingle weighs one
     return both.cast("double") / (F.size(a) + F.size(b) - both)
 
 
@@ -81,27 +90,16 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, shingle: int, similarity: floa
     items = items.withColumn("k", F.least(F.size("iw"), F.lit(shingle))).withColumn("item", F.xxhash64("item_id", "iw"))
     items = materialize(items, "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most ``shingle`` values
-    base = docs.where("text is not null").select(*row_keys(), _words("text").alias("w"))
+    texts = docs.where("text is not null").select("doc_id", *row_keys(), _words("text").alias("w"))
     wins = None
     for k in sizes:
-        own = items.where(F.col("k") == k)
-        grams = own.select("item", F.size("iw").alias("len"), F.posexplode(_hashes("iw", k)).alias("o", "h")).distinct()
-        grams = materialize(grams, "grams")
-        small = grams.count() <= BROADCAST_ROWS
-        at = base.select("r1", "r2", F.size("w").alias("nw"), F.posexplode(_hashes("w", k)).alias("p", "h"))
-        hits = at.join(F.broadcast(grams) if small else grams, "h")
-        last = F.greatest(F.lit(0), F.col("nw") - F.col("len"))
-        part = hits.select("r1", "r2", F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), last)).alias("start"), "len", F.lit(k).alias("k"), "item")
+        part = _windows(texts, items.where(F.col("k") == k), k, similarity)
         wins = part if wins is None else wins.unionByName(part)
     if wins is None:
         return docs.select(*row_keys(), "doc_id").limit(0).selectExpr("r1", "r2", "doc_id", "cast(null as long) item_id", "cast(null as int) start", "cast(null as int) n_words", "cast(null as double) similarity")
-    wins = wins.groupBy("r1", "r2", "start", "len", "k").agg(F.collect_set("item").alias("laid_for"))
-    wins = materialize(wins.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "len", "k", "laid_for")).alias("wins")), "windows")
-    texts = docs.where("text is not null").select("doc_id", "text", *row_keys())
-    laid = wins.join(texts, ["r1", "r2"]).select("r1", "r2", "doc_id", _words("text").alias("w"), "wins")
-    laid = laid.select("r1", "r2", "doc_id", "w", F.explode("wins").alias("x"))
-    laid = laid.select("r1", "r2", "doc_id", F.col("x.start").alias("start"), F.col("x.len").alias("len"), F.col("x.k").alias("k"), F.col("x.laid_for").alias("laid_for"), F.slice("w", F.col("x.start") + 1, F.col("x.len")).alias("ww"))
-    laid = laid.where(F.size("ww") >= F.col("k")).dropDuplicates(["r1", "r2", "start", "len"])
+    wins = materialize(wins.groupBy("r1", "r2", "start", "len", "k").agg(F.collect_set("item").alias("laid_for")), "windows")
+    laid = texts.join(wins, ["r1", "r2"]).select("r1", "r2", "doc_id", "start", "len", "k", "laid_for", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww"))
+    laid = laid.dropDuplicates(["r1", "r2", "start", "len"])
 
     def marked(df: DataFrame, words: str) -> DataFrame:
         df = df.withColumn("sh", _strings(words, F.col("k"))).withColumn("hs", F.transform("sh", lambda s: F.xxhash64(s)))
@@ -118,5 +116,47 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, shingle: int, similarity: floa
     return near.withColumn("similarity", _similarity("sh", "ish")).where(F.col("similarity") >= similarity).drop("sh", "ish")
 
 
+def _windows(texts: DataFrame, items: DataFrame, k: int, similarity: float) -> DataFrame:
+    """r1, r2, item, start, len, k: for each document and item the most similar window, if it is similar enough.
+
+    items: item, iw, all with shingles of k words."""
+    each = items.select("item", F.size("iw").alias("len"), (F.size("iw") - k + 1).alias("m"), F.posexplode(_hashes("iw", k)).alias("o", "h")).distinct()
+    each = materialize(each, "grams")
+    small = each.count() <= BROADCAST_ROWS
+    near = F.broadcast if small else lambda df: df
+    spread = each.groupBy("h").agg(F.count_distinct("item").alias("items"))
+    order = F.row_number().over(Window.partitionBy("item").orderBy("items", "h", "o"))
+    probes = each.join(spread, "h").withColumn("nth", order).where(F.col("nth") <= F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - SLACK) + 1).select("h", "item").distinct()
+    at = texts.select("r1", "r2", F.explode(_hashes("w", k)).alias("h"))
+    pairs = materialize(at.join(near(probes), "h").select("r1", "r2", "item").distinct(), "pairs")
+
+    grams = each.groupBy("item", "len", "m", "h").agg(F.count("*").alias("c"))
+    met = texts.join(pairs, ["r1", "r2"]).dropDuplicates(["r1", "r2", "item"]).withColumn("hs", _hashes("w", k))
+    spots = met.select("r1", "r2", "item", F.size("hs").alias("nd"), F.posexplode("hs").alias("p", "h")).join(near(grams), ["item", "h"])
+    hits = spots.groupBy("r1", "r2", "item", "len", "m", "nd").agg(F.array_sort(F.collect_list(F.struct("p", "h", "c"))).alias("hits"))
+    hits = hits.withColumn("mw", F.least("m", "nd"))
+    hits = hits.withColumn("least", F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("mw")) - SLACK).cast("int"))
+    p = lambda i: F.get("hits", i)["p"]
+
+    def starts(i):
+        """Starts of windows whose first shared shingle is the i-th and that can have enough of them."""
+        low = F.greatest(F.lit(0), F.coalesce(p(i - 1) + 1, F.lit(0)), p(i) - F.col("mw") + F.col("least"))
+        high = F.least(p(i), F.col("nd") - F.col("mw"))
+        enough = (p(i + F.col("least") - 1) <= p(i) + F.col("mw") - 1) & (low <= high)
+        return F.when(enough, F.transform(F.sequence(low, high), lambda s: F.struct(s.alias("s"), (i + 1).alias("i")))).otherwise(F.array().cast("array<struct<s:int,i:int>>"))
+
+    def score(x):
+        inside = F.filter(F.slice("hits", x["i"], F.col("mw")), lambda hit: hit["p"] < x["s"] + F.col("mw"))
+        kinds = F.array_distinct(F.transform(inside, lambda hit: F.struct(hit["h"].alias("h"), hit["c"].alias("c"))))
+        common = F.when(F.size(kinds) == F.size(inside), F.size(inside)).otherwise(
+            F.aggregate(kinds, F.lit(0), lambda acc, g: acc + F.least(g["c"].cast("int"), F.size(F.filter(inside, lambda hit: hit["h"] == g["h"]))))
+        )
+        return F.struct((common / (F.col("m") + F.col("mw") - common)).alias("similarity"), (-x["s"]).alias("s"))
+
+    tried = F.flatten(F.transform(F.sequence(F.lit(0), F.size("hits") - 1), starts))
+    best = hits.where(F.size("hits") >= F.col("least")).withColumn("best", F.array_max(F.transform(tried, score)))
+    return best.where(F.col("best.similarity") >= similarity - SLACK).select("r1", "r2", "item", (-F.col("best.s")).alias("start"), "len", F.lit(k).alias("k"))
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

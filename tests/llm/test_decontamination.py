@@ -40,3 +40,30 @@ def test_edited_items_are_found_whatever_their_fingerprints(spark):
     bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contaminated(df, bench).collect()}
     assert len(want) > 200 and got == pytest.approx(want)
+
+
+def check(spark, items, docs):
+    want = {}
+    for d, text in docs:
+        for k, item in enumerate(items):
+            n = min(len(item), len(text))
+            best = max(((similarity(text[i : i + n], item), -i) for i in range(len(text) - n + 1)), default=(0, 0))
+            if best[0] >= 0.8:
+                want[d, k] = max(best, want.get((d, k), best))
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], -r["start_word"]) for r in decontamination.contaminated(df, bench).collect()}
+    assert got.keys() == want.keys()
+    assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()})
+    return want
+
+
+def test_windows_of_any_order_and_rows_of_one_id(spark):
+    items = [prose(90) for _ in range(20)]
+    items += [prose(40) + items[0][:50], ["the", "same"] * 30, prose(12) * 4]  # shared and repeated shingles
+    docs = [(k, prose(75) + item[45:] + item[:45] + prose(75)) for k, item in enumerate(items[:20])]
+    docs += [(100, list(items[1])), (100, list(items[2])), (100, list(items[3]))]
+    docs += [(101, items[4][:80]), (102, items[5][:60]), (103, prose(30) + ["the", "same"] * 28 + ["end"] + prose(9)), (104, prose(5) + items[22][:-3] + prose(50) + items[22]), (105, items[6] + items[6][10:] + prose(4))]
+    docs += [(106, prose(3000) + items[7][:44] + ["x"] + items[7][44:] + prose(3000))]
+    want = check(spark, items, docs)
+    assert {(k, k) for k in range(20)} <= want.keys() and {(100, 1), (100, 2), (100, 3), (101, 4)} <= want.keys()
