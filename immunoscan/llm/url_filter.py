@@ -1,22 +1,24 @@
 """Operator 6: URL filter by the ratio of two character language models.
 
-Rules decide what they fit. The URLs they allow and block also train two variable-order Markov models
-over host and path: counts of all grams up to ``order`` characters, smoothed from order to order. The
-other URLs are judged by the log-likelihood difference of the longest known contexts, divided by the
-length, against a threshold calibrated on the URLs of both kinds (equal distance in standard deviations).
+Rules decide what they fit. Of the distinct URLs they allow and block, those whose hash modulo 5 is not 0 train two
+variable-order Markov models over host and path: counts of all grams up to ``order`` characters, smoothed from
+order to order. The other fifth calibrates: a URL scores the log-likelihood difference of the longest known
+contexts, divided by its length, and the threshold is the one with the least sum of both kinds' error rates on that
+fifth (the middle between two scores; the least of equal ones). URLs without a rule are judged by it.
 
 All of it is DataFrame work. The score of a gram is stored as the difference to its suffix's score, so that
 a URL's score is a plain sum over its known grams, with map-side aggregation. The model is broadcast only
 while it has at most ``BROADCAST_ROWS`` grams; beyond that the join shuffles.
 
-A null url, or one without ``://``, has an empty host and path, fits no rule and scores 0. Without URLs of
-both kinds the threshold is 0 and every other URL scores 0: allow. Repeated rows get equal verdicts. Extra
+A null url, or one without ``://``, has an empty host and path, fits no rule and scores 0; a score equal to the
+threshold is allowed. Without URLs of both kinds in both parts the threshold is 0; without any to train on every
+other URL scores 0: allow. A very long url gives a row for each of its grams. Repeated rows get equal verdicts. Extra
 columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, table
@@ -75,33 +77,51 @@ def _model(grams: DataFrame, order: int) -> DataFrame:
     return done
 
 
+def _held(text: str = "t") -> Column:
+    return F.pmod(F.xxhash64(text, F.lit(6)), F.lit(5)) == 0
+
+
+def calibrated(scored: DataFrame) -> tuple[float, float, float]:
+    """Threshold, and the error rates of accepted and rejected URLs at it. scored: ruled, score, n.
+
+    Scores are counted in steps of a thousandth, so the ordered window holds a few thousand rows, whatever the table's size."""
+    step = scored.groupBy(F.floor(F.col("score") * 1000).alias("step")).agg(F.sum(F.when(F.col("ruled") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("ruled") == "block", F.col("n")).otherwise(0)).alias("r"))
+    below = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
+    wrong = step.select("step", (F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(every)).alias("ea"), (1 - F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(every)).alias("er"), F.lag("step").over(Window.orderBy("step")).alias("before"))
+    best = wrong.where(F.col("ea").isNotNull() & F.col("er").isNotNull()).orderBy(F.col("ea") + F.col("er"), "step").first()
+    if best is None:
+        return 0.0, 0.0, 0.0
+    low = best["step"] if best["before"] is None else best["before"] + 1
+    return (low + best["step"]) / 2000, best["ea"], best["er"]
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, order: int = ORDER) -> DataFrame:
-    """page_id, host, path, rule, verdict, score of every page."""
+    """page_id, host, path, rule, verdict, score, cut, error_allow, error_block of every page; the last two are the error rates
+    of the threshold on the URLs held out."""
     host, path = split_url(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("t"))
     urls = materialize(base.groupBy("t", "ruled").agg(F.count("*").alias("n")), "urls")
     yes, no = (F.when(F.col("ruled") == x, F.col("n")).otherwise(0) for x in ("allow", "block"))
-    taught = urls.where("ruled is not null").select("t", yes.alias("a"), no.alias("r"))
+    taught = urls.where(F.col("ruled").isNotNull() & ~_held()).select("t", yes.alias("a"), no.alias("r"))
     kinds = taught.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first()
+    none = [F.lit(0.0).alias(c) for c in ("cut", "error_allow", "error_block")]
     if not all(kinds):
-        return base.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+        return base.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"), *none)
     grams = _grams(taught, order, "a", "r").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
     model = materialize(_model(grams, order), "deltas")
     small = model.count() <= BROADCAST_ROWS
-    hits = _grams(urls, order, "t", "ruled", "n").join(F.broadcast(model) if small else model, "gram")
+    asked = urls.where(F.col("ruled").isNull() | _held())
+    hits = _grams(asked, order, "t", "ruled", "n").join(F.broadcast(model) if small else model, "gram")
     score = (F.sum("delta") / F.length("t")).alias("score")
     scored = materialize(hits.groupBy("t", "ruled", "n").agg(score), "scores")
-    spread = {
-        r["ruled"]: (r["mean"], r["sd"])
-        for r in scored.where("ruled is not null").groupBy("ruled").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("sd")).collect()
-    }  # two rows
-    (am, asd), (rm, rsd) = spread["allow"], spread["block"]
-    cut = (am * rsd + rm * asd) / (asd + rsd) if asd + rsd else (am + rm) / 2
+    cut, wrong_allow, wrong_block = calibrated(scored.where("ruled is not null"))
     out = base.join(scored.where("ruled is null").select("t", "score"), "t", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     verdict = F.coalesce("ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("ruled").isNull(), F.col("score")).alias("score"))
+    rates = [F.lit(v).alias(c) for c, v in (("cut", cut), ("error_allow", wrong_allow), ("error_block", wrong_block))]
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("ruled").isNull(), F.col("score")).alias("score"), *rates)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
