@@ -4,11 +4,15 @@ Three patterns give base spans. A wider pattern gives candidates: runs of 20 and
 letters and digits. Values are hashed and counted by distinct repository and owner over all documents, in
 two map-side aggregations: a value that few owners hold and that looks live (mixed characters) is theirs,
 one that many hold is an example. Candidates that are owner-specific and overlap no base span are added.
+The repository is the column source. No column names an owner, so the text itself stands for it: exact copies of
+a document have one owner, other documents with the value one more each. So an example that stands in many
+documents of one source is told apart from a key that only copies of one document have.
 
 Positions come from the gaps between matches, so no marker can clash with a text. They are code points,
 end exclusive, of whole matches. All of it is DataFrame work.
 
-Null text counts as empty; a null source is one unknown repository. Repeated rows count as one document
+Null text counts as empty; a null source is one unknown repository. A very long text is scanned whole in its row.
+Of matches of a kind the leftmost counts; spans that start together are listed in the order of kinds. Repeated rows count as one document
 for ownership and get equal results. Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -54,14 +58,15 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, repo: str = "source", owner: str = "source") -> DataFrame:
-    """r1, r2, doc_id, base and added: the spans of each document, with value hashes, and live hashes."""
+def scan(docs: DataFrame, repo: str = "source", owner: str | None = None) -> DataFrame:
+    """r1, r2, doc_id, base and added: the spans of each document, with value hashes, and live hashes. ``owner``: a column,
+    None for the hash of the text."""
     text = F.coalesce("text", F.lit(""))
     found = docs.select(
         *row_keys(),
         "doc_id",
         F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("repo"),
-        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
+        (F.xxhash64("text").cast("string") if owner is None else F.coalesce(F.col(owner).cast("string"), F.lit(""))).alias("owner"),
         F.concat(*[_spans(text, kind, k, rx, group, least) for k, (kind, rx, group, least) in enumerate(KINDS)]).alias("base"),
         _spans(text, OWNED[0], len(KINDS), *OWNED[1:]).alias("wide"),
     )
@@ -69,7 +74,7 @@ def scan(docs: DataFrame, repo: str = "source", owner: str = "source") -> DataFr
     some = found.where("size(base) > 0 or size(wide) > 0")
     each = some.select("r1", "r2", "repo", "owner", F.explode(F.concat("base", "wide")).alias("s"))
     held = each.select(F.col("s.value").alias("value"), "repo", "owner").groupBy("value", "repo", "owner").agg(F.count("*").alias("n"))
-    owners = held.groupBy("value", "owner").agg(F.count("*").alias("repos")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    owners = held.groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
     live = owners.where((F.col("owners") <= OWNERS) & (F.col("repos") <= OWNERS)).select("value")
     kept = each.select("r1", "r2", F.col("s.value").alias("value")).distinct().join(live, "value", "left_semi")
     kept = kept.groupBy("r1", "r2").agg(F.collect_list("value").alias("live"))
