@@ -11,7 +11,8 @@ Only the 16 x 16 table of requests comes to the driver. Ranks are taken in two l
 then bucket offsets), so that no window holds a shard or a large text as a whole.
 
 Null text counts as the empty text: no bytes, size 1, crc32 0; null and empty are linked. Repeated rows
-are linked copies. Extra columns are ignored; an empty table gives an empty result.
+are linked copies. A very long text counts by its hash only. Of requests with equal gain those of the lesser
+hash bucket, then of the lesser hash of the text, come first. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,21 +23,22 @@ from pyspark.sql import functions as F
 from .shared import materialize, partitions, table
 
 
-def ranked(df: DataFrame, by: list[str], order: list[str], weight: str | None = None, name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: list[str], weight: str | None = None, name: str = "rank", first: list[str] | None = None) -> DataFrame:
     """Adds a gapless rank from 0 within ``by`` (or the sum of ``weight`` before the row).
 
-    Rows are ordered by a hash bucket, then by ``order``. Buckets grow with the session's partitions.
+    Rows are ordered by ``first`` (columns of few values), then by a hash bucket, then by ``order``. Buckets grow with the
+    session's partitions.
     """
-    spark = df.sparkSession
+    spark, first = df.sparkSession, first or []
     buckets = max(64, 4 * partitions(spark))
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
     held = df.withColumn("bucket_", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    inner = Window.partitionBy(*by, "bucket_").orderBy(*order)
+    inner = Window.partitionBy(*by, *first, "bucket_").orderBy(*order)
+    sums = held.groupBy(*by, *first, "bucket_").agg(F.sum(w).alias("sum_"))
     held = held.withColumn("inner_", F.sum(w).over(inner.rowsBetween(Window.unboundedPreceding, 0)) - w)
-    sums = df.withColumn("bucket_", F.pmod(F.xxhash64(*order), F.lit(buckets))).groupBy(*by, "bucket_").agg(F.sum(w).alias("sum_"))
-    outer = Window.partitionBy(*by).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*by, "bucket_", F.coalesce(F.sum("sum_").over(outer), F.lit(0)).alias("before_"))
-    return held.join(sums, [*by, "bucket_"]).withColumn(name, (F.col("inner_") + F.col("before_")).cast("long")).drop("bucket_", "inner_", "before_")
+    outer = Window.partitionBy(*by).orderBy(*first, "bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, *first, "bucket_", F.coalesce(F.sum("sum_").over(outer), F.lit(0)).alias("before_"))
+    return held.join(sums, [*by, *first, "bucket_"]).withColumn(name, (F.col("inner_") + F.col("before_")).cast("long")).drop("bucket_", "inner_", "before_")
 
 
 def _pick(value: Column, edges: list[int]) -> Column:
@@ -66,13 +68,13 @@ def propagate(counts: DataFrame, room: list[int], rounds: int) -> DataFrame:
         # a text's target: the shard with most of its documents; a full one only by swaps
         best = Window.partitionBy("grp")
         aim = counts.withColumn("most", F.max(F.struct("n", open_[F.col("shard")].alias("open"), (-F.col("shard")).alias("shard"))).over(best))
-        asks = aim.select("grp", "shard", "n", (-F.col("most.shard")).alias("to"), (F.col("most.n") - F.col("n")).alias("gain")).where("shard <> to")
+        asks = aim.select("grp", "shard", "n", (-F.col("most.shard")).alias("to"), (F.col("n") - F.col("most.n")).alias("loss")).where("shard <> to")
         asked = {(r["shard"], r["to"]): r["n"] for r in asks.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}  # at most shards ** 2 rows
         grant = _quotas(asked, load, room)
         if not any(grant.values()):
             break
         limit = F.create_map(*[x for (i, j), n in grant.items() for x in (F.lit(i * shards + j), F.lit(n).cast("long"))])
-        order = ranked(asks, ["shard", "to"], ["gain", "grp"], "n", "before")
+        order = ranked(asks, ["shard", "to"], ["grp"], "n", "before", ["loss"])  # the greatest gain first
         left = limit[F.col("shard") * shards + F.col("to")] - F.col("before")
         moves = order.withColumn("take", F.greatest(F.lit(0), F.least("n", left))).where("take > 0")
         flow = moves.select("grp", "shard", (-F.col("take")).alias("n")).unionByName(moves.select("grp", F.col("to").alias("shard"), F.col("take").alias("n")))
@@ -80,8 +82,9 @@ def propagate(counts: DataFrame, room: list[int], rounds: int) -> DataFrame:
     return counts
 
 
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 6, salts: int = 64) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, rounds: int = 6, salts: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every document."""
+    salts = salts or max(64, 4 * partitions(docs.sparkSession))
     text = F.coalesce("text", F.lit(""))
     base = docs.select(
         "doc_id",
