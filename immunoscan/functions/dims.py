@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 AA = "ACDEFGHIKLMNPQRSTVWY"
 
+# The three-letter names of the letters, in the order of AA.
+NAMES = "ALA CYS ASP GLU PHE GLY HIS ILE LYS LEU MET ASN PRO GLN ARG SER THR VAL TRP TYR".split()
+
 # Published scales, in the order of AA.
 SCALES = {
     "emini": [0.815, 0.394, 1.283, 1.445, 0.695, 0.714, 1.180, 0.603, 1.545, 0.603, 0.714, 1.296, 1.236, 1.348, 1.475, 1.115, 1.184, 0.606, 0.808, 1.089],
@@ -18,6 +21,21 @@ SCALES = {
 }
 # Antigen propensity by log-odds, in the order of AA.
 PROPENSITY = [-0.02, -0.41, 0.25, 0.21, -0.44, -0.07, 0.10, -0.50, 0.13, -0.55, -0.34, 0.15, 0.02, 0.07, 0.09, 0.10, 0.04, -0.45, -0.20, 0.04]
+# Hydropathy in tenths, in the order of AA.
+HYDROPATHY = [18, 25, -35, -35, 28, -4, -32, 45, -39, 38, 19, -35, -16, -35, -45, -8, -7, 42, -9, -13]
+# Volume and polarity, scaled to 0..1, in the order of AA.
+VOLUME = [0.167, 0.287, 0.313, 0.380, 0.593, 0.000, 0.433, 0.453, 0.487, 0.453, 0.467, 0.320, 0.287, 0.387, 0.547, 0.207, 0.280, 0.380, 0.733, 0.600]
+POLARITY = [0.000, 0.128, 1.000, 0.932, 0.068, 0.000, 0.449, 0.000, 0.694, 0.000, 0.068, 0.593, 0.221, 0.559, 0.763, 0.322, 0.322, 0.000, 0.186, 0.373]
+# Letter classes.
+HYDROPHOBIC, BASIC, POLAR, ACIDIC, CLEAVABLE, SMALL = "AILMFVWPY", "KRH", "STNQ", "DE", "AGSTCVN", "AGSCT"
+# What a neighbour adds to an O-glycosylation site, in thousandths: half its propensity, and 50 for S and T.
+O_GLYCO = {"P": 150, "T": 150, "S": 150, "A": 50, "V": 50, "E": -100, "D": -100, "K": -50, "R": -50}
+# Shares of letters at -3, -1 and +1 of a cut; letters not listed have 0.01, the background is 0.05.
+CUT_SHARES = {
+    -3: {"A": 0.45, "V": 0.15, "S": 0.10, "G": 0.08, "L": 0.07, "I": 0.05, "T": 0.05, "C": 0.03, "F": 0.02},
+    -1: {"A": 0.55, "G": 0.15, "S": 0.12, "C": 0.06, "T": 0.05, "V": 0.04, "L": 0.02, "Q": 0.01},
+    1: {"A": 0.20, "Q": 0.12, "S": 0.10, "D": 0.09, "E": 0.08, "G": 0.07, "T": 0.07, "N": 0.06, "K": 0.05},
+}
 # Default window and threshold (None: the sequence's mean).
 METHODS = {"emini": (6, 1.0), "parker": (7, None), "chou-fasman": (7, None), "kolaskar-tongaonkar": (7, 1.0), "karplus-schulz": (7, 1.0)}
 LINEAR = [m for m in METHODS if m != "emini"]

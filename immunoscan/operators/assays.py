@@ -34,9 +34,13 @@ def validate(claims: DataFrame, seqs: DataFrame) -> DataFrame:
     return both.select("seq_id", "pep_id", "peptide", "n", found.alias("at"), slice_.alias("exact")).where("at > 0")
 
 
-def capped(cands: DataFrame, per: str, order: list, cap: int, top: int) -> DataFrame:
+def capped(cands: DataFrame, per: str, order: list, cap: int, relaxed: int, top: int) -> DataFrame:
+    """The first ``top`` rows with at most ``cap`` of each group, or ``relaxed`` where that gives too few. Both caps bound
+    what a group passes on."""
     rank = F.row_number().over(Window.partitionBy(per).orderBy(*order))
-    return cands.withColumn("rank", rank).where(F.col("rank") <= cap).orderBy(*order).limit(top)
+    few = cands.withColumn("rank", rank).where(F.col("rank") <= max(cap, relaxed))
+    enough = few.agg((F.count_if(F.col("rank") <= cap) >= top).alias("enough"))  # one row
+    return few.join(F.broadcast(enough)).where(~F.col("enough") | (F.col("rank") <= cap)).drop("enough").orderBy(*order).limit(top)
 
 
 def rates(df: DataFrame) -> DataFrame:

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tracks import residues
+from .tracks import letters, upto
 
-# Named patterns.
+# Named patterns, their scores and notes. A basic patch counts 0.5, and 0.1 for each of up to three letters beyond three.
 PATTERNS = {
-    "flagellin_n": "[AILMV]{2,4}[ST][AILMV]{1,3}N",
-    "flagellin_c": "[QN][AILMV]{2,3}[ST][AILMV]{2}",
+    "flagellin_n_terminal": "[AILMV]{2,4}[ST][AILMV]{1,3}N",
+    "flagellin_c_terminal": "[QN][AILMV]{2,3}[ST][AILMV]{2}",
     "lps_binding": "[KR]{2,}[AILMFVWY]{2,}|[AILMFVWY]{2,}[KR]{2,}",
     "basic_patch": "[KRH]{3,}",
     "hydrophobic_patch": "[AILMFVWY]{4,}",
 }
+SCORES = {"flagellin_n_terminal": 0.8, "flagellin_c_terminal": 0.8, "lps_binding": 0.6, "hydrophobic_patch": 0.4}
+NOTES = {
+    "flagellin_n_terminal": "TLR5 ligand - flagellin N-terminal conserved region",
+    "flagellin_c_terminal": "TLR5 ligand - flagellin C-terminal conserved region",
+    "lps_binding": "Potential LPS-binding region (basic/hydrophobic patch)",
+    "basic_patch": "Basic patch - potential LPS/nucleic acid binding",
+    "hydrophobic_patch": "Hydrophobic patch - potential membrane interaction",
+}
+# Immunostimulatory patterns. RGD counts 0.8 with its fourth letter, else 0.7; a basic patch 0.5 and 0.1 a letter, 0.9 at most.
+STIMULATING = {"rgd": "RGD[SFWV]?", "rgd_variant": "[KR]GD[SFWV]|RG[DN][SFWV]", "basic_patch": "[KR]{4,}", "cationic_dipeptide": "[KR][KR]", "polyproline": "P{3,}"}
+STIMULATING_SCORES = {"rgd_variant": 0.5, "cationic_dipeptide": 0.3, "polyproline": 0.4}
 
 
 def find(seqs: DataFrame, name: str, pattern: str) -> DataFrame:
@@ -27,12 +38,37 @@ def find(seqs: DataFrame, name: str, pattern: str) -> DataFrame:
 
 
 def n_glycosylation(seqs: DataFrame) -> DataFrame:
-    """seq_id, pos, site_type, score of N-x-S/T/C sites."""
-    by = Window.partitionBy("seq_id").orderBy("pos")
-    r = residues(seqs).select("seq_id", "pos", "aa", F.lag("aa").over(by).alias("p1"), *[F.lead("aa", k).over(by).alias(f"n{k}") for k in (1, 2, 3)])
-    r = r.where("aa = 'N' and n2 is not null")
+    """seq_id, pos, site_type, score of N-x-S/T/C sites, from the sequence's own letters."""
+    out = letters(seqs)
+    at = lambda i: F.get("aa", i)
+    sites = F.filter(upto(F.col("n") - 2), lambda i: (at(i - 1) == "N") & F.when(at(i) == "P", at(i + 1).isin("S", "T")).otherwise(at(i + 1).isin("S", "T", "C")))
+    each = out.select("seq_id", F.explode(F.transform(sites, lambda i: F.struct(i.alias("i"), at(i - 2).alias("p1"), at(i).alias("n1"), at(i + 1).alias("n2"), at(i + 2).alias("n3")))).alias("x"))
+    r = each.select("seq_id", F.col("x.i").cast("long").alias("pos"), "x.p1", "x.n1", "x.n2", "x.n3")
     kind = F.expr("case when n1 <> 'P' and n2 in ('S', 'T') then 'canonical' when n1 <> 'P' and n2 = 'C' then 'cysteine' when n1 = 'P' and n2 in ('S', 'T') then 'proline' end")
-    # units of 1/1000 keep the products exact
     score = F.expr("least(1.0D, (case when n2 = 'T' then 1.05D else 1.0D end) * (case when p1 in ('D', 'E', 'P') then 0.8D else 1.0D end) * (case when n3 in ('D', 'E', 'P') then 0.9D else 1.0D end))")
-    r = r.withColumn("site_type", kind).where("site_type is not null")
+    r = r.withColumn("site_type", kind)
     return r.select("seq_id", "pos", "site_type", F.round(F.when(F.col("site_type") == "canonical", score).when(F.col("site_type") == "cysteine", 0.3).otherwise(0.1), 6).alias("score"))
+
+
+def receptor_motifs(seqs: DataFrame) -> DataFrame:
+    """seq_id, name, start, end, motif, score, annotation of the patterns for TLR5 and TLR4 ligands."""
+    out = None
+    for name, pattern in PATTERNS.items():
+        score = F.lit(SCORES[name]) if name in SCORES else F.round(0.5 + 0.1 * F.least(F.length("motif") - 3, F.lit(3)), 6)
+        part = find(seqs, name, pattern).select("*", score.alias("score"), F.lit(NOTES[name]).alias("annotation"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def stimulating_motifs(seqs: DataFrame) -> DataFrame:
+    """seq_id, name, start, end, motif, score. A variant that starts where an RGD motif does is left out: the RGD motif and
+    the variants of a sequence are found in one row, so that takes no join."""
+    out = None
+    for name, pattern in STIMULATING.items():
+        size = F.length("motif")
+        score = {"rgd": F.when(size > 3, 0.8).otherwise(0.7), "basic_patch": F.round(F.least(F.lit(0.9), 0.5 + 0.1 * size), 6)}.get(name)
+        part = find(seqs, name, pattern).withColumn("score", F.lit(STIMULATING_SCORES[name]) if score is None else score)
+        if name == "rgd_variant":
+            part = part.where(~F.startswith("motif", F.lit("RGD")))  # an RGD motif starts wherever RGD does
+        out = part if out is None else out.unionByName(part)
+    return out

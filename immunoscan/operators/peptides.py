@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import AA
 
 
 def kmers(seqs: DataFrame, k: int, step: int = 1) -> DataFrame:
-    """Every k-mer (or every step-th): seq_id, start, end, peptide."""
-    at = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - k + 1, F.lit(step).cast("long"))).alias("start")
-    out = seqs.where(F.col("n") >= k).select("seq_id", "seq", at)
-    return out.select("seq_id", "start", (F.col("start") + k - 1).alias("end"), F.expr(f"substring(seq, cast(start as int), {k})").alias("peptide"))
+    """Every k-mer (or every step-th): seq_id, start, end, peptide. The k-mers are cut first, so rows don't carry the sequence."""
+    cut = F.regexp_extract_all("seq", F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
+    if step > 1:
+        cut = F.filter(cut, lambda _, i: i % step == 0)
+    out = seqs.where(F.col("n") >= k).select("seq_id", F.posexplode(cut).alias("p", "peptide"))
+    start = (F.col("p") * step + 1).cast("long")
+    return out.select("seq_id", start.alias("start"), (start + k - 1).alias("end"), "peptide")
 
 
 def stride(k: int, overlap: int) -> int:
@@ -40,6 +43,14 @@ def model_output(log10_ic50: Column) -> tuple[Column, Column]:
     return F.pow(F.lit(10.0), log10_ic50), F.greatest(F.lit(0.0), 1 - log10_ic50 / 5)
 
 
+def model_rows(df: DataFrame, allele: str, y: str, key: str) -> DataFrame:
+    """Adds ic50, score, binding (strong, weak, none) and percentile: 100 times the rank by ic50 over the allele's rows."""
+    ic50, score = model_output(F.col(y))
+    by = Window.partitionBy(allele)
+    rank = F.row_number().over(by.orderBy(y, key)) / F.count("*").over(by)
+    return df.withColumns({"ic50": ic50, "score": score, "binding": F.when(ic50 < 50, "strong").when(ic50 < 500, "weak").otherwise("none"), "percentile": 100 * rank})
+
+
 def allele_name(raw: Column) -> Column:
     bare = F.regexp_replace(F.upper(F.regexp_replace(raw, " ", "")), "^([A-C])([0-9]{2})([0-9]{2})$", "$1*$2:$3")
     return F.when(F.startswith(bare, F.lit("HLA-")), bare).otherwise(F.concat(F.lit("HLA-"), bare))

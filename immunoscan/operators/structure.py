@@ -8,19 +8,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import lookup, milli
+from .settle import settled
 
 
-def contacts(res: DataFrame, cutoff: float) -> DataFrame:
-    """Directed pairs of one structure with 0 < distance < cutoff: cells as wide as the cutoff, 27 neighbours."""
+def _square(own: str = "xyz", other: str = "2"):
+    out = None
+    for c in own:
+        d = F.col(c) - F.col(c + other)
+        out = d * d if out is None else out + d * d
+    return out
+
+
+def pairs(res: DataFrame, cutoff: float, inclusive: bool = False) -> DataFrame:
+    """Directed pairs of residues of one structure within the distance, coincident ones too: cells as wide as the cutoff, 27 neighbours."""
     cell = lambda c: F.floor(F.col(c) / cutoff)
     at = res.where("x is not null").select("structure_id", "idx", "x", "y", "z", *[cell(c).alias("c" + c) for c in "xyz"])
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     other = at.select("structure_id", F.col("idx").alias("j"), *[F.col(c).alias(c + "2") for c in "xyz"], "cx", "cy", "cz")
     for c in "xyz":
         other = other.withColumn("d", F.explode(near)).withColumn("c" + c, F.col("c" + c) + F.col("d")).drop("d")
-    both = at.join(other, ["structure_id", "cx", "cy", "cz"])
-    square = sum(((F.col(c) - F.col(c + "2")) * (F.col(c) - F.col(c + "2")) for c in "yz"), (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")))
-    return both.withColumn("d2", square).where((F.col("d2") > 0) & (F.sqrt("d2") < cutoff)).select("structure_id", "idx", "j", F.sqrt("d2").alias("distance"))
+    both = at.join(other, ["structure_id", "cx", "cy", "cz"]).withColumn("distance", F.sqrt(_square()))
+    within = F.col("distance") <= cutoff if inclusive else F.col("distance") < cutoff
+    return both.where(within & (F.col("idx") != F.col("j"))).select("structure_id", "idx", "j", "distance")
+
+
+def contacts(res: DataFrame, cutoff: float) -> DataFrame:
+    """Directed pairs of one structure with 0 < distance < cutoff."""
+    return pairs(res, cutoff).where("distance > 0")
 
 
 def contact_number(res: DataFrame, cutoff: float = 8.0) -> DataFrame:
@@ -59,12 +73,34 @@ def local_density(res: DataFrame, radius: float = 10.0) -> DataFrame:
     return contact_number(res, radius).withColumn("density", (F.col("contacts") + 1) / F.lit(4 / 3 * math.pi * radius**3))
 
 
-def residue_depth(res: DataFrame, exposed: float = 60.0) -> DataFrame:
-    """structure_id, idx, depth: distance to the nearest exposed residue of the structure."""
+def residue_depth(res: DataFrame, exposed: float = 60.0, step: float = 8.0) -> DataFrame:
+    """structure_id, idx, depth: distance to the nearest exposed residue of the structure.
+
+    Most residues have one within ``step``, so they meet only the cells around them. For those whose distance there is greater,
+    or that met none, the search starts again with cells of twice the width, until none is left or a cell holds the structure.
+    """
     placed = res.where("x is not null").select("structure_id", "idx", "sasa", "x", "y", "z")
-    shell = placed.where(F.col("sasa") >= exposed).select("structure_id", *[F.col(c).alias("s" + c) for c in "xyz"])
-    square = sum(((F.col(c) - F.col("s" + c)) * (F.col(c) - F.col("s" + c)) for c in "yz"), (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")))
-    return placed.join(shell, "structure_id").groupBy("structure_id", "idx").agg(F.sqrt(F.min(square)).alias("depth"))
+    shell = placed.where(F.col("sasa") >= exposed).select("structure_id", *[F.col(c).alias(c + "2") for c in "xyz"])
+    by = Window.partitionBy("structure_id")
+    width = sum((F.max(c).over(by) - F.min(c).over(by) for c in "xyz"), F.lit(0.0))  # no two residues are further apart
+    left = placed.drop("sasa").join(shell.select("structure_id").distinct(), "structure_id", "left_semi").withColumn("width", width)
+    widest = left.agg(F.max("width")).first()[0]
+    if widest is None:
+        return left.select("structure_id", "idx", F.lit(None).cast("double").alias("depth"))
+    done = None
+    while True:
+        last = step > widest
+        here = [F.floor(F.col(c) / step).alias("c" + c) for c in "xyz"]
+        near = shell.select("*", *[F.floor(F.col(c + "2") / step).alias("c" + c) for c in "xyz"])
+        for c in "xyz":
+            near = near.withColumn("d", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))).withColumn("c" + c, F.col("c" + c) + F.col("d")).drop("d")
+        met = left.select("*", *here).join(near, ["structure_id", "cx", "cy", "cz"], "left").groupBy("structure_id", "idx", "x", "y", "z", "width").agg(F.sqrt(F.min(_square())).alias("depth"))
+        found = met.where(F.lit(last) | (F.col("depth") <= step)).select("structure_id", "idx", "depth")
+        done = found if done is None else done.unionByName(found)
+        if last:
+            return done
+        left = settled(met.where(F.col("depth").isNull() | (F.col("depth") > step)).drop("depth"))
+        step *= 4 if step < 64 else 16
 
 
 def gap_regions(scored: DataFrame, gap: int = 2, least: int = 3) -> DataFrame:

@@ -1,15 +1,88 @@
 """Per-residue tracks of the five scales, above-threshold regions, and votes over methods.
 
-One residue table serves all methods; windows are partitioned by sequence, so a corpus shuffles once by
-seq_id. Sums are kept in thousandths, which makes threshold tests exact.
+Every job here is local to a sequence, so it works on the sequence's own arrays and explodes last: no exchange,
+no sort. Linear sums are kept in thousandths, which makes threshold tests exact; the product track is rounded to
+nine decimals before it is tested. ``window``, ``threshold`` and ``least`` are the caller's; None takes the
+method's default, and where that is None too the sequence's mean is the threshold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dims import LINEAR, METHODS, lookup, milli
+from ..functions.dims import AA, METHODS, milli
+
+ALL = list(METHODS)
+
+
+def letters(seqs: DataFrame) -> DataFrame:
+    """Adds ``aa``, the letters, and ``code``, their places in AA from 1, 0 for others."""
+    out = seqs.where("n > 0").withColumn("aa", F.split("seq", ""))
+    return out.withColumn("code", F.transform("aa", lambda c: F.instr(F.lit(AA), c)))
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator of one row each. The optimiser doesn't move expressions across it, so what was computed
+    before is not written out again in each place that uses it."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+def upto(n, start: int = 1) -> Column:
+    """start..n, empty if n is less."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(n >= start, F.sequence(F.lit(start), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def valued(code: str, values: list[int], unknown: int) -> Column:
+    """The value of each letter."""
+    table = F.array(*[F.lit(v) for v in (unknown, *values)])
+    return F.transform(code, lambda c: table[c])
+
+
+def window_of(method: str, window: int | None) -> int:
+    return METHODS[method][0] if window is None else window
+
+
+def tracked(seqs: DataFrame, methods: list[str] = ALL, window: int | None = None) -> DataFrame:
+    """``seqs`` with an array of values for each method: window sums in thousandths, or products over their mean.
+    The k-th value belongs to position k + window // 2."""
+    out = letters(seqs)
+    for m in methods:
+        out = out.withColumn(f"v_{m}", valued("code", milli(m), 1000 if m == "emini" else 0))
+    for m in methods:
+        v, w = F.col(f"`v_{m}`"), window_of(m, window)
+
+        def at(i):
+            total = v[i - 1].cast("double") / 1000 if m == "emini" else v[i - 1]
+            for k in range(1, w):
+                total = total * (v[i - 1 + k].cast("double") / 1000) if m == "emini" else total + v[i - 1 + k]
+            return total
+
+        out = out.withColumn(f"t_{m}", F.transform(upto(F.col("n") - w + 1), at))
+    if "emini" in methods:
+        t = F.col("t_emini")
+        out = out.withColumn("mean_", F.aggregate(t, F.lit(0.0), lambda a, x: a + x) / count(t))
+        out = out.withColumn("t_emini", F.transform(t, lambda x: F.when(F.col("mean_") > 0, x / F.col("mean_")).otherwise(x))).drop("mean_")
+    return out.drop(*[f"v_{m}" for m in methods])
+
+
+def scale(method: str, window: int | None = None) -> int:
+    """What a value of the track is divided by to give the score."""
+    return 1 if method == "emini" else 1000 * window_of(method, window)
+
+
+def score(value: Column, method: str, window: int | None = None) -> Column:
+    return F.round(value.cast("double") / scale(method, window), 6)
+
+
+def count(values: Column) -> Column:
+    """The size of an array, null for none, so that means of nothing are null."""
+    return F.nullif(F.size(values), F.lit(0))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
 def residues(seqs: DataFrame) -> DataFrame:
@@ -17,56 +90,138 @@ def residues(seqs: DataFrame) -> DataFrame:
     return seqs.where("n > 0").select("seq_id", "n", F.posexplode(F.split("seq", "")).alias("p", "aa")).select("seq_id", "n", (F.col("p") + 1).cast("long").alias("pos"), "aa")
 
 
-def linear_track(seqs: DataFrame, methods: list[str] = LINEAR) -> DataFrame:
-    """seq_id, method, pos, aa, total (thousandths over the window), score."""
-    out = residues(seqs)
+def track(seqs: DataFrame, methods: list[str] = ALL, window: int | None = None) -> DataFrame:
+    """seq_id, method, pos, aa, score, one row a method and scored position."""
+    out, parts = tracked(seqs, methods, window), []
     for m in methods:
-        w = METHODS[m][0]
-        frame = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(-(w // 2), w - 1 - w // 2)
-        out = out.withColumn(m, F.sum(lookup(F.col("aa"), milli(m), 0)).over(frame))
-    w = METHODS[methods[0]][0]
-    full = out.where((F.col("pos") >= 1 + w // 2) & (F.col("pos") <= F.col("n") - w + 1 + w // 2))
-    long = full.select("seq_id", "pos", "aa", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"`{m}`").alias("total")) for m in methods])).alias("x"))
-    return long.select("seq_id", "x.method", "pos", "aa", "x.total", F.round(F.col("x.total").cast("double") / (1000 * w), 6).alias("score"))
-
-
-def product_track(seqs: DataFrame) -> DataFrame:
-    """The emini track: window products over the sequence's mean product."""
-    w = METHODS["emini"][0]
-    frame = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(-(w // 2), w - 1 - w // 2)
-    value = lookup(F.col("aa"), milli("emini"), 1000) / F.lit(1000.0)
-    out = residues(seqs).withColumn("raw", F.product(value).over(frame))
-    full = out.where((F.col("pos") >= 1 + w // 2) & (F.col("pos") <= F.col("n") - w + 1 + w // 2))
-    mean = F.avg("raw").over(Window.partitionBy("seq_id"))
-    return full.select("seq_id", F.lit("emini").alias("method"), "pos", "aa", F.round(F.when(mean > 0, F.col("raw") / mean).otherwise(F.col("raw")), 6).alias("score"))
-
-
-def called(track: DataFrame) -> DataFrame:
-    """Linear track rows with ``over``: at or above the method's threshold, or the sequence's mean."""
-    by = Window.partitionBy("seq_id", "method")
-    fixed = F.create_map(*[x for m in LINEAR if METHODS[m][1] is not None for x in (F.lit(m), F.lit(int(1000 * METHODS[m][0] * METHODS[m][1])).cast("long"))])[F.col("method")]
-    over = F.when(fixed.isNotNull(), F.col("total") >= fixed).otherwise(F.col("total") * F.count("*").over(by) >= F.sum("total").over(by))
-    return track.withColumn("over", over)
+        half = window_of(m, window) // 2
+        zipped = F.zip_with(F.slice("aa", half + 1, F.greatest(F.lit(0), F.size("aa"))), F.col(f"`t_{m}`"), lambda c, t: F.struct(c.alias("aa"), score(t, m, window).alias("score")))
+        parts.append(F.struct(F.lit(m).alias("method"), F.lit(half).alias("half"), zipped.alias("rows")))
+    each = out.select("seq_id", F.explode(F.array(*parts)).alias("x")).select("seq_id", "x.method", "x.half", F.posexplode("x.rows").alias("p", "r"))
+    return each.where("r.score is not null").select("seq_id", "method", (F.col("p") + 1 + F.col("half")).cast("long").alias("pos"), "r.aa", "r.score")
 
 
-def islands(rows: DataFrame, keys: list[str], least: int, *aggs) -> DataFrame:
-    """Maximal runs of consecutive ``pos`` within ``keys``: start, end, length and the given aggregates."""
-    run = F.col("pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
-    out = rows.withColumn("run", run).groupBy(*keys, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("length"), *aggs)
-    return out.where(F.col("length") >= least).drop("run")
+def aligned(seqs: DataFrame, methods: list[str] = ALL, window: int | None = None) -> DataFrame:
+    """seq_id, pos, aa and a score column for each method, one row a residue; null where a method has no full window."""
+    out = tracked(seqs, methods, window)
+    fields = [F.col(f"`t_{m}`") for m in methods]
+
+    def row(c, i):
+        at = [F.when((i >= window_of(m, window) // 2) & (i < F.size(t) + window_of(m, window) // 2), score(F.get(t, i - window_of(m, window) // 2), m, window)) for m, t in zip(methods, fields, strict=True)]
+        return F.struct((i + 1).cast("long").alias("pos"), c.alias("aa"), *[s.alias(m.replace("-", "_")) for m, s in zip(methods, at, strict=True)])
 
+    return out.select("seq_id", F.inline(F.transform("aa", row)))
 
-def regions(seqs: DataFrame, least: int = 6, methods: list[str] = LINEAR) -> DataFrame:
-    over = called(linear_track(seqs, methods)).where("over")
-    found = islands(over, ["seq_id", "method"], least, (F.sum("total").cast("double") / (7000 * F.count("*"))).alias("score"))
-    return found.join(seqs.select("seq_id", "seq"), "seq_id").select("seq_id", "method", "start", "end", "length", F.expr("substring(seq, cast(start as int), cast(length as int))").alias("peptide"), "score")
 
+def over(method: str, window: int | None = None, threshold: float | None = None) -> Column:
+    """Whether each value of the track is at or above the threshold."""
+    t, fixed = F.col(f"`t_{method}`"), METHODS[method][1] if threshold is None else threshold
+    if fixed is not None:
+        cut = F.lit(round(fixed * scale(method, window), 9))
+        return F.transform(t, lambda x: (F.round(x, 9) if method == "emini" else x) >= cut)
+    return F.transform(t, lambda x: x * F.col("size_") >= F.col("sum_"))
 
-def votes(seqs: DataFrame) -> DataFrame:
-    """Number of linear methods whose regions cover each residue."""
-    spots = regions(seqs).select("seq_id", F.explode(F.sequence("start", "end")).alias("pos"))
-    return residues(seqs).select("seq_id", "pos").join(spots.groupBy("seq_id", "pos").agg(F.count("*").alias("votes")), ["seq_id", "pos"], "left").na.fill(0, ["votes"])
+
+def runs(flags: Column, least: int = 1) -> Column:
+    """``s, e``: maximal runs of true flags of at least this length, as places from 1."""
+    first = F.filter(upto(F.size(flags)), lambda i: flags[i - 1] & ((i == 1) | ~F.coalesce(F.get(flags, i - 2), F.lit(False))))
+    last = F.filter(upto(F.size(flags)), lambda i: flags[i - 1] & ~F.coalesce(F.get(flags, i), F.lit(False)))
+    both = F.zip_with(first, last, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+    return F.filter(both, lambda r: r["e"] - r["s"] + 1 >= least)
+
+
+def with_runs(seqs: DataFrame, methods: list[str] = ALL, least: int = 6, window: int | None = None, threshold: float | None = None) -> DataFrame:
+    """``tracked`` with the runs of each method as ``r_<method>``."""
+    out = tracked(seqs, methods, window)
+    for m in methods:
+        if METHODS[m][1] is None and threshold is None:
+            out = held(out.withColumns({"sum_": total(F.col(f"`t_{m}`")), "size_": F.size(F.col(f"`t_{m}`"))}))  # once, not for each value
+        out = out.withColumn("o_", over(m, window, threshold)).withColumn(f"r_{m}", runs(F.col("o_"), least)).drop("o_", "sum_", "size_")
+    return held(out)
+
+
+def regions(seqs: DataFrame, methods: list[str] = ALL, least: int = 6, window: int | None = None, threshold: float | None = None) -> DataFrame:
+    """seq_id, method, start, end, length, peptide, score: runs at or above the threshold, with their mean score."""
+    out, parts = with_runs(seqs, methods, least, window, threshold), []
+    for m in methods:
+        t, half = F.col(f"`t_{m}`"), window_of(m, window) // 2
+
+        def region(r):
+            size = r["e"] - r["s"] + 1
+            mean = total(F.slice(t, r["s"], size)) / (scale(m, window) * size)
+            return F.struct(
+                F.lit(m).alias("method"), (r["s"] + half).cast("long").alias("start"), (r["e"] + half).cast("long").alias("end"), size.cast("long").alias("length"),
+                F.array_join(F.slice("aa", r["s"] + half, size), "").alias("peptide"), (F.round(mean, 6) if m == "emini" else mean).alias("score"),
+            )
+
+        parts.append(F.transform(F.col(f"`r_{m}`"), region))
+    return out.select("seq_id", F.inline(F.concat(*parts)))
+
+
+def vote_arrays(seqs: DataFrame, methods: list[str] = ALL, least: int = 6) -> DataFrame:
+    """seq_id, n, votes: for each residue the number of methods whose regions cover it. The covered places and
+    all places are sorted together, so a place stands there once more than it has votes."""
+    out = with_runs(seqs, methods, least)
+    out = out.select("seq_id", "n", *[f"r_{m}" for m in methods])
+    spots = [F.flatten(F.transform(F.col(f"`r_{m}`"), lambda r: F.sequence(r["s"] + METHODS[m][0] // 2, r["e"] + METHODS[m][0] // 2))) for m in methods]
+    out = held(out.select("seq_id", "n", F.sort_array(F.concat(upto(F.col("n")), *spots)).alias("all_")))
+    a = F.col("all_")
+    out = held(out.withColumn("new_", F.concat(F.filter(upto(F.size(a)), lambda i: (i == 1) | (a[i - 1] != F.get(a, i - 2))), F.array(F.size(a) + 1))))
+    return out.withColumn("votes", F.transform(upto(F.col("n")), lambda i: F.col("new_")[i] - F.col("new_")[i - 1] - 1)).drop("all_", "new_")
+
+
+def votes(seqs: DataFrame, methods: list[str] = ALL) -> DataFrame:
+    """seq_id, pos, votes: number of methods whose regions cover each residue."""
+    each = vote_arrays(seqs, methods).select("seq_id", F.posexplode("votes").alias("p", "votes"))
+    return each.select("seq_id", (F.col("p") + 1).cast("long").alias("pos"), F.col("votes").cast("long").alias("votes"))
 
 
 def consensus(seqs: DataFrame, methods: int = 2, least: int = 6) -> DataFrame:
-    return islands(votes(seqs).where(F.col("votes") >= methods), ["seq_id"], least, F.max("votes").alias("top"))
+    """seq_id, start, end, length, top: runs of residues with at least so many votes."""
+    out = held(vote_arrays(seqs)).withColumn("o_", F.transform("votes", lambda v: v >= methods)).withColumn("r_", runs(F.col("o_"), least))
+
+    def region(r):
+        size = r["e"] - r["s"] + 1
+        return F.struct(r["s"].cast("long").alias("start"), r["e"].cast("long").alias("end"), size.cast("long").alias("length"), F.array_max(F.slice("votes", r["s"], size)).cast("long").alias("top"))
+
+    return out.select("seq_id", F.inline(F.transform("r_", region)))
+
+
+def thresholds(seqs: DataFrame, methods: list[str] = ALL, window: int | None = None, threshold: float | None = None) -> DataFrame:
+    """seq_id, method, threshold: the caller's, else the method's, else the mean of the sequence's track."""
+    fixed = {m: METHODS[m][1] if threshold is None else threshold for m in methods}
+    mean = {m: F.round(total(F.col(f"`t_{m}`")) / (scale(m, window) * count(F.col(f"`t_{m}`"))), 6) for m in methods}
+    parts = [F.struct(F.lit(m).alias("method"), (mean[m] if fixed[m] is None else F.lit(float(fixed[m]))).alias("threshold"), F.size(F.col(f"`t_{m}`")).alias("size")) for m in methods]
+    return tracked(seqs, methods, window).select("seq_id", F.inline(F.array(*parts))).where("size > 0").drop("size")
+
+
+def summaries(seqs: DataFrame, methods: list[str] = ALL) -> DataFrame:
+    """seq_id, method, top, low, mean of each track; 0 for an empty track."""
+    parts = []
+    for m in methods:
+        t = F.col(f"`t_{m}`")
+        value = [score(F.array_max(t), m), score(F.array_min(t), m), F.round(total(t) / (scale(m) * count(t)), 6)]
+        parts.append(F.struct(F.lit(m).alias("method"), *[F.when(F.size(t) > 0, v).otherwise(0.0).alias(c) for c, v in zip(("top", "low", "mean"), value, strict=True)]))
+    return tracked(seqs, methods).select("seq_id", F.inline(F.array(*parts)))
+
+
+def top_spans(seqs: DataFrame, method: str, share: float = 0.8, least: int = 4, top: int = 5) -> DataFrame:
+    """seq_id, start, end, rank: the runs at or above the track's percentile with the greatest means."""
+    t, half = F.col(f"`t_{method}`"), METHODS[method][0] // 2
+    out = tracked(seqs, [method]).withColumn("sorted_", F.sort_array(t)).withColumn("place_", (F.size(t) - 1) * F.lit(share))
+    low = F.floor("place_").cast("int")
+    at = [F.get("sorted_", low).cast("double"), F.get("sorted_", F.least(low + 1, F.size(t) - 1)).cast("double")]
+    out = held(out.where(F.size(t) > 0).withColumn("cut_", at[0] + (at[1] - at[0]) * (F.col("place_") - low))).withColumn("o_", F.transform(t, lambda x: x >= F.col("cut_")))
+    mean = lambda r: total(F.slice(t, r["s"], r["e"] - r["s"] + 1)) * 1000 / (r["e"] - r["s"] + 1)
+    spans = F.transform(runs(F.col("o_"), least), lambda r: F.struct((-mean(r)).alias("m"), (r["s"] + half).cast("long").alias("start"), (r["e"] + half).cast("long").alias("end")))
+    each = out.withColumn("r_", F.sort_array(spans)).select("seq_id", F.posexplode(F.slice("r_", 1, top)).alias("p", "r"))
+    return each.select("seq_id", "r.start", "r.end", (F.col("p") + 1).cast("long").alias("rank"))
+
+
+def islands(rows: DataFrame, keys: list[str], least: int, *aggs) -> DataFrame:
+    """Maximal runs of consecutive ``pos`` in a table of rows, within ``keys``: start, end, length and the given aggregates."""
+    from pyspark.sql import Window
+
+    run = F.col("pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+    out = rows.withColumn("run", run).groupBy(*keys, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("length"), *aggs)
+    return out.where(F.col("length") >= least).drop("run")

@@ -12,11 +12,11 @@ from ..operators import peptides as P
 from ..operators import structure as S
 from ..operators import tracks as T
 from ..sources import fixtures as X
-from . import scoring, spatial
+from . import innate, learning, scoring, spatial, surfaces, tcell
 from .oracle import ORACLES as TRACK_SQL
 
-QUERIES: dict = {**spatial.QUERIES, **scoring.QUERIES}
-ORACLES = TRACK_SQL | spatial.ORACLES | scoring.ORACLES
+QUERIES: dict = {**spatial.QUERIES, **scoring.QUERIES, **tcell.QUERIES, **innate.QUERIES, **surfaces.QUERIES, **learning.QUERIES, **learning.FITTED}
+ORACLES = TRACK_SQL | spatial.ORACLES | scoring.ORACLES | tcell.ORACLES | innate.ORACLES | surfaces.ORACLES | learning.ORACLES
 
 
 def query(f):
@@ -37,17 +37,13 @@ def a5_record_cap(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def a6_wide_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = T.linear_track(X.sequences(spark, d))
-    wide = t.groupBy("seq_id", "pos", "aa").pivot("method", LINEAR).agg(F.first("score"))
-    return wide.select("seq_id", "pos", "aa", *[F.col(f"`{m}`").alias(m.replace("-", "_")) for m in LINEAR])
+    wide = T.aligned(X.sequences(spark, d))
+    return wide.where(F.coalesce(*[F.col(m.replace("-", "_")) for m in METHODS]).isNotNull())
 
 
 @query
 def a9_dense_export(spark: SparkSession, d: str) -> DataFrame:
-    s = X.sequences(spark, d)
-    t = T.linear_track(s).groupBy("seq_id", "pos").pivot("method", LINEAR).agg(F.first("score"))
-    out = T.residues(s).select("seq_id", "pos", "aa").join(t, ["seq_id", "pos"], "left").na.fill(0.0)
-    return out.select("seq_id", "pos", "aa", *[F.col(f"`{m}`").alias(m.replace("-", "_")) for m in LINEAR])
+    return T.aligned(X.sequences(spark, d)).na.fill(0.0)
 
 
 @query
@@ -57,24 +53,28 @@ def b1_residues(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def b3_linear_track(spark: SparkSession, d: str) -> DataFrame:
-    return T.linear_track(X.sequences(spark, d)).select("seq_id", "method", "pos", "score")
+    return T.track(X.sequences(spark, d), LINEAR).select("seq_id", "method", "pos", "score")
 
 
 @query
 def b4_product_track(spark: SparkSession, d: str) -> DataFrame:
-    return T.product_track(X.sequences(spark, d)).select("seq_id", "pos", "score")
+    return T.track(X.sequences(spark, d), ["emini"]).select("seq_id", "pos", "score")
 
 
 @query
 def b5_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    t = T.linear_track(X.sequences(spark, d)).groupBy("seq_id", "method").agg((F.sum("total").cast("double") / (7000 * F.count("*"))).alias("mean"))
-    fixed = F.create_map(*[x for m in LINEAR if METHODS[m][1] for x in (F.lit(m), F.lit(METHODS[m][1]))])[F.col("method")]
-    return t.select("seq_id", "method", F.round(F.coalesce(fixed, "mean"), 6).alias("threshold"))
+    return T.thresholds(X.sequences(spark, d))
 
 
 @query
 def b6_regions(spark: SparkSession, d: str) -> DataFrame:
-    return T.regions(X.sequences(spark, d), methods=["kolaskar-tongaonkar"]).select("seq_id", "start", "end", "peptide", "score")
+    return T.regions(X.sequences(spark, d), ["kolaskar-tongaonkar"]).select("seq_id", "start", "end", "peptide", "score")
+
+
+@query
+def b6_regions_caller(spark: SparkSession, d: str) -> DataFrame:
+    """The caller's window, threshold and least length instead of the defaults."""
+    return T.regions(X.sequences(spark, d), ["parker"], least=4, window=9, threshold=2.5).select("seq_id", "start", "end", "peptide", F.round("score", 6).alias("score"))
 
 
 @query
@@ -84,16 +84,13 @@ def b7_all_methods(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def b8_score_at(spark: SparkSession, d: str) -> DataFrame:
-    s = X.sequences(spark, d)
-    at = s.select("seq_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 4, 30, 60)])).alias("pos"))
-    t = T.linear_track(s, ["parker"]).select("seq_id", "pos", "score")
-    return at.join(t, ["seq_id", "pos"], "left")
+    at = F.transform(F.array(*[F.lit(x).cast("long") for x in (1, 4, 30, 60)]), lambda p: F.struct(p.alias("pos"), T.score(F.get("t_parker", (p - 4).cast("int")), "parker").alias("score")))
+    return T.tracked(X.sequences(spark, d), ["parker"]).select("seq_id", F.inline(at))
 
 
 @query
 def b9_aligned_track(spark: SparkSession, d: str) -> DataFrame:
-    s = X.sequences(spark, d)
-    return T.residues(s).select("seq_id", "pos", "aa").join(T.linear_track(s, ["parker"]).select("seq_id", "pos", "score"), ["seq_id", "pos"], "left")
+    return T.aligned(X.sequences(spark, d), ["parker"]).withColumnRenamed("parker", "score")
 
 
 @query
@@ -103,17 +100,12 @@ def b10_rejected(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def b11_track_summary(spark: SparkSession, d: str) -> DataFrame:
-    t = T.linear_track(X.sequences(spark, d))
-    return t.groupBy("seq_id", "method").agg(F.max("score").alias("top"), F.min("score").alias("low"), F.round(F.sum("total").cast("double") / (7000 * F.count("*")), 6).alias("mean"))
+    return T.summaries(X.sequences(spark, d))
 
 
 @query
 def b12_top_spans(spark: SparkSession, d: str) -> DataFrame:
-    t = T.linear_track(X.sequences(spark, d), ["parker"])
-    cut = t.withColumn("cut", F.expr("percentile(total, 0.8) over (partition by seq_id)")).where("total >= cut")
-    runs = T.islands(cut, ["seq_id"], 4, (F.sum("total") * 1000 / F.count("*")).alias("mean"))
-    rank = F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("mean"), "start"))
-    return runs.withColumn("rank", rank.cast("long")).where("rank <= 5").select("seq_id", "start", "end", "rank")
+    return T.top_spans(X.sequences(spark, d), "parker")
 
 
 @query
@@ -137,7 +129,7 @@ def c3_consensus_regions(spark: SparkSession, d: str) -> DataFrame:
 @query
 def c4_coverage(spark: SparkSession, d: str) -> DataFrame:
     s = X.sequences(spark, d)
-    return T.regions(s).groupBy("seq_id", "method").agg(F.sum("length").alias("called")).join(s.select("seq_id", "n"), "seq_id").select("seq_id", "method", "called", F.round(100 * F.col("called").cast("double") / F.col("n"), 6).alias("coverage"))
+    return T.regions(s.withColumn("seq_id", F.struct("seq_id", "n"))).groupBy("seq_id", "method").agg(F.sum("length").alias("called")).select("seq_id.seq_id", "method", "called", F.round(100 * F.col("called").cast("double") / F.col("seq_id.n"), 6).alias("coverage"))
 
 
 @query
@@ -156,13 +148,6 @@ def d3_standard_kmers(spark: SparkSession, d: str) -> DataFrame:
     return P.kmers(raw, 9).where(P.standard(F.col("peptide"))).groupBy("seq_id").agg(F.count("*").alias("kept"))
 
 
-@query
-def d7_affinity_levels(spark: SparkSession, d: str) -> DataFrame:
-    a = A.clean(X.assays(spark, d)).withColumn("s", (F.col("rec_id") % 23 - 8).cast("double"))
-    ic50 = P.ic50_of(F.col("s"))
-    return a.select("rec_id", F.round(ic50, 6).alias("ic50"), F.round(P.percentile_of(ic50), 6).alias("pct_rank"), P.level_of(ic50).alias("level"))
-
-
 @query
 def d20_binder_census(spark: SparkSession, d: str) -> DataFrame:
     a = A.clean(X.assays(spark, d)).withColumn("ic50", A.affinity(F.col("quant"), F.col("qual")))
@@ -174,15 +159,6 @@ def e1_n_glycosylation(spark: SparkSession, d: str) -> DataFrame:
     return M.n_glycosylation(X.sequences(spark, d))
 
 
-@query
-def e4_motifs(spark: SparkSession, d: str) -> DataFrame:
-    s, out = X.sequences(spark, d), None
-    for name, pattern in M.PATTERNS.items():
-        part = M.find(s, name, pattern)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query
 def f3_protrusion(spark: SparkSession, d: str) -> DataFrame:
     return S.protrusion(X.residues3d(spark, d)).select("structure_id", "idx", F.round("protrusion", 6).alias("protrusion"))
@@ -228,17 +204,16 @@ def g4_mhc_class(spark: SparkSession, d: str) -> DataFrame:
     return X.assays(spark, d).groupBy(A.mhc_class(F.col("allele")).alias("mhc_class")).agg(F.count("*").alias("n"))
 
 
-def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s, p = X.sequences(spark, d), X.ref_peptides(spark, d)
+def _claims(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
     # candidates share a 12-mer, so containment is an equality join
-    hit = P.kmers(s, 12).join(p, "peptide").groupBy("seq_id", "pep_id", "peptide").agg(F.min("start").alias("start"))
-    return hit.withColumn("start", F.col("start") + F.when(F.col("pep_id") % 3 == 0, 1).otherwise(0)), s
+    hit = P.kmers(s, 12).join(X.ref_peptides(spark, d), "peptide").groupBy("seq_id", "pep_id", "peptide").agg(F.min("start").alias("start"))
+    return hit.withColumn("start", F.col("start") + F.when(F.col("pep_id") % 3 == 0, 1).otherwise(0))
 
 
 @query
 def h4_validated_positions(spark: SparkSession, d: str) -> DataFrame:
-    claims, s = _claims(spark, d)
-    v = A.validate(claims, s)
+    s = X.curated(spark, d)
+    v = A.validate(_claims(spark, d, s), s)
     spots = v.select("seq_id", "n", "pep_id", F.explode(F.sequence(F.col("at"), F.col("at") + 11)).alias("pos"))
     out = spots.groupBy("seq_id", "n").agg(F.count_distinct("pep_id").alias("matched"), F.count_distinct("pos").alias("positions"))
     return out.where("matched >= 4 and positions >= 8")
@@ -252,30 +227,45 @@ def h5_coverage_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def h6_capped_selection(spark: SparkSession, d: str) -> DataFrame:
-    c = QUERIES["h5_coverage_filter"](spark, d).join(X.sequences(spark, d).select("seq_id", "organism"), "seq_id")
-    return A.capped(c, "organism", [F.desc("matched"), F.col("seq_id")], 6, 50).select("seq_id", "organism", "matched")
+    return _selected(spark, d).select("seq_id", "organism", "matched")
+
+
+def _selected(spark: SparkSession, d: str) -> DataFrame:
+    c = QUERIES["h4_validated_positions"](spark, d).withColumn("coverage", F.round(F.col("positions").cast("double") / F.col("n"), 6)).where("positions >= 0.03D * n and positions <= 0.9D * n")
+    c = c.join(X.curated(spark, d).select("seq_id", "organism"), "seq_id")
+    return A.capped(c, "organism", [F.desc("matched"), F.col("seq_id")], 6, 10, 50)
 
 
 @query
 def h7_set_profile(spark: SparkSession, d: str) -> DataFrame:
-    s = X.sequences(spark, d)
-    return s.agg(F.count("*").alias("sequences"), F.count_distinct("organism").alias("organisms"), F.sum("n").alias("residues"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
+    """Of the selected set."""
+    r = lambda c: F.round(c, 6)
+    return _selected(spark, d).agg(
+        F.count("*").alias("sequences"), F.count_distinct("organism").alias("organisms"), F.sum("n").alias("residues"), F.sum("positions").alias("positions"), F.min("n").alias("shortest"), F.max("n").alias("longest"),
+        r(F.min("coverage")).alias("least_coverage"), r(F.avg("coverage")).alias("mean_coverage"), r(F.max("coverage")).alias("most_coverage"),
+    )
 
 
 @query
 def i2_method_rates(spark: SparkSession, d: str) -> DataFrame:
-    claims, s = _claims(spark, d)
-    truth = A.validate(claims, s).select("seq_id", F.explode(F.sequence(F.col("at"), F.col("at") + 11)).alias("pos")).distinct().withColumn("t", F.lit(True))
-    pred = T.regions(s).select("seq_id", "method", F.explode(F.sequence("start", "end")).alias("pos"))
-    kept = s.join(truth.select("seq_id").distinct(), "seq_id", "left_semi").select("seq_id", "n")
+    s = X.sequences(spark, d)
+    truth = truth_of(spark, d, s)
     known = truth.groupBy("seq_id").agg(F.count("*").alias("known"))
-    hits = pred.join(kept.select("seq_id"), "seq_id", "left_semi").join(truth, ["seq_id", "pos"], "left").groupBy("seq_id", "method").agg(F.count("t").alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"))
-    spine = kept.join(known, "seq_id").withColumn("method", F.explode(F.array(*[F.lit(m) for m in LINEAR])))
+    kept = s.join(known, "seq_id")  # only sequences with truth are scored
+    pred = T.regions(kept.select(*s.columns)).select("seq_id", "method", F.explode(F.sequence("start", "end")).alias("pos"))
+    hits = pred.join(truth.withColumn("t", F.lit(True)), ["seq_id", "pos"], "left").groupBy("seq_id", "method").agg(F.count("t").alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"))
+    spine = kept.select("seq_id", "n", "known", F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method"))
     out = spine.join(hits, ["seq_id", "method"], "left").na.fill(0, ["tp", "fp"])
     out = out.withColumns({"fn": F.col("known") - F.col("tp"), "tn": F.col("n") - F.col("known") - F.col("fp")})
     return A.rates(out.select("seq_id", "method", "tp", "fp", "fn", "tn"))
 
 
+def truth_of(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
+    """seq_id, pos: the places of the reference peptides."""
+    v = A.validate(_claims(spark, d, s), s)
+    return v.select("seq_id", F.explode(F.sequence(F.col("at"), F.col("at") + 11)).alias("pos")).distinct()
+
+
 @query
 def i5_distribution(spark: SparkSession, d: str) -> DataFrame:
     m = QUERIES["c4_coverage"](spark, d)

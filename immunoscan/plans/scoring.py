@@ -7,39 +7,19 @@ from pyspark.sql import functions as F
 
 from ..operators import assays as A
 from ..operators import evaluation as E
-from ..operators import peptides as P
 from ..operators import structure as S
 from ..operators import tracks as T
 from ..sources import fixtures as X
 from ..sources import sinks
-from .oracle import CLAIMS, CLEAN, CONTACTS, COUNTS, G, IC50, PROTRUSION, VOTES, sql
+from .oracle import CLAIMS, CONTACTS, COUNTS, G, PROTRUSION, VOTES, sql
 
 FEATURES = {"sasa": 1, "protrusion": 1, "contacts": -1}
 
 
-def _truth(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
-    hit = P.kmers(s, 12).join(X.ref_peptides(spark, d), "peptide").groupBy("seq_id", "pep_id", "peptide").agg(F.min("start").alias("start"))
-    claims = hit.withColumn("start", F.col("start") + F.when(F.col("pep_id") % 3 == 0, 1).otherwise(0))
-    return A.validate(claims, s).select("seq_id", F.explode(F.sequence(F.col("at"), F.col("at") + 11)).alias("pos")).distinct()
-
-
-def _affinities(spark: SparkSession, d: str) -> DataFrame:
-    a = A.clean(X.assays(spark, d)).withColumn("s", (F.col("rec_id") % 23 - 8).cast("double"))
-    return a.select("rec_id", P.ic50_of(F.col("s")).alias("ic50"))
-
-
 def a8_epitope_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.epitope_rows(T.regions(X.sequences(spark, d)))
 
 
-def d16_fallback_percentile(spark: SparkSession, d: str) -> DataFrame:
-    return _affinities(spark, d).select("rec_id", F.round(E.fallback_percentile(F.col("ic50")), 6).alias("percentile"))
-
-
-def d19_binders(spark: SparkSession, d: str) -> DataFrame:
-    return _affinities(spark, d).where("ic50 <= 500").select("rec_id", F.round("ic50", 6).alias("ic50"), (F.col("ic50") < 500).alias("strict")).orderBy("ic50", "rec_id")
-
-
 def f1_residue_rollup(spark: SparkSession, d: str) -> DataFrame:
     res = X.residues3d(spark, d)
     kinds = F.explode(F.array(F.struct(F.lit("CA").alias("atom"), F.lit(0.0).alias("dx"), F.lit(1.0).alias("part")), F.struct(F.lit("CB").alias("atom"), F.lit(1.5).alias("dx"), F.lit(3.0).alias("part"))))
@@ -58,8 +38,12 @@ def g17_z_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i3_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    from .catalogue import truth_of
+
     s = X.sequences(spark, d)
-    return A.rates(E.sweep(T.votes(s), _truth(spark, d, s))).select("seq_id", F.col("threshold").cast("long").alias("threshold"), "tp", "fp", "fn", "tn", "sens", "spec")
+    truth = truth_of(spark, d, s)
+    kept = s.join(truth.select("seq_id").distinct(), "seq_id", "left_semi")  # only sequences with truth are scored
+    return A.rates(E.sweep(T.votes(kept), truth)).select("seq_id", F.col("threshold").cast("long").alias("threshold"), "tp", "fp", "fn", "tn", "sens", "spec")
 
 
 def i7_single_features(spark: SparkSession, d: str) -> DataFrame:
@@ -79,9 +63,8 @@ def i10_histogram(spark: SparkSession, d: str) -> DataFrame:
     return E.histogram(ALL["c4_coverage"](spark, d), "method", "coverage")
 
 
-QUERIES = {f.__name__: f for f in (a8_epitope_rows, d16_fallback_percentile, d19_binders, f1_residue_rollup, f20_chain_sequences, g17_z_scores, i3_threshold_sweep, i7_single_features, i9_ranking, i10_histogram)}
+QUERIES = {f.__name__: f for f in (a8_epitope_rows, f1_residue_rollup, f20_chain_sequences, g17_z_scores, i3_threshold_sweep, i7_single_features, i9_ranking, i10_histogram)}
 
-AFFINE = f"affine AS (SELECT rec_id, {IC50} AS ic50 FROM (SELECT rec_id, CAST(rec_id % 23 - 8 AS DOUBLE) AS s FROM cleaned))"
 COVERAGE = "coverage AS (SELECT method, round(100 * CAST(sum(length) AS DOUBLE) / n, 6) AS v FROM regions r JOIN sequences s ON s.seq_id = r.seq_id GROUP BY r.seq_id, method, n)"
 
 
@@ -96,8 +79,6 @@ def _control(f: str, test: str) -> str:
 
 ORACLES = {
     "a8_epitope_rows": sql('SELECT seq_id, method, "start", "end", peptide AS sequence, CAST(round(CAST(score AS DECIMAL(18, 9)), 3) AS DOUBLE) AS score FROM regions', *G),
-    "d16_fallback_percentile": sql("SELECT rec_id, round(CASE WHEN ic50 < 50 THEN 1e-1 WHEN ic50 < 500 THEN 5e-1 + (ic50 - 50) / 450 * 15e-1 WHEN ic50 < 5000 THEN 2 + (ic50 - 500) / 4500 * 8 ELSE least(1e2, 10 + (ic50 - 5000) / 45000 * 90) END, 6) AS percentile FROM affine", "sequences", "assays", CLEAN, AFFINE),
-    "d19_binders": sql("SELECT rec_id, round(ic50, 6) AS ic50, ic50 < 500 AS strict FROM affine WHERE ic50 <= 500", "sequences", "assays", CLEAN, AFFINE),
     "f1_residue_rollup": sql("SELECT structure_id, chain_id, idx, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(sasa + sasa / 3e0, 6) AS sasa, round(CASE WHEN idx % 41 = 0 THEN bfactor + 10 ELSE bfactor END, 6) AS bfactor FROM residues3d", "residues3d"),
     "f20_chain_sequences": sql("SELECT structure_id, chain_id, string_agg(aa, '' ORDER BY idx) AS seq, count(*) AS n FROM residues3d GROUP BY structure_id, chain_id HAVING count(*) >= 6 AND max(sasa) >= 100", "residues3d"),
     "g17_z_scores": sql(f"SELECT structure_id, idx, {_z('sasa')}, {_z('bfactor')}, {_z('x')} FROM residues3d WINDOW w AS (PARTITION BY structure_id)", "residues3d"),

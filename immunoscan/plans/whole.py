@@ -1,29 +1,16 @@
-"""The sequence and assay queries over documents of every length.
+"""The sequence and assay queries under the names NAME_whole, which they had while their plain names kept a length bound.
 
-The queries of catalogue.py keep the bound of 60 to 1800 letters that their SQL has. The reference has it only where
-antigen sets are curated, so each query that doesn't curate is registered here again, without it, as NAME_whole.
+Every query reads documents of every length now (only the curation chain H4 to H7 has its bound), so both names stand for
+one query and one SQL text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from ..sources import fixtures as X
 from . import catalogue
 
 PREFIXES = """a6 a8 a9 b1 b3 b4 b5 b6 b7 b8 b9 b11 b12 b13 c1 c3 c4 d1 d2 d7 d16 d19 d20
 e1 e4 g1 g2 g3 g4 i2 i3 i5 i9 i10""".split()
+NAMES = [name for name in catalogue.QUERIES if name.split("_")[0] in PREFIXES and name != "b6_regions_caller"]
 
-
-def _whole(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        with X.unbounded():
-            return catalogue.QUERIES[name](spark, d)
-
-    run.__name__ = f"{name}_whole"
-    return run
-
-
-QUERIES = {f"{name}_whole": _whole(name) for name in catalogue.QUERIES if name.split("_")[0] in PREFIXES}
+QUERIES = {f"{name}_whole": catalogue.QUERIES[name] for name in NAMES}
+ORACLES = {f"{name}_whole": catalogue.ORACLES[name] for name in NAMES}

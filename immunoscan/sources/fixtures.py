@@ -2,45 +2,42 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import AA
-
-
-_bounded: ContextVar[bool] = ContextVar("bounded", default=True)
-
-
-@contextmanager
-def unbounded():
-    """Within it, ``sequences`` and the views over it take documents of every length."""
-    token = _bounded.set(False)
-    try:
-        yield
-    finally:
-        _bounded.reset(token)
+from ..functions.dims import AA, NAMES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores is dealt out anew; one of more splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def clean(text: Column, letters: str = AA) -> Column:
     return F.regexp_replace(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), f"[^{letters}]", "")
 
 
 def all_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     out = docs.select(F.col("doc_id").alias("seq_id"), F.concat(F.lit("doc_"), "doc_id").alias("name"), F.col("source").alias("organism"), "lang", clean(F.col("text")).alias("seq"))
+    # one row each: a generator, which filters and projections of the views above don't move across, so texts are cleaned once
+    out = out.select("seq_id", "name", "organism", "lang", F.explode(F.array("seq")).alias("seq"))
     return out.withColumn("n", F.length("seq").cast("long"))
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = all_sequences(spark, sf_dir)
-    return out.where("n between 60 and 1800") if _bounded.get() else out
+    """Sequences of at least one letter."""
+    return all_sequences(spark, sf_dir).where("n > 0")
+
+
+def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of the lengths that antigen sets are curated from."""
+    return all_sequences(spark, sf_dir).where("n between 60 and 1800")
 
 
 def nucleic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +93,24 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.withColumn("k", kinds).select("structure_id", "chain_id", "idx", "k.atom", (F.col("x") + F.col("k.dx")).alias("x"), "y", "z")
 
 
+def named_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms with residue names; some residues have no CA, some a name that is not standard."""
+    letter = F.create_map(*[F.lit(x) for a, n in zip(AA, NAMES, strict=True) for x in (a, n)])
+    res = residues3d(spark, sf_dir).select("structure_id", "chain_id", "idx", F.when(F.col("idx") % 29 == 0, "MSE").otherwise(letter[F.col("aa")]).alias("res_name"))
+    return res.withColumn("atom", F.explode(F.when(F.col("idx") % 31 == 0, F.array(F.lit("CB"))).otherwise(F.array(F.lit("CA"), F.lit("CB")))))
+
+
+def mined_assays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assay records with the columns that antigens are mined from."""
+    a = assays(spark, sf_dir)
+    return a.select(
+        "rec_id", F.when(F.col("rec_id") % 19 == 0, F.lower("peptide")).otherwise(F.col("peptide")).alias("peptide"), F.when(F.col("rec_id") % 13 != 0, F.col("start").cast("string")).otherwise("").alias("start"), (F.col("start") + F.length("peptide") - 1).cast("string").alias("end"),
+        F.expr("case seq_id % 50 when 0 then '' when 1 then concat('Genome polyprotein ', seq_id % 7) when 2 then concat('Unknown ', seq_id % 7) else source_mol end").alias("source_mol"),
+        F.expr("case when seq_id % 11 = 0 then 'http://example.org/none' else concat('http://www.ncbi.nlm.nih.gov/protein/AC_', seq_id % 40, '.1') end").alias("source_iri"),
+        F.expr("case seq_id % 9 when 0 then 'Homo sapiens' when 1 then 'Mus musculus' else organism end").alias("organism"), F.when(F.col("rec_id") % 17 == 0, "").otherwise(F.col("qual")).alias("qual"),
+    )
+
+
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(
         "cast(floor(p_partkey / 4) as long) as structure_id",
@@ -110,9 +125,9 @@ SQL = {
     "atoms": "atoms AS (SELECT structure_id, chain_id, idx, 'CA' AS atom, x, y, z FROM residues3d UNION ALL SELECT structure_id, chain_id, idx, 'CB', x + 15e-1, y, z FROM residues3d)",
     "chains": "chains AS (SELECT CAST(p_partkey // 4 AS BIGINT) AS structure_id, chr(CAST(65 + p_partkey % 4 AS INT)) AS chain_id, CASE p_partkey % 3 WHEN 0 THEN 'immunoglobulin heavy chain' WHEN 1 THEN 'antibody receptor' ELSE 'lysozyme' END AS description, CAST(p_size * 5 AS BIGINT) AS length FROM part)",
     "sequences": f"""sequences AS (SELECT doc_id AS seq_id, 'doc_' || doc_id AS name, source AS organism, lang, seq, length(seq) AS n FROM (SELECT *,
- regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{AA}]', '', 'g') AS seq FROM documents) WHERE length(seq) BETWEEN 60 AND 1800)""",
-    "ref_peptides": f"""ref_peptides AS (SELECT item_id * 100 + i AS pep_id, item_id AS source_id, substr(pep, 1 + 12 * i, 12) AS peptide FROM (SELECT item_id,
- regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{AA}]', '', 'g') AS pep FROM benchmark), (SELECT unnest(range(0, 24)) AS i) WHERE length(pep) >= 12 * i + 12)""",
+ regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{AA}]', '', 'g') AS seq FROM documents) WHERE length(seq) > 0)""",
+    "ref_peptides": f"""ref_peptides AS (SELECT CASE WHEN i < 100 THEN item_id * 100 + i ELSE -(item_id * 1000000 + i) END AS pep_id, item_id AS source_id, substr(pep, 1 + 12 * i, 12) AS peptide FROM (SELECT item_id, pep, unnest(range(0, length(pep) // 12)) AS i FROM (SELECT item_id,
+ regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{AA}]', '', 'g') AS pep FROM benchmark)))""",
     "assays": """assays AS (SELECT event_id AS rec_id, substr(seq, 1 + event_id % 40, 8 + event_id % 9) AS peptide,
  CASE user_id % 4 WHEN 0 THEN 'HLA-A*' || user_id WHEN 1 THEN 'HLA-DRB1*' || user_id WHEN 2 THEN 'H-2-K' || user_id ELSE 'MAMU-' || user_id END AS allele,
  CASE WHEN event_id % 3 = 0 THEN CAST(value AS VARCHAR) ELSE '' END AS quant,

@@ -1 +1 @@
-
+"""Jobs over arriving files."""
