@@ -90,7 +90,7 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, shingle: int, similarity: floa
     items = items.withColumn("k", F.least(F.size("iw"), F.lit(shingle))).withColumn("item", F.xxhash64("item_id", "iw"))
     items = materialize(items, "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most ``shingle`` values
-    texts = docs.where("text is not null").select("doc_id", *row_keys(), _words("text").alias("w"))
+    texts = docs.where("text is not null").select("doc_id", *row_keys(), "text")  # words are cut after joins, for the rows that are left
     wins = None
     for k in sizes:
         part = _windows(texts, items.where(F.col("k") == k), k, similarity)
@@ -98,7 +98,8 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, shingle: int, similarity: floa
     if wins is None:
         return docs.select(*row_keys(), "doc_id").limit(0).selectExpr("r1", "r2", "doc_id", "cast(null as long) item_id", "cast(null as int) start", "cast(null as int) n_words", "cast(null as double) similarity")
     wins = materialize(wins.groupBy("r1", "r2", "start", "len", "k").agg(F.collect_set("item").alias("laid_for")), "windows")
-    laid = texts.join(wins, ["r1", "r2"]).select("r1", "r2", "doc_id", "start", "len", "k", "laid_for", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww"))
+    laid = texts.join(wins, ["r1", "r2"]).withColumn("w", _words("text"))
+    laid = laid.select("r1", "r2", "doc_id", "start", "len", "k", "laid_for", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww"))
     laid = laid.dropDuplicates(["r1", "r2", "start", "len"])
 
     def marked(df: DataFrame, words: str) -> DataFrame:
@@ -127,11 +128,11 @@ def _windows(texts: DataFrame, items: DataFrame, k: int, similarity: float) -> D
     spread = each.groupBy("h").agg(F.count_distinct("item").alias("items"))
     order = F.row_number().over(Window.partitionBy("item").orderBy("items", "h", "o"))
     probes = each.join(spread, "h").withColumn("nth", order).where(F.col("nth") <= F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - SLACK) + 1).select("h", "item").distinct()
-    at = texts.select("r1", "r2", F.explode(_hashes("w", k)).alias("h"))
+    at = texts.select("r1", "r2", _words("text").alias("w")).select("r1", "r2", F.explode(_hashes("w", k)).alias("h"))
     pairs = materialize(at.join(near(probes), "h").select("r1", "r2", "item").distinct(), "pairs")
 
     grams = each.groupBy("item", "len", "m", "h").agg(F.count("*").alias("c"))
-    met = texts.join(pairs, ["r1", "r2"]).dropDuplicates(["r1", "r2", "item"]).withColumn("hs", _hashes("w", k))
+    met = texts.join(pairs, ["r1", "r2"]).dropDuplicates(["r1", "r2", "item"]).withColumn("w", _words("text")).withColumn("hs", _hashes("w", k))
     spots = met.select("r1", "r2", "item", F.size("hs").alias("nd"), F.posexplode("hs").alias("p", "h")).join(near(grams), ["item", "h"])
     hits = spots.groupBy("r1", "r2", "item", "len", "m", "nd").agg(F.array_sort(F.collect_list(F.struct("p", "h", "c"))).alias("hits"))
     hits = hits.withColumn("mw", F.least("m", "nd"))
