@@ -211,7 +211,8 @@ def top_spans(seqs: DataFrame, method: str, share: float = 0.8, least: int = 4,
     out = tracked(seqs, [method]).withColumn("sorted_", F.sort_array(t)).withColumn("place_", (F.size(t) - 1) * F.lit(share))
     low = F.floor("place_").cast("int")
     at = [F.get("sorted_", low).cast("double"), F.get("sorted_", F.least(low + 1, F.size(t) - 1)).cast("double")]
-    out = held(out.where(F.size(t) > 0).withColumn("cut_", at[0] + (at[1] - at[0]) * (F.col("place_") - low))).withColumn("o_", F.transform(t, lambda x: x >= F.col("cut_")))
+    out = held(out.withColumn("cut_", at[0] + (at[1] - at[0]) * (F.col("place_") - low)))  # a filter before would compute the track anew
+    out = out.where(F.size(t) > 0).withColumn("o_", F.transform(t, lambda x: x >= F.col("cut_")))
     mean = lambda r: total(F.slice(t, r["s"], r["e"] - r["s"] + 1)) * 1000 / (r["e"] - r["s"] + 1)
     spans = F.transform(runs(F.col("o_"), least), lambda r: F.struct((-mean(r)).alias("m"), (r["s"] + half).cast("long").alias("start"), (r["e"] + half).cast("long").alias("end")))
     each = out.withColumn("r_", F.sort_array(spans)).select("seq_id", F.posexplode(F.slice("r_", 1, top)).alias("p", "r"))
