@@ -119,7 +119,7 @@ def over(method: str, window: int | None = None, threshold: float | None = None)
     if fixed is not None:
         cut = F.lit(round(fixed * scale(method, window), 9))
         return F.transform(t, lambda x: (F.round(x, 9) if method == "emini" else x) >= cut)
-    return F.transform(t, lambda x: x * F.col("size_") >= F.col("sum_"))
+    return F.transform(t, lambda x: x.cast("long") * F.col("size_") >= F.col("sum_"))
 
 
 def runs(flags: Column, least: int = 1) -> Column:
@@ -135,7 +135,7 @@ def with_runs(seqs: DataFrame, methods: list[str] = ALL, least: int = 6, window:
     out = tracked(seqs, methods, window)
     for m in methods:
         if METHODS[m][1] is None and threshold is None:
-            out = held(out.withColumns({"sum_": total(F.col(f"`t_{m}`")), "size_": F.size(F.col(f"`t_{m}`"))}))  # once, not for each value
+            out = held(out.withColumns({"sum_": total(F.col(f"`t_{m}`")).cast("long"), "size_": F.size(F.col(f"`t_{m}`"))}))  # once, not for each value
         out = out.withColumn("o_", over(m, window, threshold)).withColumn(f"r_{m}", runs(F.col("o_"), least)).drop("o_", "sum_", "size_")
     return held(out)
 
