@@ -4,6 +4,7 @@ from .bpe import op9_byte_bpe
 from .decontamination import op1_benchmark_decontamination
 from .embedding_dedup import op8_embedding_near_dedup
 from .language_id import op4_language_id
+from .lexical_search import op11_lexical_search
 from .secrets import op10_secret_scan
 from .sharding import op2_sharding
 from .simhash_dedup import op7_simhash_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
         op8_embedding_near_dedup,
         op9_byte_bpe,
         op10_secret_scan,
+        op11_lexical_search,
     )
 }
 
@@ -50,4 +52,17 @@ n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.component_id = e.vec_id AS kept
 FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
 
-ORACLES = {"op3_substring_dedup": SUBSTRING, "op8_embedding_near_dedup": EMBEDDING}
+SEARCH = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0),
+t AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM d) GROUP BY k, term),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM f, s),
+m AS (SELECT k, doc_id, 100 - 75 + ((75 * len(w)::BIGINT * big_n) // big_l) AS m FROM d, s WHERE len(w) > 0),
+r AS (SELECT q.item_id, m.k, m.doc_id, CAST(sum(q.c * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * m.m))) AS BIGINT) AS score
+      FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY ALL),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10"""
+
+ORACLES = {"op3_substring_dedup": SUBSTRING, "op8_embedding_near_dedup": EMBEDDING, "op11_lexical_search": SEARCH}
