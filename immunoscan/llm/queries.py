@@ -11,6 +11,7 @@ from .simhash_dedup import op7_simhash_near_dedup
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 from .url_filter import op6_url_filter
+from .warc import op12_warc
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +27,7 @@ QUERIES = {
         op9_byte_bpe,
         op10_secret_scan,
         op11_lexical_search,
+        op12_warc,
     )
 }
 
@@ -65,4 +67,10 @@ r AS (SELECT q.item_id, m.k, m.doc_id, CAST(sum(q.c * w.w * ((1000000000 * t.tf)
 o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
 SELECT * FROM o WHERE rank <= 10"""
 
-ORACLES = {"op3_substring_dedup": SUBSTRING, "op8_embedding_near_dedup": EMBEDDING, "op11_lexical_search": SEARCH}
+WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS holder FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN holder <> page_id THEN holder END AS refers_to FROM p LEFT JOIN g ON p.d = g.d AND n >= 1000"""
+
+ORACLES = {"op3_substring_dedup": SUBSTRING, "op8_embedding_near_dedup": EMBEDDING, "op11_lexical_search": SEARCH, "op12_warc": WARC}
