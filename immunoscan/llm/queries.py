@@ -5,6 +5,7 @@ from .decontamination import op1_benchmark_decontamination
 from .embedding_dedup import op8_embedding_near_dedup
 from .language_id import op4_language_id
 from .lexical_search import op11_lexical_search
+from .prefix_trie import op13_prefix_trie
 from .secrets import op10_secret_scan
 from .sharding import op2_sharding
 from .simhash_dedup import op7_simhash_near_dedup
@@ -28,6 +29,7 @@ QUERIES = {
         op10_secret_scan,
         op11_lexical_search,
         op12_warc,
+        op13_prefix_trie,
     )
 }
 
@@ -73,4 +75,21 @@ g AS (SELECT d, max(page_id) AS holder FROM p WHERE n >= 1000 GROUP BY d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN holder <> page_id THEN holder END AS refers_to FROM p LEFT JOIN g ON p.d = g.d AND n >= 1000"""
 
-ORACLES = {"op3_substring_dedup": SUBSTRING, "op8_embedding_near_dedup": EMBEDDING, "op11_lexical_search": SEARCH, "op12_warc": WARC}
+# crc32 by its definition: each byte is folded in and followed by eight steps of one bit
+TRIE = """
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END, 4294967295), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+t AS (SELECT h.conv_id, o.p AS q, o.role, o.text FROM h JOIN o ON o.conv_id = h.base AND o.p <= h.h UNION ALL SELECT h.conv_id, o.p + 1000000 AS q, o.role, o.text FROM h JOIN o ON o.conv_id = h.conv_id AND o.p > h.h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY q) AS d, md5(length(role) || ':' || role || text) AS k, length(text) AS n FROM t),
+x AS (SELECT conv_id, d, n, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM h),
+z AS (SELECT conv_id, max(d) AS deep FROM x GROUP BY conv_id),
+m AS (SELECT path, d, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS c, string_agg(CASE WHEN deep = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends FROM x JOIN z USING (conv_id) GROUP BY path, d),
+k AS (SELECT left(path, length(path) - 32) AS path, count(*) AS children FROM m WHERE d > 0 GROUP BY ALL),
+a AS (SELECT path, d, conv_id, unnest(range(0, d + 1)) AS e, (c - 1) * n AS saved, (children IS NULL)::BIGINT AS leaf FROM m LEFT JOIN k USING (path)),
+b AS (SELECT left(path, 32 * e) AS path, sum(saved) AS saved, sum(leaf) AS leaves FROM a GROUP BY ALL)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, m.c AS n_convs, coalesce(children, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN b USING (path) LEFT JOIN k USING (path) LEFT JOIN m u ON m.d > 0 AND u.path = left(m.path, length(m.path) - 32)"""
+
+ORACLES = {"op3_substring_dedup": SUBSTRING, "op8_embedding_near_dedup": EMBEDDING, "op11_lexical_search": SEARCH, "op12_warc": WARC, "op13_prefix_trie": TRIE}
