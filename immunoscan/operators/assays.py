@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import tied
+
 
 def clean(assays: DataFrame) -> DataFrame:
     return assays.where(F.col("peptide").rlike("^[A-Z]{8,15}$") & (F.col("allele").contains("HLA") | F.col("allele").contains("H-2")))
@@ -52,8 +54,8 @@ def rates(df: DataFrame) -> DataFrame:
 
 def auc(df: DataFrame, group: str, score: str, truth: str) -> DataFrame:
     """Mann-Whitney AUC per group, ties averaged; null for a group of one class."""
-    by = Window.partitionBy(group)
-    rank = F.rank().over(by.orderBy(score)) + (F.count("*").over(Window.partitionBy(group, score)) - 1) / 2
-    out = df.withColumn("r_", rank).groupBy(group).agg(F.sum(F.when(F.col(truth), F.col("r_"))).alias("rs"), F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
+    true = F.col(truth)
+    values = tied(df, [group], score, pos=F.when(true, 1).otherwise(0), neg=F.when(~true, 1).otherwise(0))
+    out = values.groupBy(group).agg(F.sum(F.col("pos") * F.col("rank")).alias("rs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     value = (F.col("rs") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))
     return out.select(group, "pos", "neg", F.round(F.when((F.col("pos") > 0) & (F.col("neg") > 0), value), 6).alias("auc"))

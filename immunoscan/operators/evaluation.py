@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tracks import upto
+
 
 def fallback_percentile(ic50: Column) -> Column:
     """Percentile of an affinity without reference set: linear between fixed knots."""
@@ -16,13 +18,17 @@ def fallback_percentile(ic50: Column) -> Column:
     return out.otherwise(F.least(F.lit(b), a + (ic50 - lo) / (hi - lo) * (b - a)))
 
 
-def sweep(votes: DataFrame, truth: DataFrame, thresholds: range = range(1, 6)) -> DataFrame:
-    """tp, fp, fn, tn of votes >= threshold for sequences with truth; all thresholds in one aggregation."""
-    kept = votes.join(truth.select("seq_id").distinct(), "seq_id", "left_semi")
-    marked = kept.join(truth.select("seq_id", "pos", F.lit(True).alias("known")), ["seq_id", "pos"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    counts = [F.struct(F.lit(t).alias("threshold"), F.count_if((F.col("votes") >= t) & F.col("known")).alias("tp"), F.count_if((F.col("votes") >= t) & ~F.col("known")).alias("fp"),
-                       F.count_if((F.col("votes") < t) & F.col("known")).alias("fn"), F.count_if((F.col("votes") < t) & ~F.col("known")).alias("tn")) for t in thresholds]
-    return marked.groupBy("seq_id").agg(F.array(*counts).alias("x")).select("seq_id", F.inline("x"))
+def counts(found: Column, truth: Column, n: Column) -> list[Column]:
+    """tp, fp, fn, tn of found places against true ones; both are arrays without repeats, of ``n`` places in all."""
+    tp = F.size(F.array_intersect(found, truth)).cast("long")
+    fp, fn = F.size(found).cast("long") - tp, F.size(truth).cast("long") - tp
+    return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), (n - tp - fp - fn).alias("tn")]
+
+
+def sweep(votes: DataFrame, thresholds: range = range(1, 6)) -> DataFrame:
+    """seq_id, threshold, tp, fp, fn, tn of votes >= threshold. ``votes``: seq_id, n, votes (one a place), spots (the true places)."""
+    parts = [F.struct(F.lit(t).cast("long").alias("threshold"), *counts(F.filter(upto(F.col("n")), lambda i: F.col("votes")[i - 1] >= t), F.col("spots"), F.col("n"))) for t in thresholds]
+    return votes.select("seq_id", F.inline(F.array(*parts)))
 
 
 def median_controls(res: DataFrame, truth: str, features: dict[str, int]) -> DataFrame:

@@ -12,12 +12,13 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims as D
 from .assays import auc
 from .innate import axa_points, cut_points, cut_sites, heads
+from .ranks import tied
 from .tracks import letters, upto
 
 AA = D.AA
@@ -192,35 +193,54 @@ def fit_classifier(train: DataFrame, label: str, kind: str = "forest", trees: in
 def regression_metrics(df: DataFrame, group: str, truth: str, predicted: str, binds: float = 500.0) -> DataFrame:
     """group, n, r2, rmse, auc (of truth below ``binds``, both columns log10) of each group."""
     y, p = F.col(truth), F.col(predicted)
-    mean = F.avg(truth).over(Window.partitionBy(group))
-    sums = df.withColumn("m_", mean).groupBy(group).agg(F.count("*").alias("n"), F.sum((y - p) * (y - p)).alias("sse"), F.sum((y - F.col("m_")) * (y - F.col("m_"))).alias("sst"))
+    sums = df.groupBy(group).agg(F.count("*").alias("n"), F.sum((y - p) * (y - p)).alias("sse"), (F.var_pop(y) * F.count("*")).alias("sst"))
     ranks = auc(df.select(group, (-p).alias("score_"), (F.pow(F.lit(10.0), y) < binds).alias("truth_")), group, "score_", "truth_")
     out = sums.join(ranks.select(group, "auc"), group)
     return out.select(group, "n", F.round(1 - F.try_divide("sse", "sst"), 6).alias("r2"), F.round(F.sqrt(F.col("sse") / F.col("n")), 6).alias("rmse"), "auc")
 
 
-def left_out(df: DataFrame, group: str, label: str, sets: dict[str, list[str]], kind: str = "logistic", **how) -> DataFrame:
-    """set, group, auc: each group scored by a model fitted on all others. One small fit a group and set, in turn; the groups'
-    names come to the driver."""
-    names = sorted(r[0] for r in df.groupBy(group).agg(F.count_distinct(label).alias("k")).where("k = 2").select(group).collect())
-    done = None
-    for name, columns in sets.items():
-        ready = df.select(group, label, F.array(*[F.coalesce(F.col(c), F.lit(0.0)).cast("double") for c in columns]).alias("features"))
-        for held in names:
-            model = fit_classifier(ready.where(F.col(group) != held), label, kind, **how)
-            scored = apply_model(model, ready.where(F.col(group) == held)).select(group, "probability", (F.col(label) == 1).alias("truth_"))
-            part = auc(scored, group, "probability", "truth_").select(F.lit(name).alias("features"), group, "auc")
-            done = part if done is None else done.unionByName(part)
-    return done
-
-
-def signed_ranks(df: DataFrame, method: str, group: str, value: str, base: str) -> DataFrame:
-    """method, pairs, w_plus, w_minus, z, label: signed-rank statistics of each method's values against the base method's, pairs
-    by group; ties share ranks, equal pairs don't count. z is the normal approximation; beyond 1.96 it is better or worse."""
+def signed_ranks(df: DataFrame, method: str, group: str, value: str, base: str, exact: int = 50) -> DataFrame:
+    """method, pairs, w_plus, w_minus, z, p, kind, mean, base_mean, label: signed-rank test of each method's values against the base
+    method's, pairs by group; ties share ranks, equal pairs don't count. Up to ``exact`` pairs p comes from the null distribution of the rank sum
+    with these ties, beyond from the normal approximation. Below 0.05 the greater mean is better. No pairs: p is 1."""
     ref = df.where(F.col(method) == base).select(group, F.col(value).alias("base_"))
-    diff = df.where(F.col(method) != base).join(ref, group).withColumn("d", F.round(F.col(value) - F.col("base_"), 9)).where("d <> 0")
-    rank = F.rank().over(Window.partitionBy(method).orderBy(F.abs("d"))) + (F.count("*").over(Window.partitionBy(method, F.abs("d"))) - 1) / 2
-    sums = diff.withColumn("r", rank).groupBy(method).agg(F.count("*").alias("pairs"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
+    both = df.where(F.col(method) != base).join(ref, group).withColumn("d", F.round(F.col(value) - F.col("base_"), 9))
+    means = both.groupBy(method).agg(F.avg(value).alias("mean"), F.avg("base_").alias("base_mean"))
+    ranked = tied(both.where("d <> 0").withColumn("abs_", F.abs("d")), [method], "abs_", plus=F.when(F.col("d") > 0, 1).otherwise(0))
+    each = F.array_repeat((2 * F.col("rank")).cast("int"), F.when(F.col("total_n") <= exact, F.col("n").cast("int")).otherwise(0))
+    # beyond ``exact`` pairs the lists are empty, so no group of any size is gathered
+    sums = ranked.groupBy(method).agg(
+        F.sum("n").alias("pairs"), F.sum(F.col("plus") * F.col("rank")).alias("w_plus"), F.sum((F.col("n") - F.col("plus")) * F.col("rank")).alias("w_minus"),
+        F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("ties"), F.flatten(F.collect_list(each)).alias("doubled"),
+    )
     n = F.col("pairs").cast("double")
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return sums.withColumn("z", F.round(z, 6)).withColumn("label", F.when(F.col("z") > 1.96, "better").when(F.col("z") < -1.96, "worse").otherwise("no different"))
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    normal = 2 * upper_tail(F.abs(F.col("w_plus") - n * (n + 1) / 4) / spread)
+    out = means.join(sums, method, "left").withColumn("ways_", ways(F.col("doubled")))
+    w, top = (2 * F.col("w_plus")).cast("int"), F.size("ways_")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    tails = F.least(total(F.slice("ways_", F.lit(1), w + 1)), total(F.slice("ways_", w + 1, top)))
+    p = F.when(F.col("pairs").isNull(), 1.0).when(F.col("pairs") <= exact, F.least(F.lit(1.0), 2 * tails / F.pow(F.lit(2.0), n))).otherwise(F.least(F.lit(1.0), normal))
+    out = out.withColumns({"p": p, "z": F.round(z, 6), "kind": F.when(F.coalesce("pairs", F.lit(0)) <= exact, "exact").otherwise("normal")})
+    label = F.when((F.col("p") < 0.05) & (F.col("mean") > F.col("base_mean")), "better").when(F.col("p") < 0.05, "worse").otherwise("no different")
+    return out.select(method, F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce("w_minus", F.lit(0.0)).alias("w_minus"), "z", F.round("p", 9).alias("p"), "kind", F.round("mean", 9).alias("mean"), F.round("base_mean", 9).alias("base_mean"), label.alias("label"))
+
+
+def ways(doubled: Column) -> Column:
+    """How many choices of signs give each sum of doubled ranks, from 0 on: numbers up to 2 to the 50th, which doubles hold exactly."""
+
+    def add(have, rank):
+        zeros = F.transform(F.sequence(F.lit(1), rank), lambda _: F.lit(0.0))
+        return F.zip_with(F.concat(have, zeros), F.concat(zeros, have), lambda a, b: a + b)
+
+    return F.aggregate(F.coalesce(doubled, F.array().cast("array<int>")), F.array(F.lit(1.0)), add)
+
+
+def upper_tail(z: Column) -> Column:
+    """The normal distribution beyond z >= 0: a series up to 4, from there 30 steps of the continued fraction."""
+    density = F.exp(-z * z / 2) / (2 * 3.141592653589793) ** 0.5
+    steps = lambda a, b: F.sequence(F.lit(a), F.lit(b))
+    fraction = F.aggregate(steps(30, 1), z, lambda f, k: z + k / f)
+    series = F.aggregate(steps(1, 80), F.array(z, z), lambda a, k: F.array(a[0] * z * z / (2 * k + 1), a[1] + a[0] * z * z / (2 * k + 1)))
+    return F.when(z < 4, 0.5 - density * series[1]).otherwise(density / fraction)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import AA
+from .ranks import numbered
 
 
 def kmers(seqs: DataFrame, k: int, step: int = 1) -> DataFrame:
@@ -43,12 +44,12 @@ def model_output(log10_ic50: Column) -> tuple[Column, Column]:
     return F.pow(F.lit(10.0), log10_ic50), F.greatest(F.lit(0.0), 1 - log10_ic50 / 5)
 
 
-def model_rows(df: DataFrame, allele: str, y: str, key: str) -> DataFrame:
-    """Adds ic50, score, binding (strong, weak, none) and percentile: 100 times the rank by ic50 over the allele's rows."""
+def model_rows(df: DataFrame, group: list[str], y: str, key: str) -> DataFrame:
+    """Adds ic50, score, binding (strong, weak, none) and percentile: 100 times the rank by ic50 over the group's rows."""
     ic50, score = model_output(F.col(y))
-    by = Window.partitionBy(allele)
-    rank = F.row_number().over(by.orderBy(y, key)) / F.count("*").over(by)
-    return df.withColumns({"ic50": ic50, "score": score, "binding": F.when(ic50 < 50, "strong").when(ic50 < 500, "weak").otherwise("none"), "percentile": 100 * rank})
+    out = numbered(df, group, [y, key])
+    percentile = 100 * (F.col("row_number") / F.col("total"))
+    return out.withColumns({"ic50": ic50, "score": score, "binding": F.when(ic50 < 50, "strong").when(ic50 < 500, "weak").otherwise("none"), "percentile": percentile}).drop("row_number", "total")
 
 
 def allele_name(raw: Column) -> Column:

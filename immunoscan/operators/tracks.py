@@ -158,13 +158,13 @@ def regions(seqs: DataFrame, methods: list[str] = ALL, least: int = 6, window: i
     return out.select("seq_id", F.inline(F.concat(*parts)))
 
 
-def vote_arrays(seqs: DataFrame, methods: list[str] = ALL, least: int = 6) -> DataFrame:
-    """seq_id, n, votes: for each residue the number of methods whose regions cover it. The covered places and
+def vote_arrays(seqs: DataFrame, methods: list[str] = ALL, least: int = 6, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """seq_id, n, the columns to keep, votes: for each residue the number of methods whose regions cover it. The covered places and
     all places are sorted together, so a place stands there once more than it has votes."""
     out = with_runs(seqs, methods, least)
-    out = out.select("seq_id", "n", *[f"r_{m}" for m in methods])
+    out = out.select("seq_id", "n", *keep, *[f"r_{m}" for m in methods])
     spots = [F.flatten(F.transform(F.col(f"`r_{m}`"), lambda r: F.sequence(r["s"] + METHODS[m][0] // 2, r["e"] + METHODS[m][0] // 2))) for m in methods]
-    out = held(out.select("seq_id", "n", F.sort_array(F.concat(upto(F.col("n")), *spots)).alias("all_")))
+    out = held(out.select("seq_id", "n", *keep, F.sort_array(F.concat(upto(F.col("n")), *spots)).alias("all_")))
     a = F.col("all_")
     out = held(out.withColumn("new_", F.concat(F.filter(upto(F.size(a)), lambda i: (i == 1) | (a[i - 1] != F.get(a, i - 2))), F.array(F.size(a) + 1))))
     return out.withColumn("votes", F.transform(upto(F.col("n")), lambda i: F.col("new_")[i] - F.col("new_")[i - 1] - 1)).drop("all_", "new_")

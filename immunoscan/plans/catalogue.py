@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import LINEAR, METHODS
 from ..operators import assays as A
+from ..operators import evaluation as E
 from ..operators import motifs as M
 from ..operators import peptides as P
+from ..operators import seeds as SD
 from ..operators import structure as S
 from ..operators import tracks as T
 from ..sources import fixtures as X
@@ -204,18 +206,17 @@ def g4_mhc_class(spark: SparkSession, d: str) -> DataFrame:
     return X.assays(spark, d).groupBy(A.mhc_class(F.col("allele")).alias("mhc_class")).agg(F.count("*").alias("n"))
 
 
-def _claims(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
-    # candidates share a 12-mer, so containment is an equality join
-    hit = P.kmers(s, 12).join(X.ref_peptides(spark, d), "peptide").groupBy("seq_id", "pep_id", "peptide").agg(F.min("start").alias("start"))
-    return hit.withColumn("start", F.col("start") + F.when(F.col("pep_id") % 3 == 0, 1).otherwise(0))
+def claimed(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
+    """seq_id, n, pep_id, pattern, at, exact: the reference peptides in the sequences. Every third is claimed a place too far."""
+    peptides = X.ref_peptides(spark, d).select("pep_id", F.col("peptide").alias("pattern"))
+    found = SD.occurrences(s.select("seq_id", "n", "seq"), peptides).join(peptides, "pattern")
+    return SD.validated(found, "pep_id", F.col("first") + F.when(F.col("pep_id") % 3 == 0, 1).otherwise(0))
 
 
 @query
 def h4_validated_positions(spark: SparkSession, d: str) -> DataFrame:
-    s = X.curated(spark, d)
-    v = A.validate(_claims(spark, d, s), s)
-    spots = v.select("seq_id", "n", "pep_id", F.explode(F.sequence(F.col("at"), F.col("at") + 11)).alias("pos"))
-    out = spots.groupBy("seq_id", "n").agg(F.count_distinct("pep_id").alias("matched"), F.count_distinct("pos").alias("positions"))
+    v = claimed(spark, d, X.curated(spark, d))
+    out = SD.spots(v, F.count("*").alias("matched")).select("seq_id", "n", "matched", F.size("spots").cast("long").alias("positions"))
     return out.where("matched >= 4 and positions >= 8")
 
 
@@ -232,7 +233,7 @@ def h6_capped_selection(spark: SparkSession, d: str) -> DataFrame:
 
 def _selected(spark: SparkSession, d: str) -> DataFrame:
     c = QUERIES["h4_validated_positions"](spark, d).withColumn("coverage", F.round(F.col("positions").cast("double") / F.col("n"), 6)).where("positions >= 0.03D * n and positions <= 0.9D * n")
-    c = c.join(X.curated(spark, d).select("seq_id", "organism"), "seq_id")
+    c = c.join(X.table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("source").alias("organism")), "seq_id")
     return A.capped(c, "organism", [F.desc("matched"), F.col("seq_id")], 6, 10, 50)
 
 
@@ -248,22 +249,23 @@ def h7_set_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def i2_method_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Covered and true places of a sequence are compared as arrays; only sequences with truth are scored."""
+    out, parts = T.with_runs(with_truth(spark, d)), []
+    for m, (w, _) in METHODS.items():
+        covered = F.flatten(F.transform(F.col(f"`r_{m}`"), lambda r: F.sequence(r["s"] + w // 2, r["e"] + w // 2)))
+        parts.append(F.struct(F.lit(m).alias("method"), *E.counts(covered, F.col("spots"), F.col("n"))))
+    return A.rates(out.select("seq_id", F.inline(F.array(*parts))))
+
+
+def with_truth(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences that hold reference peptides, with ``spots``, the peptides' places."""
     s = X.sequences(spark, d)
-    truth = truth_of(spark, d, s)
-    known = truth.groupBy("seq_id").agg(F.count("*").alias("known"))
-    kept = s.join(known, "seq_id")  # only sequences with truth are scored
-    pred = T.regions(kept.select(*s.columns)).select("seq_id", "method", F.explode(F.sequence("start", "end")).alias("pos"))
-    hits = pred.join(truth.withColumn("t", F.lit(True)), ["seq_id", "pos"], "left").groupBy("seq_id", "method").agg(F.count("t").alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"))
-    spine = kept.select("seq_id", "n", "known", F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method"))
-    out = spine.join(hits, ["seq_id", "method"], "left").na.fill(0, ["tp", "fp"])
-    out = out.withColumns({"fn": F.col("known") - F.col("tp"), "tn": F.col("n") - F.col("known") - F.col("fp")})
-    return A.rates(out.select("seq_id", "method", "tp", "fp", "fn", "tn"))
+    return s.join(SD.spots(claimed(spark, d, s)).drop("n"), "seq_id")
 
 
 def truth_of(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
     """seq_id, pos: the places of the reference peptides."""
-    v = A.validate(_claims(spark, d, s), s)
-    return v.select("seq_id", F.explode(F.sequence(F.col("at"), F.col("at") + 11)).alias("pos")).distinct()
+    return SD.spots(claimed(spark, d, s)).select("seq_id", F.explode("spots").cast("long").alias("pos"))
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dims as D
 from ..functions.dims import lookup_sql
 from ..operators import assays as A
+from ..operators import folds as FO
 from ..operators import innate as I
 from ..operators import learning as L
 from ..operators import patches as PT
@@ -99,7 +100,7 @@ def g13_batch_scores(spark: SparkSession, d: str) -> DataFrame:
     model = L.fit_regression(rows.where("allele = 'HLA-A'"), "y", 10, 6)
     pieces = X.ref_peptides(spark, d).select("pep_id", "peptide", F.lit("HLA-A").alias("allele")).withColumn("features", L.encode_padded(F.col("peptide"), 12, ALIKE))
     scored = L.apply_model(model, pieces).select("pep_id", "allele", F.col("predicted").alias("y"))
-    return P.model_rows(scored, "allele", "y", "pep_id").select("pep_id", "ic50", "score", "binding", "percentile")
+    return P.model_rows(scored, ["allele"], "y", "pep_id").select("pep_id", "ic50", "score", "binding", "percentile")
 
 
 def g14_residue_classifier(spark: SparkSession, d: str, trees: int = 10, depth: int = 5) -> DataFrame:
@@ -148,9 +149,14 @@ def structure_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g18_left_out(spark: SparkSession, d: str) -> DataFrame:
-    """Each structure scored by a logistic regression on all others, for the least and the greatest feature set."""
-    rows = PT.settled(structure_features(spark, d))
-    return L.left_out(rows, "structure_id", "label", {k: FEATURE_SETS[k] for k in ("sasa only", "everything")})
+    """Each structure scored by logistic regressions on all others, for the five feature sets."""
+    return FO.left_out(PT.settled(structure_features(spark, d)), "structure_id", "label", FEATURE_SETS)
+
+
+def g18_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The weights of the fits on all structures, the largest first."""
+    out = FO.all_weights(PT.settled(structure_features(spark, d)), "structure_id", "label", FEATURE_SETS)
+    return out.withColumn("weight", F.round("weight", 6))
 
 
 def g19_signed_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -163,6 +169,12 @@ def g19_signed_ranks(spark: SparkSession, d: str) -> DataFrame:
     return L.signed_ranks(done.where("auc is not null"), "method", "structure_id", "auc", "sasa")
 
 
+def g19_left_out_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Do more features help? The AUC of each set in the structures left out, against the surface area's."""
+    left = PT.settled(g18_left_out(spark, d))
+    return L.signed_ranks(left.where("auc is not null"), "features", "structure_id", "auc", "sasa only")
+
+
 def s1_arriving_sequences(spark: SparkSession, d: str) -> DataFrame:
     def job(batch: DataFrame) -> DataFrame:
         seqs = batch.select(F.col("doc_id").alias("seq_id"), X.clean(F.col("text")).alias("seq")).withColumn("n", F.length("seq").cast("long"))
@@ -172,7 +184,7 @@ def s1_arriving_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: queries that SQL can't express: fits and what follows from them
-FITTED = {f.__name__: f for f in (g11_allele_models, g13_batch_scores, g14_residue_classifier, g16_signal_models, g18_left_out)}
+FITTED = {f.__name__: f for f in (g11_allele_models, g13_batch_scores, g14_residue_classifier, g16_signal_models, g18_left_out, g18_weights, g19_left_out_ranks)}
 QUERIES = {f.__name__: f for f in (g5_padded_encoding, g6_anchored_encoding, g7_core_encoding, g8_residue_context, g9_signal_features, g10_split, g12_regression_metrics, g19_signed_ranks, s1_arriving_sequences)}
 
 _code = lambda p: f"instr('{D.AA}', substr(peptide, {p}, 1)) * CAST(length(peptide) >= {p} AS INT)"
@@ -208,13 +220,20 @@ ORACLES = {
         "sequences", "assays", CLEAN, SCORED,
         f"preds AS (SELECT CASE WHEN regexp_matches(allele, 'DRB|DQB|DPB') THEN 'II' ELSE 'I' END AS mhc_class, log10({AFFINITY}) AS y, round(log10(greatest(1e0, least(5e4, 500 * exp(-5e-1 * (CAST(score AS DOUBLE) / 1000))))), 9) AS p FROM cleaned c JOIN scored s ON s.rec_id = c.rec_id WHERE score IS NOT NULL)",
     ),
+    # the null distribution of the doubled rank sum, one rank after the other
     "g19_signed_ranks": sql(
-        """SELECT method, pairs, w_plus, w_minus, round((w_plus - pairs * (pairs + 1) / 4e0) / sqrt(pairs * (pairs + 1) * (2 * pairs + 1) / 24e0), 6) AS z, CASE WHEN round((w_plus - pairs * (pairs + 1) / 4e0) / sqrt(pairs * (pairs + 1) * (2 * pairs + 1) / 24e0), 6) > 196e-2 THEN 'better' WHEN round((w_plus - pairs * (pairs + 1) / 4e0) / sqrt(pairs * (pairs + 1) * (2 * pairs + 1) / 24e0), 6) < -196e-2 THEN 'worse' ELSE 'no different' END AS label FROM (
- SELECT method, count(*) AS pairs, sum(CASE WHEN d > 0 THEN r ELSE 0e0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0e0 END) AS w_minus FROM (SELECT method, d, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2e0 AS r FROM (
- SELECT a.method, round(a.auc - b.auc, 9) AS d FROM aucs a JOIN aucs b ON b.method = 'sasa' AND b.structure_id = a.structure_id AND b.auc IS NOT NULL WHERE a.method <> 'sasa' AND a.auc IS NOT NULL) WHERE d <> 0) GROUP BY method)""",
+        f"""SELECT m.method, coalesce(pairs, 0) AS pairs, coalesce(w_plus, 0e0) AS w_plus, coalesce(w_minus, 0e0) AS w_minus, round((w_plus - pairs * (pairs + 1) / 4e0) / sqrt(pairs * (pairs + 1) * (2 * pairs + 1) / 24e0), 6) AS z,
+ round(coalesce(p, 1e0), 9) AS p, 'exact' AS kind, round(mean, 9) AS mean, round(base_mean, 9) AS base_mean, CASE WHEN coalesce(p, 1) < 5e-2 AND mean > base_mean THEN 'better' WHEN coalesce(p, 1) < 5e-2 THEN 'worse' ELSE 'no different' END AS label
+ FROM (SELECT method, avg(a) AS mean, avg(b) AS base_mean FROM diffs GROUP BY method) m LEFT JOIN
+ (SELECT *, least(1e0, 2 * least(list_sum(ways[1:CAST(2 * w_plus AS BIGINT) + 1]), list_sum(ways[CAST(2 * w_plus AS BIGINT) + 1:])) / pow(2e0, pairs)) AS p FROM
+ (SELECT *, list_reduce(list_prepend([1e0], list_transform(doubled, lambda r: [r])), lambda x, y: list_transform(range(0, len(x) + CAST(y[1] AS BIGINT)),
+  lambda i: CASE WHEN i < len(x) THEN x[i + 1] ELSE 0e0 END + CASE WHEN i >= y[1] THEN x[i + 1 - CAST(y[1] AS BIGINT)] ELSE 0e0 END)) AS ways FROM
+ (SELECT method, count(*) AS pairs, sum(CASE WHEN d > 0 THEN r ELSE 0e0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0e0 END) AS w_minus, list(2 * r) AS doubled FROM
+ (SELECT method, d, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2e0 AS r FROM diffs WHERE d <> 0) GROUP BY method))) s ON s.method = m.method""",
         "residues3d", CONTACTS, PROTRUSION,
         """vals AS (SELECT structure_id, chain_id = 'H' AS t, 'sasa' AS method, sasa AS v FROM residues3d UNION ALL SELECT structure_id, chain_id = 'H', 'protrusion', round(coalesce(protrusion, 0), 9) FROM protruding UNION ALL SELECT r.structure_id, chain_id = 'H', 'contacts', -contacts FROM residues3d r JOIN contacts c ON c.structure_id = r.structure_id AND c.idx = r.idx),
 aucs AS (SELECT method, structure_id, round(CASE WHEN pos > 0 AND neg > 0 THEN (rs - pos * (pos + 1) / 2e0) / (pos * neg) END, 6) AS auc FROM (SELECT method, structure_id, sum(CASE WHEN t THEN r END) AS rs, count(*) FILTER (t) AS pos, count(*) FILTER (NOT t) AS neg FROM (SELECT *, rank() OVER (PARTITION BY method, structure_id ORDER BY v) + (count(*) OVER (PARTITION BY method, structure_id, v) - 1) / 2e0 AS r FROM vals) GROUP BY method, structure_id))""",
+        "diffs AS (SELECT a.method, a.auc AS a, b.auc AS b, round(a.auc - b.auc, 9) AS d FROM aucs a JOIN aucs b ON b.method = 'sasa' AND b.structure_id = a.structure_id AND b.auc IS NOT NULL WHERE a.method <> 'sasa' AND a.auc IS NOT NULL)",
     ),
     "s1_arriving_sequences": sql("""SELECT seq_id, "start", "end", peptide, score FROM regions WHERE method = 'kolaskar-tongaonkar'""", *G),
 }

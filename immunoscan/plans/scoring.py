@@ -38,12 +38,9 @@ def g17_z_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i3_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    from .catalogue import truth_of
+    from .catalogue import with_truth
 
-    s = X.sequences(spark, d)
-    truth = truth_of(spark, d, s)
-    kept = s.join(truth.select("seq_id").distinct(), "seq_id", "left_semi")  # only sequences with truth are scored
-    return A.rates(E.sweep(T.votes(kept), truth)).select("seq_id", F.col("threshold").cast("long").alias("threshold"), "tp", "fp", "fn", "tn", "sens", "spec")
+    return A.rates(E.sweep(T.vote_arrays(with_truth(spark, d), keep=["spots"]))).select("seq_id", "threshold", "tp", "fp", "fn", "tn", "sens", "spec")
 
 
 def i7_single_features(spark: SparkSession, d: str) -> DataFrame:

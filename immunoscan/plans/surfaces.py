@@ -102,16 +102,13 @@ def h3_named(spark: SparkSession, d: str) -> DataFrame:
 
 def i4_combined_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Residues with three votes, or within a window that binds below 500: each position once, then the rates."""
-    from .catalogue import truth_of
-
-    s = X.sequences(spark, d)
-    truth = truth_of(spark, d, s)
-    kept = s.join(truth.select("seq_id").distinct(), "seq_id", "left_semi")
-    binds = tcell.class_one(kept, ["HLA-A*02:01"]).withColumn("i", F.filter(T.upto(F.col("n") - 8), lambda i: F.col("`HLA-A*02:01`")[i - 1] > 0))
-    spans = binds.select("seq_id", F.explode("i").alias("s")).select("seq_id", F.explode(F.sequence(F.col("s").cast("long"), F.col("s").cast("long") + 8)).alias("pos"))
-    found = T.votes(kept).where("votes >= 3").select("seq_id", "pos").union(spans).distinct().withColumn("votes", F.lit(1).cast("long"))
-    rows = T.residues(kept).select("seq_id", "pos").join(found, ["seq_id", "pos"], "left").na.fill(0, ["votes"])
-    return A.rates(E.sweep(rows, truth, range(1, 2)).drop("threshold")).select("seq_id", "tp", "fp", "fn", "tn", "sens", "spec", "mcc")
+    from .catalogue import with_truth
+
+    votes = T.vote_arrays(with_truth(spark, d), keep=["seq", "spots"])
+    binds = tcell.class_one(votes, ["HLA-A*02:01"]).withColumn("i", F.filter(T.upto(F.col("n") - 8), lambda i: F.col("`HLA-A*02:01`")[i - 1] > 0))
+    voted = F.filter(T.upto(F.col("n")), lambda i: F.col("votes")[i - 1] >= 3)
+    found = T.held(binds.withColumn("found", F.array_distinct(F.concat(voted, F.flatten(F.transform("i", lambda i: F.sequence(i, i + 8)))))).select("seq_id", "n", "found", "spots"))
+    return A.rates(found.select("seq_id", *E.counts(F.col("found"), F.col("spots"), F.col("n")))).select("seq_id", "tp", "fp", "fn", "tn", "sens", "spec", "mcc")
 
 
 def i8_cross_domain(spark: SparkSession, d: str) -> DataFrame:

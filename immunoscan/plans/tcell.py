@@ -104,8 +104,9 @@ def d19_binders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d17_model_output(spark: SparkSession, d: str) -> DataFrame:
-    a = A.clean(X.assays(spark, d)).select("rec_id", "allele", F.log10(A.affinity(F.col("quant"), F.col("qual"))).alias("y"))
-    out = P.model_rows(a, "allele", "y", "rec_id")
+    """Percentiles over the peptides of a sequence and allele."""
+    a = A.clean(X.assays(spark, d)).select("rec_id", "seq_id", "allele", F.log10(A.affinity(F.col("quant"), F.col("qual"))).alias("y"))
+    out = P.model_rows(a, ["seq_id", "allele"], "y", "rec_id")
     return out.select("rec_id", F.round("ic50", 6).alias("ic50"), F.round("score", 6).alias("score"), "binding", F.round("percentile", 6).alias("percentile"))
 
 
@@ -210,7 +211,7 @@ ORACLES = {
     "d13_log_odds": sql(f"SELECT rec_id, round(score, 6) AS score, round(ic50, 6) AS ic50, round(log10(ic50), 6) AS log_ic50 FROM (SELECT rec_id, score, greatest(1e0, least(5e4, 1000 * exp(-5e-1 * score))) AS ic50 FROM (SELECT rec_id, {ODD_SCORE} AS score FROM own o WHERE allele IN (SELECT allele FROM odds)))", "sequences", "assays", CLEAN, ODDS),
     "d15_reference_percentile": sql("SELECT rec_id, round(100 * CAST((SELECT count(*) FROM s9 r WHERE r.s > p.score) AS DOUBLE) / (SELECT count(*) FROM s9), 6) AS percentile FROM scored p WHERE score IS NOT NULL", "sequences", "assays", CLEAN, SCORED, _kmers(9), _scores("s9", 9, A1[0])),
     "d16_fallback_percentile": sql("SELECT rec_id, round(CASE WHEN ic50 < 50 THEN 1e-1 WHEN ic50 < 500 THEN 5e-1 + (ic50 - 50) / 450 * 15e-1 WHEN ic50 < 5000 THEN 2 + (ic50 - 500) / 4500 * 8 ELSE least(1e2, 10 + (ic50 - 5000) / 45000 * 90) END, 6) AS percentile FROM affine", *CHAIN),
-    "d17_model_output": sql(f"SELECT rec_id, round(pow(1e1, y), 6) AS ic50, round(greatest(0, 1 - y / 5), 6) AS score, CASE WHEN pow(1e1, y) < 50 THEN 'strong' WHEN pow(1e1, y) < 500 THEN 'weak' ELSE 'none' END AS binding, round(100e0 * row_number() OVER (PARTITION BY allele ORDER BY y, rec_id) / count(*) OVER (PARTITION BY allele), 6) AS percentile FROM (SELECT rec_id, allele, log10({AFFINITY}) AS y FROM cleaned)", "sequences", "assays", CLEAN),
+    "d17_model_output": sql(f"SELECT rec_id, round(pow(1e1, y), 6) AS ic50, round(greatest(0, 1 - y / 5), 6) AS score, CASE WHEN pow(1e1, y) < 50 THEN 'strong' WHEN pow(1e1, y) < 500 THEN 'weak' ELSE 'none' END AS binding, round(100e0 * row_number() OVER (PARTITION BY seq_id, allele ORDER BY y, rec_id) / count(*) OVER (PARTITION BY seq_id, allele), 6) AS percentile FROM (SELECT rec_id, seq_id, allele, log10({AFFINITY}) AS y FROM cleaned)", "sequences", "assays", CLEAN),
     "d18_top_windows": sql(" UNION ALL ".join(f"""SELECT seq_id, '{a}' AS allele, rank, "start", CAST(s AS DOUBLE) / 1000 AS score FROM (SELECT seq_id, "start", {M.score_sql('peptide', m)} AS s, row_number() OVER (PARTITION BY seq_id ORDER BY {M.score_sql('peptide', m)} DESC, "start") AS rank FROM k9) WHERE rank <= 100""" for a, m in zip(ONE, A1, strict=True)), "sequences", _kmers(9)),
     "d19_binders": sql("SELECT rec_id, round(ic50, 6) AS ic50, ic50 < 500 AS strict FROM affine WHERE ic50 <= 500", *CHAIN),
     "d21_cleavage": sql(f"""SELECT seq_id, "start" + 6 AS pos, CAST({M.score_sql('peptide', M.sparse(M.CLEAVAGE, -6, 6))} AS DOUBLE) / 1000 AS score, substr(peptide, 4, 3) || '|' || substr(peptide, 7, 4) AS context FROM k13""", "sequences", _kmers(13)),
