@@ -12,13 +12,18 @@ The driver holds folds x sets x (features + 1) weights, which is the result itse
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .assays import auc
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 NONE = "(none)"
 
 

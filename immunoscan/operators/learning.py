@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims as D
 from .assays import auc
+from .grove import spec_of
 from .innate import axa_points, cut_points, cut_sites, heads
 from .ranks import tied
 from .tracks import letters, upto
@@ -64,6 +65,25 @@ def encode_padded(peptide: Column, size: int = 12, matrix: list[list[int]] | Non
     return F.concat(F.flatten(F.transform(F.array(*codes), lambda c: hot[c])), F.flatten(F.transform(F.array(*codes), lambda c: rows[c])), extra)
 
 
+def padded_codes(peptide: Column, size: int = 12) -> Column:
+    """What ``encode_padded`` is made from, a byte each: the codes of ``size`` letters (0: none), the length, the code of the last of the first nine."""
+    n = F.least(F.length(peptide), F.lit(size))
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    nine = F.instr(F.lit(AA), F.substr(peptide, F.least(F.lit(9), n), F.lit(1)))
+    return F.unhex(F.concat(*[byte(c) for c in _codes(peptide, size)], byte(n), byte(nine)))
+
+
+def padded_spec(size: int = 12, matrix: list[list[int]] | None = None):
+    """The features of ``encode_padded`` as tables over ``padded_codes``."""
+    matrix, tables = matrix or alike(), []
+    for p in range(size):
+        tables += [(p, [0.0] + [float(i == j) for i in range(20)]) for j in range(20)]
+        tables += [(p, [0.0] + [float(matrix[i][j]) for i in range(20)]) for j in range(20)]
+    among = lambda kinds: [0.0] + [float(a in kinds) for a in AA]
+    tables += [(size, [i / size for i in range(size + 1)]), (1, among("LMI")), (1, among("TS")), (size + 1, among("VLI")), (size + 1, among("YF"))]
+    return spec_of(size + 2, tables)
+
+
 def _nine(k: int) -> list[int]:
     """Which letter of a peptide of k letters stands at each of nine places; 0 for a gap. Short ones get the gap behind the middle,
     of long ones the middle is thinned evenly."""

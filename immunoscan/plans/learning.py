@@ -9,6 +9,7 @@ from ..functions import dims as D
 from ..functions.dims import lookup_sql
 from ..operators import assays as A
 from ..operators import folds as FO
+from ..operators import grove as GR
 from ..operators import innate as I
 from ..operators import learning as L
 from ..operators import patches as PT
@@ -70,21 +71,19 @@ def g10_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Clean assay peptides in allele groups of five letters, with log10 affinity."""
+    """Clean assay peptides with log10 affinity, as rows of a grove."""
     a = A.clean(X.assays(spark, d))
-    return a.select("rec_id", F.substring("allele", 1, 5).alias("allele"), "peptide", F.log10(A.affinity(F.col("quant"), F.col("qual"))).alias("y"))
+    return a.select(F.col("rec_id").alias("id"), F.col("allele").alias("group"), L.padded_codes(F.col("peptide")).alias("codes"), F.log10(A.affinity(F.col("quant"), F.col("qual"))).alias("y"))
 
 
-def g11_allele_models(spark: SparkSession, d: str, trees: int = 20, depth: int = 8) -> DataFrame:
-    """A forest for each allele group with 20 peptides or more, judged on the fifth that it has not seen."""
-    rows = _labelled(spark, d).withColumn("features", L.encode_padded(F.col("peptide"), 12, ALIKE))
-    done = None
-    for r in A.allele_counts(rows, 20, 30).collect():  # 30 rows at most
-        own = rows.where(F.col("allele") == r["allele"])
-        model = L.fit_regression(own.where(L.split_mark("rec_id")), "y", trees, depth)
-        part = L.apply_model(model, own.where(~L.split_mark("rec_id"))).select("allele", "y", "predicted")
-        done = part if done is None else done.unionByName(part)
-    return L.regression_metrics(done, "allele", "y", "predicted")
+def g11_allele_models(spark: SparkSession, d: str) -> DataFrame:
+    """A forest of 100 trees, 20 deep, for each of the 30 alleles with most peptides (20 at least), judged on the fifth that it has not seen."""
+    rows = _labelled(spark, d)
+    top = A.allele_counts(rows.withColumnRenamed("group", "allele"), 20, 30).select(F.col("allele").alias("group"))
+    rows = PT.settled(rows.join(F.broadcast(top), "group", "left_semi"))  # 30 rows
+    forest = PT.settled(GR.fit(rows.where(L.split_mark("id")), L.padded_spec(12, ALIKE)))
+    done = GR.predict(rows.where(~L.split_mark("id")), forest)
+    return L.regression_metrics(done.withColumnRenamed("group", "allele"), "allele", "y", "predicted")
 
 
 def g12_regression_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -95,12 +94,13 @@ def g12_regression_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g13_batch_scores(spark: SparkSession, d: str) -> DataFrame:
-    """A model fitted on one allele group's peptides, applied to all k-mers of the benchmark peptides."""
-    rows = _labelled(spark, d).withColumn("features", L.encode_padded(F.col("peptide"), 12, ALIKE))
-    model = L.fit_regression(rows.where("allele = 'HLA-A'"), "y", 10, 6)
-    pieces = X.ref_peptides(spark, d).select("pep_id", "peptide", F.lit("HLA-A").alias("allele")).withColumn("features", L.encode_padded(F.col("peptide"), 12, ALIKE))
-    scored = L.apply_model(model, pieces).select("pep_id", "allele", F.col("predicted").alias("y"))
-    return P.model_rows(scored, ["allele"], "y", "pep_id").select("pep_id", "ic50", "score", "binding", "percentile")
+    """A forest fitted on the allele with most peptides, applied to every 9-mer of every sequence; percentiles within the sequence."""
+    rows = _labelled(spark, d)
+    top = A.allele_counts(rows.withColumnRenamed("group", "allele"), 20, 1).select(F.col("allele").alias("group"))
+    forest = PT.settled(GR.fit(rows.join(F.broadcast(top), "group", "left_semi"), L.padded_spec(12, ALIKE), 10, 6))
+    pieces = P.kmers(X.sequences(spark, d), 9).join(F.broadcast(top)).select("seq_id", "start", "group", L.padded_codes(F.col("peptide")).alias("codes"))
+    scored = GR.predict(pieces, forest).select("seq_id", F.col("group").alias("allele"), "start", F.col("predicted").alias("y"))
+    return P.model_rows(scored, ["seq_id", "allele"], "y", "start").select("seq_id", "allele", "start", "ic50", "score", "binding", "percentile")
 
 
 def g14_residue_classifier(spark: SparkSession, d: str, trees: int = 10, depth: int = 5) -> DataFrame:
