@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims as D
-from .motifs import n_glycosylation, receptor_motifs, stimulating_motifs
-from .tracks import count, letters, residues, upto, valued
+from .motifs import PATTERNS, STIMULATING, n_sites, scored, with_hits
+from .tracks import count, held, letters, upto, valued
 
 MERGED = "struct<start:int,end:int,points:int>"
 
@@ -21,9 +21,8 @@ def is_in(letter: Column, kinds: str) -> Column:
     return F.coalesce(letter.isin(*kinds), F.lit(False))
 
 
-def o_glycosylation(seqs: DataFrame) -> DataFrame:
-    """seq_id, pos, score, motif, site_type of S and T that score 0.4 at least."""
-    out = letters(seqs).withColumn("v_", valued("code", [D.O_GLYCO.get(a, 0) for a in D.AA], 0))
+def o_sites() -> Column:
+    """pos, points (of 10000), motif of the S and T of a row of ``o_ready``."""
     at = lambda i: F.get("aa", i - 1)
 
     def site(i):
@@ -31,17 +30,28 @@ def o_glycosylation(seqs: DataFrame) -> DataFrame:
         around = F.aggregate(F.slice("v_", first, i + 6 - first), F.lit(0), lambda a, x: a + x) - F.get("v_", i - 1)
         points = 500 + around + F.when(at(i - 1) == "P", 250).otherwise(0) + F.when(at(i + 3) == "P", 200).otherwise(0)
         low = F.greatest(F.lit(1), i - 2)
-        return F.struct(i.cast("long").alias("pos"), F.greatest(F.lit(0), F.least(F.lit(10000), points * F.when(at(i) == "T", 11).otherwise(10))).alias("points"), F.array_join(F.slice("aa", low, i + 3 - low), "").alias("motif"))
+        points = F.greatest(F.lit(0), F.least(F.lit(10000), points * F.when(at(i) == "T", 11).otherwise(10)))
+        return F.struct(i.cast("long").alias("pos"), points.alias("points"), F.array_join(F.slice("aa", low, i + 3 - low), "").alias("motif"))
 
     spots = F.filter(upto(F.col("n")), lambda i: is_in(at(i), "ST"))
-    each = out.select("seq_id", F.inline(F.transform(spots, site)))
-    kind = F.when(F.col("points") >= 7000, "high").when(F.col("points") >= 5000, "medium").otherwise("low")
-    score = F.floor((F.col("points") + 5) / 10).cast("double") / 1000
-    return each.select("seq_id", "pos", score.alias("score"), "motif", kind.alias("site_type")).where("score >= 0.4")
+    scored = lambda x: (F.floor((x["points"] + 5) / 10).cast("double") / 1000).alias("score")
+    kind = lambda x: F.when(x["points"] >= 7000, "high").when(x["points"] >= 5000, "medium").otherwise("low").alias("site_type")
+    rows = F.transform(F.transform(spots, site), lambda x: F.struct(x["pos"].alias("pos"), scored(x), x["motif"].alias("motif"), kind(x)))
+    return F.filter(rows, lambda x: x["score"] >= 0.4)
+
+
+def o_ready(seqs: DataFrame) -> DataFrame:
+    """``letters`` with what each letter adds to an O-glycosylation site near it."""
+    return held(letters(seqs).withColumn("v_", valued("code", [D.O_GLYCO.get(a, 0) for a in D.AA], 0)))
+
+
+def o_glycosylation(seqs: DataFrame) -> DataFrame:
+    """seq_id, pos, score, motif, site_type of S and T that score 0.4 at least."""
+    return o_ready(seqs).select("seq_id", F.inline(o_sites()))
 
 
-def signal_rules(seqs: DataFrame) -> DataFrame:
-    """seq_id, is_signal, cleavage_position, confidence, n_score, h_score, c_score by the rules for the three regions; a sequence
+def signal_rules(seqs: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """seq_id, the columns to keep, is_signal, cleavage_position, confidence, n_score, h_score, c_score by the rules for the three regions; a sequence
     under 15 letters has none. Of equal cleavage candidates the first wins."""
     out = letters(seqs.withColumn("full_", F.col("n")).withColumns({"seq": F.substring("seq", 1, 32), "n": F.least(F.col("n"), F.lit(32).cast("long"))}))
     at = lambda p: F.get("aa", F.lit(p) - 1 if isinstance(p, int) else p - 1)
@@ -63,7 +73,7 @@ def signal_rules(seqs: DataFrame) -> DataFrame:
     long = F.col("full_") >= 15
     signal = long & (F.round(confidence, 9) >= 0.5) & (F.round("h_", 9) >= 0.3) & F.col("b_").isNotNull()
     three = lambda c: F.when(long, F.round(F.round(c, 9), 3)).otherwise(0.0)
-    return out.select("seq_id", signal.alias("is_signal"), F.when(signal, 1 - F.col("b_.p")).cast("long").alias("cleavage_position"), three(confidence).alias("confidence"), three("n_").alias("n_score"), three("h_").alias("h_score"), three("c_").alias("c_score"))
+    return out.select("seq_id", *keep, signal.alias("is_signal"), F.when(signal, 1 - F.col("b_.p")).cast("long").alias("cleavage_position"), three(confidence).alias("confidence"), three("n_").alias("n_score"), three("h_").alias("h_score"), three("c_").alias("c_score"))
 
 
 def helix_windows(seqs: DataFrame, width: int = 11) -> DataFrame:
@@ -75,63 +85,88 @@ def helix_windows(seqs: DataFrame, width: int = 11) -> DataFrame:
     return out.withColumn("helices", F.filter(each, lambda r: r["points"] >= 36)).drop("o_", "i_")
 
 
-def merged(spans: Column) -> Column:
-    """Left to right, of overlapping spans the one with more points stays; what overlaps is judged by the span that stays.
-    ``spans``: start, end, points, by start."""
+def merged(spans: str) -> Column:
+    """Left to right, of overlapping spans the one with more points stays; what overlaps is judged by the span that stays. ``spans`` names an
+    array of start, end, points, by start.
+
+    What stays is gathered in blocks of as many spans as the root of their number, so a list of k spans is copied some 2 sqrt(k) times and not k."""
     state = f"struct<now:{MERGED},out:array<{MERGED}>>"
-    none = F.struct(F.lit(None).cast(MERGED).alias("now"), F.array().cast(f"array<{MERGED}>").alias("out")).cast(state)
+    state_of = lambda now, out: F.struct(now.alias("now"), out.alias("out")).cast(state)
+    no_span, empty = F.lit(None).cast(MERGED), F.array().cast(f"array<{MERGED}>")
 
     def step(a, x):
         now = a["now"]
-        apart = F.struct(x.alias("now"), F.when(now.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(now))).alias("out")).cast(state)
-        return F.when(now.isNull() | (x["start"] > now["end"]), apart).when(x["points"] > now["points"], F.struct(x.alias("now"), a["out"].alias("out")).cast(state)).otherwise(a)
+        apart = state_of(x, F.when(now.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(now))))
+        return F.when(now.isNull() | (x["start"] > now["end"]), apart).when(x["points"] > now["points"], state_of(x, a["out"])).otherwise(a)
 
-    return F.aggregate(spans, none, step, lambda a: F.when(a["now"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["now"]))))
+    size = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(spans))).cast("int"))
+    blocks = F.when(F.size(spans) > 0, F.sequence(F.lit(1), F.size(spans), size)).otherwise(F.array().cast("array<int>"))
+    block = lambda a, first: F.aggregate(F.slice(spans, first, size), state_of(a["now"], empty), step, lambda r: state_of(r["now"], F.concat(a["out"], r["out"])))
+    return F.aggregate(blocks, state_of(no_span, empty), block, lambda a: F.when(a["now"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["now"]))))
 
 
 def helices(seqs: DataFrame, merge: bool = True) -> DataFrame:
     """seq_id, start, end, motif, score of the helix windows, merged or all."""
-    out = helix_windows(seqs)
-    spans = merged(F.col("helices")) if merge else F.col("helices")
+    out = held(helix_windows(seqs))
     row = lambda r: F.struct(r["start"].cast("long").alias("start"), r["end"].cast("long").alias("end"), F.array_join(F.slice("aa", r["start"], 11), "").alias("motif"), F.round(r["points"].cast("double") / 60, 3).alias("score"))
-    return out.withColumn("m_", spans).select("seq_id", F.inline(F.transform("m_", row)))
+    return out.withColumn("m_", merged("helices") if merge else F.col("helices")).select("seq_id", F.inline(F.transform("m_", row)))
 
 
 def summary(seqs: DataFrame) -> DataFrame:
-    """One row a sequence: counts of each kind of site and motif, whether there is a signal peptide or an RGD text. All features
-    meet in one aggregation."""
-    def part(df, kind, rgd=None):
-        return df.select("seq_id", F.lit(kind).alias("kind"), (F.contains(rgd, F.lit("RGD")) if rgd is not None else F.lit(False)).alias("rgd"))
-
-    n, o = n_glycosylation(seqs), o_glycosylation(seqs)
-    rows = part(n, "n").unionByName(part(n.where("site_type = 'canonical'"), "canonical")).unionByName(part(o, "o")).unionByName(part(o.where("site_type = 'high'"), "high"))
-    rows = rows.unionByName(part(receptor_motifs(seqs), "receptor")).unionByName(part(stimulating_motifs(seqs), "stimulating", F.col("motif"))).unionByName(part(helices(seqs), "stimulating", F.col("motif")))
-    how_many = lambda kind: F.count_if(F.col("kind") == kind)
-    by = rows.groupBy("seq_id").agg(how_many("n").alias("n_sites"), how_many("canonical").alias("canonical"), how_many("o").alias("o_sites"), how_many("high").alias("high_o"), how_many("receptor").alias("receptor_motifs"), how_many("stimulating").alias("stimulating_motifs"), F.max("rgd").alias("has_rgd"))
-    out = seqs.where("n > 0").select("seq_id", "n").join(signal_rules(seqs).select("seq_id", "is_signal", "confidence"), "seq_id").join(by, "seq_id", "left")
-    return out.na.fill(0).na.fill(False)
-
-
-def spots(spans: DataFrame, value: Column) -> DataFrame:
-    return spans.select("seq_id", F.explode(F.sequence("start", "end")).alias("pos"), value.alias("value"))
+    """One row a sequence: counts of each kind of site and motif, whether there is a signal peptide or an RGD text. All of it is
+    counted in the sequence's own arrays."""
+    signal = signal_rules(seqs.where("n > 0").select("seq_id", "n", "seq", F.struct("seq", "n").alias("whole_")), ["whole_"]).select("seq_id", "whole_.seq", "whole_.n", "is_signal", "confidence")
+    out = held(helix_windows(signal)).withColumn("kept_", merged("helices"))
+    out = held(with_hits(out.drop("helices", "aa", "code"), PATTERNS | {f"s_{k}": v for k, v in STIMULATING.items()}))
+    helix_rgd = F.exists("kept_", lambda r: F.contains(F.substr(F.col("seq"), r["start"], F.lit(11)), F.lit("RGD")))
+    # an RGD text is a match of the RGD pattern itself, or stands in a helix window
+    stimulating = sum((F.size(f"h_s_{k}") for k in STIMULATING if k != "rgd_variant"), F.size(F.filter("h_s_rgd_variant", lambda h: ~F.startswith(h["motif"], F.lit("RGD"))))) + F.size("kept_")
+    out = out.select(
+        "seq_id", "n", "seq", "is_signal", "confidence", sum((F.size(f"h_{k}") for k in PATTERNS), F.lit(0)).cast("long").alias("receptor_motifs"), stimulating.cast("long").alias("stimulating_motifs"), ((F.size("h_s_rgd") > 0) | helix_rgd).alias("has_rgd")
+    )
+    out = held(o_ready(out).withColumns({"n_": n_sites(), "o_": o_sites()}))
+    size = lambda c, only=None: F.size(c if only is None else F.filter(c, lambda x: x["site_type"] == only)).cast("long")
+    return out.select("seq_id", "n", "is_signal", "confidence", size("n_").alias("n_sites"), size("n_", "canonical").alias("canonical"), size("o_").alias("o_sites"), size("o_", "high").alias("high_o"), "receptor_motifs", "stimulating_motifs", "has_rgd")
+
+
+def laid(spans: str) -> Column:
+    """A value for each of the row's n residues: that of the span over it, else 0. ``spans`` names an array of (start, end, value), by start,
+    that don't overlap: the runs between and over them are put one after the other."""
+    last = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(spans, i - 1)["end"])
+    run = lambda value, size: F.array_repeat(value, size.cast("int"))
+    runs = F.transform(spans, lambda h, i: F.concat(run(F.lit(0.0), h["start"] - last(i) - 1), run(h["value"], h["end"] - h["start"] + 1)))
+    return F.flatten(F.concat(runs, F.array(run(F.lit(0.0), F.col("n") - F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))))))
+
+
+def layers(seqs: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """seq_id, n, the columns to keep, and for every residue l_n and l_o (scores of glycosylation sites) and l_<pattern> (scores of the
+    receptor motifs of a pattern, which don't overlap)."""
+    plain = lambda rows: F.transform(rows, lambda x: F.struct(x["pos"].alias("start"), x["pos"].alias("end"), x["score"].alias("value")))
+    out = held(o_ready(seqs.where("n > 0").select("seq_id", "n", "seq", *keep)).withColumns({"s_n": plain(n_sites()), "s_o": plain(o_sites())}).drop("aa", "code", "v_"))
+    out = with_hits(out, PATTERNS)
+    valued_ = [F.transform(scored(n), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["score"].alias("value"))).alias(f"s_{n}") for n in PATTERNS]
+    out = held(out.select("seq_id", "n", *keep, "s_n", "s_o", *valued_))
+    return held(out.select("seq_id", "n", *keep, *[laid(f"s_{k}").alias(f"l_{k}") for k in ("n", "o", *PATTERNS)]))
+
+
+def each_residue(rows: DataFrame, at) -> DataFrame:
+    """seq_id, pos and the fields that ``at`` makes from a function that gives a residue's value in a layer."""
+    row = lambda i: F.struct(i.cast("long").alias("pos"), *at(lambda k: F.col(f"l_{k}")[i - 1], i))
+    return rows.select("seq_id", F.inline(F.transform(upto(F.col("n")), row)))
 
 
 def consensus(seqs: DataFrame) -> DataFrame:
     """seq_id, pos, score: 0.3 of each glycosylation score and 0.4 of every receptor motif that covers the residue."""
-    sites = n_glycosylation(seqs).select("seq_id", "pos", (0.3 * F.col("score")).alias("value")).unionByName(o_glycosylation(seqs).select("seq_id", "pos", (0.3 * F.col("score")).alias("value")))
-    parts = sites.unionByName(spots(receptor_motifs(seqs), 0.4 * F.col("score"))).unionByName(residues(seqs).select("seq_id", "pos", F.lit(0.0).alias("value")))
-    return parts.groupBy("seq_id", "pos").agg(F.sum("value").alias("score"))
+    return each_residue(layers(seqs), lambda v, i: [(0.3 * v("n") + 0.3 * v("o") + 0.4 * sum((v(k) for k in PATTERNS), F.lit(0.0))).alias("score")])
 
 
 def dense(seqs: DataFrame) -> DataFrame:
     """seq_id, pos, n_glyco, o_glyco, receptor, signal for every residue: a site's score, the greatest score of the motifs that
     cover it, the confidence within a signal peptide; else 0."""
-    signal = signal_rules(seqs).where("is_signal").join(seqs.select("seq_id", "n"), "seq_id").select("seq_id", F.lit(1).cast("long").alias("start"), F.least("cleavage_position", "n").alias("end"), "confidence")
-    kinds = {"n_glyco": n_glycosylation(seqs).select("seq_id", "pos", F.col("score").alias("value")), "o_glyco": o_glycosylation(seqs).select("seq_id", "pos", F.col("score").alias("value")), "receptor": spots(receptor_motifs(seqs), F.col("score")), "signal": spots(signal, F.col("confidence"))}
-    out = residues(seqs).select("seq_id", "pos", F.lit("").alias("kind"), F.lit(0.0).alias("value"))
-    for kind, rows in kinds.items():
-        out = out.unionByName(rows.select("seq_id", "pos", F.lit(kind).alias("kind"), "value"))
-    return out.groupBy("seq_id", "pos").agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("value"))), F.lit(0.0)).alias(k) for k in kinds])
+    signal = signal_rules(seqs.where("n > 0").select("seq_id", "n", "seq", F.struct("seq", "n").alias("whole_")), ["whole_"])
+    rows = layers(signal.select("seq_id", "whole_.seq", "whole_.n", F.when(F.col("is_signal"), F.col("cleavage_position")).alias("upto_"), "confidence"), ["upto_", "confidence"])
+    inside = lambda i: F.when(F.coalesce(i <= F.col("upto_"), F.lit(False)), F.col("confidence")).otherwise(0.0)
+    return each_residue(rows, lambda v, i: [v("n").alias("n_glyco"), v("o").alias("o_glyco"), F.greatest(*[v(k) for k in PATTERNS]).alias("receptor"), inside(i).alias("signal")])
 
 
 def heads(seqs: DataFrame, size: int = 70) -> DataFrame:

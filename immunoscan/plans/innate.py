@@ -108,7 +108,7 @@ def _scored(name: str, pattern: str, score: str, more: str = "") -> str:
     return f"SELECT *, {score} AS score{more} FROM ({motif(name, pattern)})"
 
 
-RECEPTOR = "receptor AS (" + " UNION ALL ".join(_scored(n, p, str(M.SCORES[n]) + "::DOUBLE" if n in M.SCORES else "round(5e-1 + 1e-1 * least(length(motif) - 3, 3), 6)", f", '{M.NOTES[n]}' AS annotation") for n, p in M.PATTERNS.items()) + ")"
+RECEPTOR = "receptor AS (" + " UNION ALL ".join(_scored(n, p, str(M.SCORES[n]) + "::DOUBLE" if n in M.SCORES else "round(5e-1 + 1e-1 * least(length(motif) - 3, 3), 6)") for n, p in M.PATTERNS.items()) + ")"
 _stim = {"rgd": "CASE WHEN length(motif) > 3 THEN 8e-1 ELSE 7e-1 END", "basic_patch": "round(least(9e-1, 5e-1 + 1e-1 * length(motif)), 6)"}
 STIMULATING = "stimulating AS (" + " UNION ALL ".join(_scored(n, p, _stim.get(n, f"{M.STIMULATING_SCORES.get(n)}::DOUBLE")) + (""" o WHERE NOT EXISTS (SELECT 1 FROM rgds g WHERE g.seq_id = o.seq_id AND g."start" = o."start")""" if n == "rgd_variant" else "") for n, p in M.STIMULATING.items()) + ")"
 RGDS = f"rgds AS ({motif('rgd', M.STIMULATING['rgd'])})"

@@ -16,12 +16,11 @@ CPG = "[GAT]TCGTT|G[AT]CGTT|GTCG[AT]T"  # fixed value: optimal hexamers
 
 
 def e5_cpg_motifs(spark: SparkSession, d: str) -> DataFrame:
-    """Optimal hexamers, and CG outside them: positions that hexamers cover are an equality anti-join."""
-    seqs = X.nucleic(spark, d)
-    best = M.find(seqs, "cpg_optimal", CPG)
-    covered = best.select("seq_id", F.explode(F.sequence("start", "end")).alias("start")).distinct()
-    plain = M.find(seqs, "cpg_basic", "CG").join(covered, ["seq_id", "start"], "left_anti")
-    return best.unionByName(plain).select("seq_id", "name", "start", "end", "motif", F.when(F.col("name") == "cpg_optimal", 0.9).otherwise(0.4).alias("score"))
+    """Optimal hexamers, and CG that doesn't start inside them."""
+    out = M.with_hits(X.nucleic(spark, d).where("seq <> ''"), {"best": CPG, "plain": "CG"})
+    best = F.transform("h_best", lambda h: F.struct(F.lit("cpg_optimal").alias("name"), h["start"].alias("start"), h["end"].alias("end"), h["motif"].alias("motif"), F.lit(0.9).alias("score")))
+    plain = F.transform(M.suppressed(F.col("h_plain"), F.col("h_best")), lambda s: F.struct(F.lit("cpg_basic").alias("name"), s.alias("start"), (s + 1).alias("end"), F.lit("CG").alias("motif"), F.lit(0.4).alias("score")))
+    return out.select("seq_id", F.inline(F.concat(best, plain)))
 
 
 def f5_local_density(spark: SparkSession, d: str) -> DataFrame:
