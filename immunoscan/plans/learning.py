@@ -17,8 +17,9 @@ from ..operators import peptides as P
 from ..operators import structure as S
 from ..operators import tcell as T
 from ..operators import tracks as TR
+from ..sources import files
 from ..sources import fixtures as X
-from ..streaming.arriving import score_arriving
+from ..streaming.arriving import score_arriving, score_fasta
 from .innate import CUTS, HEADS, _axa
 from .oracle import AFFINITY, CLEAN, CONTACTS, G, PROTRUSION, R, sql
 from .tcell import SCORED
@@ -183,9 +184,17 @@ def s1_arriving_sequences(spark: SparkSession, d: str) -> DataFrame:
     return score_arriving(spark, f"{d}/documents.parquet*", "doc_id long, text string", job)
 
 
+def s1_arriving_fasta(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences written as FASTA files, which then arrive three at a time."""
+    def job(batch: DataFrame) -> DataFrame:
+        return TR.regions(batch.withColumnRenamed("name", "seq_id"), ["kolaskar-tongaonkar"]).select(F.col("seq_id").alias("name"), "start", "end", "peptide", "score")
+
+    return score_fasta(spark, files.write_fasta(X.sequences(spark, d)), job, 3)[0]
+
+
 #: queries that SQL can't express: fits and what follows from them
 FITTED = {f.__name__: f for f in (g11_allele_models, g13_batch_scores, g14_residue_classifier, g16_signal_models, g18_left_out, g18_weights, g19_left_out_ranks)}
-QUERIES = {f.__name__: f for f in (g5_padded_encoding, g6_anchored_encoding, g7_core_encoding, g8_residue_context, g9_signal_features, g10_split, g12_regression_metrics, g19_signed_ranks, s1_arriving_sequences)}
+QUERIES = {f.__name__: f for f in (g5_padded_encoding, g6_anchored_encoding, g7_core_encoding, g8_residue_context, g9_signal_features, g10_split, g12_regression_metrics, g19_signed_ranks, s1_arriving_sequences, s1_arriving_fasta)}
 
 _code = lambda p: f"instr('{D.AA}', substr(peptide, {p}, 1)) * CAST(length(peptide) >= {p} AS INT)"
 _in = lambda c, kinds: f"CAST(coalesce({c} IN ({', '.join(repr(k) for k in kinds)}), false) AS INT)"
@@ -235,5 +244,6 @@ ORACLES = {
 aucs AS (SELECT method, structure_id, round(CASE WHEN pos > 0 AND neg > 0 THEN (rs - pos * (pos + 1) / 2e0) / (pos * neg) END, 6) AS auc FROM (SELECT method, structure_id, sum(CASE WHEN t THEN r END) AS rs, count(*) FILTER (t) AS pos, count(*) FILTER (NOT t) AS neg FROM (SELECT *, rank() OVER (PARTITION BY method, structure_id ORDER BY v) + (count(*) OVER (PARTITION BY method, structure_id, v) - 1) / 2e0 AS r FROM vals) GROUP BY method, structure_id))""",
         "diffs AS (SELECT a.method, a.auc AS a, b.auc AS b, round(a.auc - b.auc, 9) AS d FROM aucs a JOIN aucs b ON b.method = 'sasa' AND b.structure_id = a.structure_id AND b.auc IS NOT NULL WHERE a.method <> 'sasa' AND a.auc IS NOT NULL)",
     ),
+    "s1_arriving_fasta": sql("""SELECT 'doc_' || seq_id AS name, "start", "end", peptide, score FROM regions WHERE method = 'kolaskar-tongaonkar'""", *G),
     "s1_arriving_sequences": sql("""SELECT seq_id, "start", "end", peptide, score FROM regions WHERE method = 'kolaskar-tongaonkar'""", *G),
 }

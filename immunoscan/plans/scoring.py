@@ -17,7 +17,8 @@ FEATURES = {"sasa": 1, "protrusion": 1, "contacts": -1}
 
 
 def a8_epitope_rows(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.epitope_rows(T.regions(X.sequences(spark, d)))
+    """The epitopes written as tab-separated files and read again."""
+    return sinks.read_epitopes(spark, sinks.write_epitopes(T.regions(X.sequences(spark, d))))
 
 
 def f1_residue_rollup(spark: SparkSession, d: str) -> DataFrame:

@@ -27,12 +27,22 @@ def write_fasta(seqs: DataFrame, width: int = 60) -> str:
     return path
 
 
+FASTA_BREAK = "\n>"  # a record starts at a mark at the start of a line; a mark within a line is text
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq, reason: one record a row, split at ``>``. The name is the header's first word; blanks and empty lines go. A
-    file without a header is one record, Sequence_1. A header without a name, or nothing under one, gets a reason."""
-    raw = spark.read.option("lineSep", ">").text(path).select(F.regexp_replace("value", "\r", "").alias("value"), F.input_file_name().alias("file"))
-    files = raw.groupBy("file").agg((F.count("*") == 1).alias("bare"))
-    rows = raw.where(F.trim(F.regexp_replace("value", "\n", "")) != "").join(files, "file")
+    """name, seq, reason of ``records`` of all files."""
+    return records(spark.read.option("lineSep", FASTA_BREAK).text(path).select("value", F.col("_metadata.file_path").alias("file")))
+
+
+def records(raw: DataFrame) -> DataFrame:
+    """name, seq, reason: one record a row of ``raw`` (value, file), which holds whole files split at FASTA_BREAK. The name is the header's first
+    word; blanks and empty lines go. A file without a header is one record, Sequence_1. A header without a name, or nothing
+    under one, gets a reason."""
+    raw = raw.select(F.regexp_replace("value", "\r", "").alias("value"), "file")
+    marked = F.startswith("value", F.lit(">"))
+    files = raw.groupBy("file").agg(((F.count("*") == 1) & ~F.bool_or(marked)).alias("bare"))
+    rows = raw.where(F.trim(F.regexp_replace("value", "\n", "")) != "").join(files, "file").withColumn("value", F.when(marked, F.substr("value", F.lit(2))).otherwise(F.col("value")))
     head = F.substring_index("value", "\n", 1)
     text = F.when(F.col("bare"), F.col("value")).otherwise(F.substr("value", F.length(head) + 1))
     name = F.when(F.col("bare"), "Sequence_1").otherwise(F.regexp_extract(head, r"^\s*(\S*)", 1))
