@@ -67,3 +67,26 @@ def test_windows_of_any_order_and_rows_of_one_id(spark):
     docs += [(106, prose(3000) + items[7][:44] + ["x"] + items[7][44:] + prose(3000))]
     want = check(spark, items, docs)
     assert {(k, k) for k in range(20)} <= want.keys() and {(100, 1), (100, 2), (100, 3), (101, 4)} <= want.keys()
+
+
+def test_candidates_come_from_the_fingerprints(spark, monkeypatch):
+    items = [prose(60) for _ in range(5)]
+    df = spark.createDataFrame([(k, " ".join(prose(9) + item + prose(9))) for k, item in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    assert decontamination.contaminated(df, bench).count() == 5
+    near = decontamination._near_values
+    monkeypatch.setattr(decontamination, "_near_values", lambda *a: near(*a).where("false"))
+    assert decontamination.contaminated(df, bench).isEmpty()
+
+
+def test_every_fingerprint_within_the_radius_meets(spark):
+    base = rng.getrandbits(63)
+    rows = []
+    for d in range(0, 24):
+        fp = base
+        for bit in rng.sample(range(64), d):
+            fp ^= 1 << bit
+        rows.append((d, fp - (1 << 64) if fp >> 63 else fp))
+    near = spark.createDataFrame(rows, "d int, fp long").select("d", decontamination._in_blocks("fp", 6).alias("b")).select("d", "b.block", "b.value")
+    item = decontamination._near_values(spark.createDataFrame([(base,)], "fp long"), "fp", 6, 3)
+    assert {r["d"] for r in near.join(item, ["block", "value"]).select("d").distinct().collect()} == set(range(24))
