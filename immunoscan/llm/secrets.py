@@ -1,7 +1,8 @@
 """Operator 10: secret scan with corpus-wide ownership frequency.
 
-Three patterns give base spans. A wider pattern gives candidates: runs of 20 and more token characters with
-letters and digits. Values are hashed and counted by distinct repository and owner over all documents, in
+Three patterns give base spans. Wider patterns give candidates that these miss: runs of 16 and more token characters with
+letters and digits, values behind other key words (pwd, auth, bearer, credential, private key ...), and passwords within
+URLs. Values are hashed and counted by distinct repository and owner over all documents, in
 two map-side aggregations: a value that few owners hold and that looks live (mixed characters) is theirs,
 one that many hold is an example. Candidates that are owner-specific and overlap no base span are added.
 The repository is the column source. No column names an owner, so the text itself stands for it: exact copies of
@@ -29,29 +30,42 @@ KINDS = [
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
-OWNED = ("owned", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
+#: the same of the candidates; a value needs letters and digits
+WIDE = [
+    ("owned", r"[A-Za-z0-9+/_=-]{16,}", 0, 16),
+    ("keyed", r"""((?i:pwd|passphrase|auth|authorization|bearer|credentials?|private_?key|access_?key))["']?(?:\x20*[:=]\x20*|\x20+)["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("login", r"""(://[^/\x20\x09-\x0D:@]+):([^/\x20\x09-\x0D:@]+)@""", 2, 6),
+]
 OWNERS = 2  # owners and repositories a live credential has at most
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,value:long>>"
 
 
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
+    """Spans are gathered in blocks of as many matches as the root of their number: a list of k is copied some sqrt(k) times, not k times."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
-    # (gap, match, value) in a row; positions add up from the left
-    step = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    none = F.expr(f"cast(array() as {SPAN})")
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
 
     def add(acc, x):
+        # (gap, match, value) in a row; positions add up from the left
         start = acc["at"] + F.length(x["gap"])
         stop = start + F.length(x["found"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), F.xxhash64(x["value"]).alias("value"))
         take = F.length(x["value"]) >= least
-        if kind == OWNED[0]:
+        if rank >= len(KINDS):
             take = take & x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
-        return F.struct(stop.alias("at"), F.when(take, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return state(stop, F.when(take, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]))
+
+    def all_of(rows):
+        size = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(rows))).cast("int"))
+        block = lambda acc, first: F.aggregate(F.slice(rows, first, size), state(acc["at"], none), add, lambda r: state(r["at"], F.concat(acc["out"], r["out"])))
+        return F.aggregate(F.sequence(F.lit(1), F.size(rows), size), state(F.lit(0), none), block)["out"]
 
     rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("found"), value.alias("value"))
-    return F.when(text.rlike(pattern), F.aggregate(rows, step, add)["out"]).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    # the array of one makes the rows a variable, which is worked out once
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(rows), all_of), 0)).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -68,7 +82,7 @@ def scan(docs: DataFrame, repo: str = "source", owner: str | None = None) -> Dat
         F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("repo"),
         (F.xxhash64("text").cast("string") if owner is None else F.coalesce(F.col(owner).cast("string"), F.lit(""))).alias("owner"),
         F.concat(*[_spans(text, kind, k, rx, group, least) for k, (kind, rx, group, least) in enumerate(KINDS)]).alias("base"),
-        _spans(text, OWNED[0], len(KINDS), *OWNED[1:]).alias("wide"),
+        F.concat(*[_spans(text, kind, len(KINDS) + k, rx, group, least) for k, (kind, rx, group, least) in enumerate(WIDE)]).alias("wide"),
     )
     found = materialize(found, "spans")
     some = found.where("size(base) > 0 or size(wide) > 0")
