@@ -46,7 +46,9 @@ def sample(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
     room = F.greatest(F.length("text") - WINDOW, F.lit(1))
     at = [1 + F.pmod(F.xxhash64("text", F.lit(k)), room) for k in range(PIECES)]
     cut = [F.substring(F.col("text"), a.cast("int"), F.lit(WINDOW)) for a in at]
-    found = part.select("lang", F.array_distinct(F.array(*cut)).alias("cuts")).limit(rows).collect()
+    # the first by hash, each text once a language: the same rows whatever the files and partitions are
+    drawn = part.select("lang", F.array_distinct(F.array(*cut)).alias("cuts"), F.xxhash64("text", F.lit(7)).alias("h")).dropDuplicates(["h", "lang"])
+    found = drawn.orderBy("h", "lang").limit(rows).collect()
     return [(r["lang"], cut) for r in found for cut in r["cuts"] if cut]
 
 
