@@ -115,7 +115,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, order: int = O
     small = model.count() <= BROADCAST_ROWS
     asked = urls.where(F.col("ruled").isNull() | _held())
     hits = _grams(asked, order, "t", "ruled", "n").join(F.broadcast(model) if small else model, "gram")
-    score = (F.sum("delta") / F.length("t")).alias("score")
+    score = F.round(F.sum("delta") / F.length("t"), 6).alias("score")  # sums of doubles differ in their last digits by their order
     scored = materialize(hits.groupBy("t", "ruled", "n").agg(score), "scores")
     cut, wrong_allow, wrong_block = calibrated(scored.where("ruled is not null"))
     out = base.join(scored.where("ruled is null").select("t", "score"), "t", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
