@@ -23,6 +23,11 @@ SCALES = {
 PROPENSITY = [-0.02, -0.41, 0.25, 0.21, -0.44, -0.07, 0.10, -0.50, 0.13, -0.55, -0.34, 0.15, 0.02, 0.07, 0.09, 0.10, 0.04, -0.45, -0.20, 0.04]
 # Hydropathy in tenths, in the order of AA.
 HYDROPATHY = [18, 25, -35, -35, 28, -4, -32, 45, -39, 38, 19, -35, -16, -35, -45, -8, -7, 42, -9, -13]
+# Helix and sheet propensities, charge at pH 7 and residue volume, in the order of AA.
+HELIX = [1.42, 0.70, 1.01, 1.51, 1.13, 0.57, 1.00, 1.08, 1.16, 1.21, 1.45, 0.67, 0.57, 1.11, 0.98, 0.77, 0.83, 1.06, 1.08, 0.69]
+SHEET = [0.83, 1.19, 0.54, 0.37, 1.38, 0.75, 0.87, 1.60, 0.74, 1.30, 1.05, 0.89, 0.55, 1.10, 0.93, 0.75, 1.19, 1.70, 1.37, 1.47]
+CHARGE = [0.0, 0.0, -1.0, -1.0, 0.0, 0.0, 0.1, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+RESIDUE_VOLUME = [88.6, 108.5, 111.1, 138.4, 189.9, 60.1, 153.2, 166.7, 168.6, 166.7, 162.9, 114.1, 112.7, 143.8, 173.4, 89.0, 116.1, 140.0, 227.8, 193.6]
 # Volume and polarity, scaled to 0..1, in the order of AA.
 VOLUME = [0.167, 0.287, 0.313, 0.380, 0.593, 0.000, 0.433, 0.453, 0.487, 0.453, 0.467, 0.320, 0.287, 0.387, 0.547, 0.207, 0.280, 0.380, 0.733, 0.600]
 POLARITY = [0.000, 0.128, 1.000, 0.932, 0.068, 0.000, 0.449, 0.000, 0.694, 0.000, 0.068, 0.593, 0.221, 0.559, 0.763, 0.322, 0.322, 0.000, 0.186, 0.373]

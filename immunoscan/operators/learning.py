@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from ..functions import dims as D
 from .assays import auc
 from .grove import spec_of
-from .innate import axa_points, cut_points, cut_sites, heads
+from .innate import axa_points, best_stretch, cut_points, cut_sites, heads
 from .ranks import tied
-from .tracks import letters, upto
+from .tracks import held, letters, upto, valued
 
 AA = D.AA
 # Fixed values of the five properties of a letter: scaled hydropathy, volume, polarity, aromatic or not, charge (0.5 is neutral).
@@ -115,10 +115,23 @@ def encode_core(core: Column) -> Column:
 CONTEXT = ["hydropathy", *D.SCALES, "volume"]
 
 
+#: nine scales of a residue and its context
+CONTEXT = {
+    "hydropathy": [v / 10 for v in D.HYDROPATHY], "accessibility": D.SCALES["emini"], "flexibility": D.SCALES["karplus-schulz"], "turn": D.SCALES["chou-fasman"], "antigenicity": D.SCALES["kolaskar-tongaonkar"],
+    "helix": D.HELIX, "sheet": D.SHEET, "charge": D.CHARGE, "volume": D.RESIDUE_VOLUME,
+}
+
+
+def context_names() -> list[str]:
+    """Names of the numbers of ``residue_context``, in order."""
+    own = [*CONTEXT, *(f"is_{a}" for a in AA)]
+    return [*own, *(f"left_{n}" for n in own), *(f"right_{n}" for n in own), "relative", "distance"]
+
+
 def residue_context(seqs: DataFrame, reach: int = 4) -> DataFrame:
     """seq_id, pos, centre, left, right (arrays: CONTEXT properties, standardised, then one-hot), relative, distance: of each
     residue, and means over up to ``reach`` residues on either side, zeros where there are none."""
-    tables = [_standard([v / 10 for v in D.HYDROPATHY]), *[_standard(D.SCALES[s]) for s in D.SCALES], _standard(D.VOLUME)]
+    tables = [_standard(values) for values in CONTEXT.values()]
     rows = _rows([[t[i] for t in tables] + ONE_HOT[i] for i in range(20)], [0.0] * (len(tables) + 20))
     width = len(tables) + 20
     zero = F.array_repeat(F.lit(0.0), width)
@@ -139,18 +152,31 @@ def residue_context(seqs: DataFrame, reach: int = 4) -> DataFrame:
 
 
 def signal_features(seqs: DataFrame) -> DataFrame:
-    """seq_id and numbers of the first 70 letters: charge and share of basic letters in the first five, hydropathy of letters 6 to
-    20, small letters and the best A-x-A triple in 16 to 30, shares of nine letters in the first 40, the best cut."""
-    out = cut_sites(seqs.where("n >= 15"))
+    """seq_id and the named numbers of the first 70 letters: charge in letters 1 to 5, hydropathy of 6 to 20, small letters and
+    the best A-x-A triple of 16 to 30, hydropathy in ten and charge in five parts of the first 50, shares of nine letters in the first 40, charged
+    letters of the first ten, the best hydrophobic stretch, the cuts' scores, the length. Sequences under 15 letters have none."""
+    out = held(cut_sites(seqs.where("n >= 15")).withColumns({"charges": valued("code", [round(10 * v) for v in D.CHARGE], 0), "b_": best_stretch(F.lit(40))}))
     part = lambda a, b: F.slice("aa", a, b - a + 1)
     count = lambda arr, kinds: F.size(F.filter(arr, lambda c: c.isin(*kinds))).cast("double")
-    core = F.slice("hydro", 6, 15)
+    total = lambda arr: F.aggregate(arr, F.lit(0), lambda a, x: a + x)
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    core, tail = F.slice("hydro", 6, 15), F.slice("hydro", 16, 15)
+    n_core, n_tail = F.size(core), F.size(tail)
+    squares = total(F.transform(core, lambda x: x * x))
+    core_mean, tail_mean = share(total(core).cast("double"), 10 * n_core), share(total(tail).cast("double"), 10 * n_tail)
     triples = upto(F.least(F.lit(30), F.col("n")) - 2, 16)
     best = F.array_max(F.transform(triples, lambda i: axa_points(F.get("aa", i - 1), F.get("aa", i + 1))))
+    profile = F.least(F.col("n"), F.lit(50)).cast("int")
+    ten, five = F.floor(profile / 10).cast("int"), F.floor(profile / 5).cast("int")
+    cuts = F.transform(upto(F.least(F.lit(35), F.col("n") - 1), 15), cut_points)
     named = {
-        "basic": count(part(1, 5), "KR") / 5, "charge": count(part(1, 5), "KR") + 0.1 * count(part(1, 5), "H") - count(part(1, 5), "DE"), "core": F.aggregate(core, F.lit(0), lambda a, x: a + x) / (10 * F.nullif(F.size(core), F.lit(0))), "core_top": F.array_max(core) / 10,
-        "small": count(part(16, 30), "AGSCT") / F.greatest(F.lit(1), F.size(part(16, 30))), "axa": F.coalesce(best, F.lit(0)) / 27.0, **{f"share_{a}": count(part(1, 40), a) / F.least(F.col("n"), F.lit(40)) for a in "LAVIFKRGS"},
-        "cut": F.col("cut").cast("double"), "cut_score": F.coalesce("cut_score", F.lit(0.0)),
+        "basic": count(part(1, 5), "KR") / 5, "charge": count(part(1, 5), "KR") + 0.1 * count(part(1, 5), "H") - count(part(1, 5), "DE"), "starts_met": (F.get("aa", F.lit(0)) == "M").cast("double"),
+        "core": core_mean, "core_top": F.array_max(core) / 10, "core_share": count(part(6, 20), "LIVFAMW") / n_core, "core_sd": F.sqrt(F.greatest(F.lit(0), n_core * squares - total(core) * total(core)).cast("double")) / (10 * n_core), "core_size": n_core / 15,
+        "small": share(count(part(16, 30), "AGSCT"), n_tail), "tail": tail_mean, "falls": F.when(n_tail > 0, core_mean - tail_mean).otherwise(0.0), "axa": F.coalesce(best, F.lit(0)) / 27.0,
+        **{f"hydro_{i}": total(F.slice("hydro", i * ten + 1, ten)).cast("double") / (10 * ten) for i in range(10)}, **{f"charge_{i}": total(F.slice("charges", i * five + 1, five)).cast("double") / 10 for i in range(5)},
+        **{f"share_{a}": count(part(1, 40), a) / F.least(F.col("n"), F.lit(40)) for a in "LAVIFKRGS"}, "basic_ten": count(part(1, 10), "KR") / 10, "acidic_ten": count(part(1, 10), "DE") / 10,
+        "stretch_at": F.coalesce(-F.col("b_.s") - 1, F.lit(0)) / 40.0, "stretch_size": F.coalesce(-F.col("b_.w"), F.lit(0)) / 20.0, "stretch_mean": F.coalesce(F.col("b_.c").cast("double") / (-10 * F.col("b_.w")), F.lit(0.0)),
+        "cut": F.col("cut").cast("double"), "cut_score": F.coalesce("cut_score", F.lit(0.0)), "cut_mean": share(total(cuts).cast("double"), 10 * F.size(cuts)), "size": F.col("n") / 70,
     }
     return out.select("seq_id", *[F.round(c.cast("double"), 6).alias(k) for k, c in named.items()])
 

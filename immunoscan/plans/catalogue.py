@@ -263,11 +263,6 @@ def with_truth(spark: SparkSession, d: str) -> DataFrame:
     return s.join(SD.spots(claimed(spark, d, s)).drop("n"), "seq_id")
 
 
-def truth_of(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
-    """seq_id, pos: the places of the reference peptides."""
-    return SD.spots(claimed(spark, d, s)).select("seq_id", F.explode("spots").cast("long").alias("pos"))
-
-
 @query
 def i5_distribution(spark: SparkSession, d: str) -> DataFrame:
     m = QUERIES["c4_coverage"](spark, d)

@@ -20,7 +20,7 @@ from ..operators import tracks as TR
 from ..sources import files
 from ..sources import fixtures as X
 from ..streaming.arriving import score_arriving, score_fasta
-from .innate import CUTS, HEADS, _axa
+from .innate import CUTS, HEADS, _axa, _stretch
 from .oracle import AFFINITY, CLEAN, CONTACTS, G, PROTRUSION, R, sql
 from .tcell import SCORED
 
@@ -104,20 +104,32 @@ def g13_batch_scores(spark: SparkSession, d: str) -> DataFrame:
     return P.model_rows(scored, ["seq_id", "allele"], "y", "start").select("seq_id", "allele", "start", "ic50", "score", "binding", "percentile")
 
 
+def _context_rows(spark: SparkSession, d: str) -> DataFrame:
+    """seq_id, pos, label, features: the context vectors of the sequences that hold reference peptides."""
+    from .catalogue import with_truth
+
+    kept = with_truth(spark, d)
+    truth = kept.select("seq_id", F.explode("spots").alias("pos")).select("seq_id", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("label"))
+    rows = L.residue_context(kept.drop("spots")).join(truth, ["seq_id", "pos"], "left").na.fill(0, ["label"])
+    return rows.select("seq_id", "pos", "label", F.concat("centre", "left", "right", F.array("relative", "distance")).alias("features"))
+
+
 def g14_residue_classifier(spark: SparkSession, d: str, trees: int = 10, depth: int = 5) -> DataFrame:
     """A forest on the context vectors of sequences with truth; runs of six residues or more at 0.5 in those it has not seen."""
-    from .catalogue import truth_of
-
-    s = X.sequences(spark, d)
-    truth = truth_of(spark, d, s)
-    kept = s.join(truth.select("seq_id").distinct(), "seq_id", "left_semi")
-    rows = L.residue_context(kept).join(truth.withColumn("label", F.lit(1)), ["seq_id", "pos"], "left").na.fill(0, ["label"])
-    rows = rows.select("seq_id", "pos", "label", F.concat("centre", "left", "right", F.array("relative", "distance")).alias("features"))
+    rows = PT.settled(_context_rows(spark, d))
     model = L.fit_classifier(rows.where(L.split_mark("seq_id")), "label", "forest", trees, depth)
     scored = L.apply_model(model, rows.where(~L.split_mark("seq_id"))).select("seq_id", "pos", "probability")
     return TR.islands(scored.where("probability >= 0.5"), ["seq_id"], 6, F.avg("probability").alias("score"))
 
 
+def g14_importances(spark: SparkSession, d: str, trees: int = 10, depth: int = 5) -> DataFrame:
+    """feature, importance, place: what the residue forest's splits gain by each number of the context vector, the greatest first."""
+    rows = PT.settled(_context_rows(spark, d))
+    _, forest = L.fit_classifier(rows.where(L.split_mark("seq_id")), "label", "forest", trees, depth)
+    gains = sorted(zip(L.context_names(), map(float, forest.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))  # 89 numbers
+    return spark.createDataFrame([(n, v, i + 1) for i, (n, v) in enumerate(gains)], "feature string, importance double, place int")
+
+
 def g16_signal_models(spark: SparkSession, d: str) -> DataFrame:
     """A forest on the signal features, taught by the rules' calls, and a boosted ranker of cuts, taught by the rules' places; the
     best cut by 0.6 of its context points and 2 of its probability."""
@@ -193,7 +205,7 @@ def s1_arriving_fasta(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: queries that SQL can't express: fits and what follows from them
-FITTED = {f.__name__: f for f in (g11_allele_models, g13_batch_scores, g14_residue_classifier, g16_signal_models, g18_left_out, g18_weights, g19_left_out_ranks)}
+FITTED = {f.__name__: f for f in (g11_allele_models, g13_batch_scores, g14_residue_classifier, g14_importances, g16_signal_models, g18_left_out, g18_weights, g19_left_out_ranks)}
 QUERIES = {f.__name__: f for f in (g5_padded_encoding, g6_anchored_encoding, g7_core_encoding, g8_residue_context, g9_signal_features, g10_split, g12_regression_metrics, g19_signed_ranks, s1_arriving_sequences, s1_arriving_fasta)}
 
 _code = lambda p: f"instr('{D.AA}', substr(peptide, {p}, 1)) * CAST(length(peptide) >= {p} AS INT)"
@@ -208,7 +220,18 @@ _props = [round(1000 * sum(row)) for row in L.PROPERTIES]
 _std = L._standard([v / 10 for v in D.HYDROPATHY])
 _hyd = f"([0, {', '.join(repr(v) + '::DOUBLE' for v in _std)}])[instr('{D.AA}', aa) + 1]"
 _count = lambda a, size, kinds: f"length(regexp_replace(substr(seq, {a}, {size}), '[^{kinds}]', '', 'g'))"
-_core = f"list_transform(range(6, least(n, 20) + 1), lambda q: {lookup_sql('substr(seq, q, 1)', D.HYDROPATHY, 0)})"
+_tenths = lambda a, b: f"list_transform(range({a}, {b}), lambda q: {lookup_sql('substr(seq, q, 1)', D.HYDROPATHY, 0)})"
+_charges = lambda a, b: f"list_sum(list_transform(range({a}, {b}), lambda q: {lookup_sql('substr(seq, q, 1)', [round(10 * v) for v in D.CHARGE], 0)}))"
+_core, _tail = _tenths("6", "least(n, 20) + 1"), _tenths("16", "least(n, 30) + 1")
+_ten, _five = "(least(n, 50) // 10)", "(least(n, 50) // 5)"
+_signal = {
+    "basic": f"{_count(1, 5, 'KR')} / 5e0", "charge": f"{_count(1, 5, 'KR')} + 1e-1 * {_count(1, 5, 'H')} - {_count(1, 5, 'DE')}", "starts_met": "starts_with(seq, 'M')::INT",
+    "core": f"list_avg({_core}) / 10e0", "core_top": f"list_max({_core}) / 10e0", "core_share": f"{_count(6, 15, 'LIVFAMW')} / len({_core})::DOUBLE", "core_sd": f"list_stddev_pop({_core}) / 10e0", "core_size": f"len({_core}) / 15e0",
+    "small": f"{_count(16, 15, 'AGSCT')} / CAST(greatest(1, length(substr(seq, 16, 15))) AS DOUBLE)", "tail": f"coalesce(list_avg({_tail}) / 10e0, 0)", "falls": f"coalesce(list_avg({_core}) / 10e0 - list_avg({_tail}) / 10e0, 0)", "axa": "coalesce(x, 0) / 27e0",
+    **{f"hydro_{i}": f"list_avg({_tenths(f'{i} * {_ten} + 1', f'{i + 1} * {_ten} + 1')}) / 10e0" for i in range(10)}, **{f"charge_{i}": f"{_charges(f'{i} * {_five} + 1', f'{i + 1} * {_five} + 1')} / 10e0" for i in range(5)},
+    **{f"share_{a}": f"{_count(1, 40, a)} / CAST(least(n, 40) AS DOUBLE)" for a in "LAVIFKRGS"}, "basic_ten": f"{_count(1, 10, 'KR')} / 10e0", "acidic_ten": f"{_count(1, 10, 'DE')} / 10e0",
+    "stretch_at": "coalesce(-b.s - 1, 0) / 40e0", "stretch_size": "coalesce(-b.w, 0) / 20e0", "stretch_mean": "coalesce(CAST(b.c AS DOUBLE) / (-10 * b.w), 0)", "cut": "cut", "cut_score": "coalesce(cut_score, 0)", "cut_mean": "coalesce(cut_mean / 10e0, 0)", "size": "n / 70e0",
+}
 
 ORACLES = {
     "g5_padded_encoding": sql(
@@ -219,8 +242,9 @@ ORACLES = {
     "g7_core_encoding": sql("SELECT rec_id, CAST(125 AS BIGINT) AS size, round((" + " + ".join(lookup_sql(f"substr(peptide, {p}, 1)", _props, 2000) for p in range(1, 10)) + ") / 1000e0, 6) AS properties, CAST(" + " + ".join(f"{20 * i} + {_code(p)}" for i, p in enumerate((1, 4, 6, 9))) + " AS DOUBLE) AS marks FROM assays WHERE length(peptide) >= 9", "sequences", "assays"),
     "g8_residue_context": sql(f"SELECT seq_id, pos, round({_hyd}, 6) AS centre, round(coalesce(avg({_hyd}) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0), 6) AS left, round(coalesce(avg({_hyd}) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), 0), 6) AS right, (pos - 1) / greatest(1e0, n - 1) AS relative, least(pos - 1, n - pos) / greatest(1e0, (n - 1) / 2e0) AS distance FROM residues WINDOW w AS (PARTITION BY seq_id ORDER BY pos)", *R),
     "g9_signal_features": sql(
-        f"SELECT h.seq_id, round({_count(1, 5, 'KR')} / 5e0, 6) AS basic, round({_count(1, 5, 'KR')} + 1e-1 * {_count(1, 5, 'H')} - {_count(1, 5, 'DE')}, 6) AS charge, round(list_sum({_core}) / (10e0 * len({_core})), 6) AS core, round(list_max({_core}) / 10e0, 6) AS core_top, round({_count(16, 15, 'AGSCT')} / CAST(greatest(1, length(substr(seq, 16, 15))) AS DOUBLE), 6) AS small, round(coalesce(c, 0) / 27e0, 6) AS axa, "
-        + ", ".join(f"round({_count(1, 40, a)} / CAST(least(n, 40) AS DOUBLE), 6) AS share_{a}" for a in "LAVIFKRGS") + f", CAST(cut AS DOUBLE) AS cut, round(coalesce(cut_score, 0), 6) AS cut_score FROM cuts h LEFT JOIN (SELECT seq_id, max({_axa}) AS c FROM (SELECT seq_id, seq, unnest(range(16, least(30, n) - 1)) AS i FROM heads) GROUP BY seq_id) m ON m.seq_id = h.seq_id WHERE n >= 15", "sequences", HEADS, CUTS
+        "SELECT h.seq_id, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in _signal.items())
+        + f" FROM cuts h LEFT JOIN (SELECT seq_id, max({_axa}) AS x FROM (SELECT seq_id, seq, unnest(range(16, least(30, n) - 1)) AS i FROM heads) GROUP BY seq_id) m ON m.seq_id = h.seq_id LEFT JOIN stretch t ON t.seq_id = h.seq_id LEFT JOIN (SELECT seq_id, avg(c) AS cut_mean FROM cut_points GROUP BY seq_id) p ON p.seq_id = h.seq_id WHERE n >= 15",
+        "sequences", HEADS, CUTS, _stretch("heads", "40"),
     ),
     "g10_split": sql("SELECT rec_id, CAST('0x' || substr(md5(CAST(rec_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 < 8 AS train FROM assays", "sequences", "assays"),
     "g12_regression_metrics": sql(
