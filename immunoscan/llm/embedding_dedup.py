@@ -8,7 +8,8 @@ neighbours, so that a pair meets once a block. A pair that qualifies in several
 first one only, hence the union of candidates needs no distinct. Candidates are verified in double
 precision on the given vectors.
 
-Equal vectors of a label form a class first; only one row of each is joined, with its weight. Cells of
+Equal vectors of a label form a class first; only one row of each is joined, with its weight and a number of its own, so a vec_id that
+stands in several classes links them with nothing. Cells of
 many rows are split into units of bounded size, chunk against chunk. Tasks return link counts and a star
 forest of the links, never all pairs.
 
@@ -149,7 +150,8 @@ def near_dedup(vectors: DataFrame, cosine: float = 0.93, blocks: int = 4) -> Dat
     spark = vectors.sparkSession
     sound = (F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))) & F.exists("embedding", lambda x: x != 0)
     good = vectors.where(sound & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
-    classes = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n")), "vectors")
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")  # numbers stay as they were written
     count = classes.count()
     grid = min(3, max(1, math.ceil(math.log(max(1, count) / 100_000, 5))))
     kind = classes.schema["embedding"].dataType.simpleString()
@@ -168,9 +170,11 @@ def near_dedup(vectors: DataFrame, cosine: float = 0.93, blocks: int = 4) -> Dat
     dealt = left.unionByName(right).repartition(partitions(spark), "unit").sortWithinPartitions("unit")
     found = materialize(dealt.mapInArrow(_verify(cosine, blocks), "kind int, a long, b long"), "links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("more"))
-    label = components(found.where("kind = 1").select("a", "b")).select(F.col("node").alias("cid"), F.col("label").alias("root"))
-    named = classes.join(links, "cid", "left").join(label, "cid", "left")
-    named = named.select("label", "embedding", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("root", "cid").alias("root"))
+    label = materialize(components(found.where("kind = 1").select("a", "b")).select(F.col("node").alias("cid"), F.col("label").alias("part")), "parts")
+    lowest = label.join(classes.select("cid", "least"), "cid").groupBy("part").agg(F.min("least").alias("root"))
+    roots = label.join(materialize(lowest, "lowest"), "part").select("cid", "root")
+    named = classes.join(links, "cid", "left").join(roots, "cid", "left")
+    named = named.select("label", "embedding", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("root", "least").alias("root"))
     out = vectors.select("vec_id", "embedding", F.when(sound & F.col("vec_id").isNotNull(), F.col("label").cast("long")).alias("label"))
     out = out.join(named, ["label", "embedding"], "left")
     return out.select("vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), (F.coalesce("root", "vec_id") == F.col("vec_id")).alias("kept"))
