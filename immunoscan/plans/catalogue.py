@@ -112,10 +112,12 @@ def b12_top_spans(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def b13_top_sites(spark: SparkSession, d: str) -> DataFrame:
-    s = X.sequences(spark, d)
-    g = M.n_glycosylation(s).where("score >= 0.5").join(s.select("seq_id", "n"), "seq_id")
-    g = g.withColumn("rank", F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("score"), F.desc("pos"))).cast("long")).where("rank <= 5")
-    return g.select("seq_id", "rank", "pos", F.greatest(F.lit(1).cast("long"), F.col("pos") - 1).alias("lo"), F.least("n", F.col("pos") + 1).alias("hi"))
+    """The five best sites of each sequence, of equal ones the later, with a letter on either side."""
+    best = F.filter(M.n_sites(), lambda x: x["score"] >= 0.5)
+    order = F.sort_array(F.transform(best, lambda x: F.struct((-x["score"]).alias("s"), (-x["pos"]).alias("p"))))
+    top = T.held(T.held(T.letters(X.sequences(spark, d))).select("seq_id", "n", F.slice(order, 1, 5).alias("top_")))
+    each = top.select("seq_id", "n", F.posexplode("top_").alias("i", "x")).select("seq_id", "n", (F.col("i") + 1).cast("long").alias("rank"), (-F.col("x.p")).alias("pos"))
+    return each.select("seq_id", "rank", "pos", F.greatest(F.lit(1).cast("long"), F.col("pos") - 1).alias("lo"), F.least("n", F.col("pos") + 1).alias("hi"))
 
 
 @query

@@ -56,7 +56,8 @@ def assays(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     size = table(spark, sf_dir, "documents").agg(F.count("*").alias("nd"))  # one row
     keyed = events.join(F.broadcast(size)).withColumn("seq_id", F.expr("event_id % nd"))
-    both = keyed.join(sequences(spark, sf_dir), "seq_id")
+    heads = sequences(spark, sf_dir).select("seq_id", "organism", F.substring("seq", 1, 60).alias("seq"))  # peptides end at letter 55 at most
+    both = keyed.join(heads, "seq_id")
     return both.selectExpr(
         "event_id as rec_id",
         "substr(seq, cast(1 + event_id % 40 as int), cast(8 + event_id % 9 as int)) as peptide",
