@@ -24,6 +24,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .settle import settled
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 NODES = "group string, tree int, node long, column int, mask long, value double, n double"
@@ -62,6 +64,10 @@ def draws(ids: np.ndarray, trees: int) -> np.ndarray:
     return np.searchsorted(steps, u, side="right")
 
 
+def once(ids: np.ndarray, trees: int) -> np.ndarray:
+    return np.ones((len(ids), trees), np.int64)
+
+
 def sums(codes: np.ndarray, y: np.ndarray, w: np.ndarray, spec: Spec) -> np.ndarray:
     """Rows and sums of y by column and code."""
     flat = (codes + np.arange(spec.columns) * spec.codes).ravel()
@@ -79,7 +85,8 @@ def best(cells: np.ndarray, leaf: int, spec: Spec) -> tuple[int, int, float, flo
     ok = spec.cuts & (left >= leaf) & (right >= leaf)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(ok, low**2 / left + (mass - low) ** 2 / right - mass**2 / total, 0.0)
-    at = int(gain.argmax())
+    top = gain.max()
+    at = int((gain >= top - 1e-9 * max(1.0, top)).argmax())  # the first of those that differ by rounding only, in whatever order sums were added
     f, j = divmod(at, gain.shape[1])
     if gain[f, j] <= 1e-9 * max(1.0, abs(mass)):
         return -1, 0, total, 0.0
@@ -120,8 +127,10 @@ def _arrays(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return group, codes, batch.column("y").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False)
 
 
-def fit(rows: DataFrame, spec: Spec, trees: int = 100, depth: int = 20, leaf: int = 3, local: int = 20_000) -> DataFrame:
-    """The forest of each group, as NODES. ``rows``: group, id (long), codes (binary, a byte a column), y; none of them null."""
+def fit(rows: DataFrame, spec: Spec, trees: int = 100, depth: int = 20, leaf: int = 3, local: int = 20_000, sample: bool = True) -> DataFrame:
+    """The forest of each group, as NODES. ``rows``: group, id (long), codes (binary, a byte a column), y; none of them null. Without
+    ``sample`` each row counts once in each tree."""
+    drawn = draws if sample else once
     spark = rows.sparkSession
     rows = rows.select("group", "id", "codes", F.col("y").cast("double").alias("y"))
     sizes = rows.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > local).collect()  # groups that need passes
@@ -129,7 +138,7 @@ def fit(rows: DataFrame, spec: Spec, trees: int = 100, depth: int = 20, leaf: in
     front = {(r["group"], t, 1) for r in sizes for t in range(trees)} if depth > 0 else set()
     done: list[tuple] = []
     while front:
-        found = _level(rows, spec, trees, leaf, known, front)
+        found = _level(rows, spec, trees, leaf, known, front, drawn)
         front = set()
         for group, tree, node, column, mask, value, left, right in found:
             done.append((group, tree, node, column, mask, value, left + right))
@@ -145,7 +154,7 @@ def fit(rows: DataFrame, spec: Spec, trees: int = 100, depth: int = 20, leaf: in
             group, codes, y, ids = _arrays(batch)
             for g in set(group.tolist()):
                 own = np.flatnonzero(group == g)
-                w = draws(ids[own], trees)
+                w = drawn(ids[own], trees)
                 now = _down(codes[own], trees, known.get(g, {}))
                 r, t = np.nonzero(w)
                 node = now[r, t]
@@ -166,7 +175,7 @@ def fit(rows: DataFrame, spec: Spec, trees: int = 100, depth: int = 20, leaf: in
     return small.unionByName(spark.createDataFrame(done, NODES)) if done else small
 
 
-def _level(rows: DataFrame, spec: Spec, trees: int, leaf: int, known: dict, front: set) -> list[tuple]:
+def _level(rows: DataFrame, spec: Spec, trees: int, leaf: int, known: dict, front: set, drawn) -> list[tuple]:
     """One pass: group, tree, node, column, mask, value, rows left, rows right of each node of the front."""
     nodes: dict = {}
     for g, t, n in front:
@@ -180,7 +189,7 @@ def _level(rows: DataFrame, spec: Spec, trees: int, leaf: int, known: dict, fron
             group, codes, y, ids = _arrays(batch)
             for g in set(group.tolist()) & set(nodes):
                 own = np.flatnonzero(group == g)
-                w, now = draws(ids[own], trees), _down(codes[own], trees, known[g])
+                w, now = drawn(ids[own], trees), _down(codes[own], trees, known[g])
                 for t, n in nodes[g]:
                     use = (now[:, t] == n) & (w[:, t] > 0)
                     if use.any():
@@ -202,6 +211,45 @@ def _level(rows: DataFrame, spec: Spec, trees: int, leaf: int, known: dict, fron
     return [tuple(r) for r in whole.applyInPandas(split, "group string, tree int, node long, column int, mask long, value double, n_left double, n_right double").collect()]  # a row a large node
 
 
+def boost(rows: DataFrame, spec: Spec, rounds: int = 100, depth: int = 8, leaf: int = 1, rate: float = 0.1, local: int = 20_000) -> DataFrame:
+    """Boosted trees of each group, as NODES for ``predict``: tree 0 is the mean, each further one fits what those before leave over. Groups of up to
+    ``local`` rows are boosted in a task each; for larger ones every round is a ``fit`` of one tree and a table of what is left over."""
+    rows = rows.select("group", "id", "codes", F.col("y").cast("double").alias("y"))
+    large = [r["group"] for r in rows.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > local).collect()]
+    times = rounds + 1  # predictions are means over the trees
+
+    def whole(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        codes = np.frombuffer(b"".join(part["codes"]), np.uint8).reshape(len(part), -1)
+        y = part["y"].to_numpy()
+        order = np.lexsort((*codes.T, y))
+        codes, y = codes[order], y[order]
+        now, w = np.full(len(y), y.mean()), np.ones(len(y))
+        out = [(key[0], 0, 1, -1, 0, float(y.mean()) * times, float(len(y)))]
+        for t in range(1, times):
+            grown = grow(codes, y - now, w, 1, depth, leaf, spec)
+            nodes, at = {g[0]: g for g in grown}, np.ones(len(y), np.int64)
+            for node in sorted(nodes):
+                if nodes[node][1] >= 0:
+                    mine = at == node
+                    at[mine] = 2 * node + 1 - ((nodes[node][2] >> codes[mine, nodes[node][1]].astype(np.int64)) & 1)
+            now = now + rate * np.array([nodes[n][3] for n in at.tolist()])
+            out += [(key[0], t, node, column, mask, value * rate * times, n) for node, column, mask, value, n in grown]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
+
+    small = rows.where(~F.col("group").isin(*large)) if large else rows
+    out = small.groupBy("group").applyInPandas(whole, NODES)
+    if large:
+        mine = rows.where(F.col("group").isin(*large))
+        mean = settled(mine.groupBy("group").agg(F.avg("y").alias("m"), F.count("*").cast("double").alias("n")))
+        out = out.unionByName(mean.select("group", F.lit(0).alias("tree"), F.lit(1).cast("long").alias("node"), F.lit(-1).alias("column"), F.lit(0).cast("long").alias("mask"), (F.col("m") * times).alias("value"), "n"))
+        left = settled(mine.join(F.broadcast(mean.select("group", "m")), "group").select("group", "id", "codes", (F.col("y") - F.col("m")).alias("y")))  # a row a large group
+        for t in range(1, times):
+            tree = settled(fit(left, spec, 1, depth, leaf, local, sample=False))
+            left = settled(predict(left, tree).select("group", "id", "codes", (F.col("y") - rate * F.col("predicted")).alias("y")))
+            out = out.unionByName(tree.select("group", F.lit(t).alias("tree"), "node", "column", "mask", (F.col("value") * rate * times).alias("value"), "n"))
+    return out
+
+
 def predict(rows: DataFrame, forest: DataFrame, most: int = 5_000_000) -> DataFrame:
     """``rows`` with ``predicted``, the mean over the trees of the row's group; rows of groups without a forest go. The forests are sent to all tasks, of as many
     groups at a time as have ``most`` nodes together; each lot is a pass over the rows of its groups."""

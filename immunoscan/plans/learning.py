@@ -77,16 +77,26 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return a.select(F.col("rec_id").alias("id"), F.col("allele").alias("group"), L.padded_codes(F.col("peptide")).alias("codes"), F.log10(A.affinity(F.col("quant"), F.col("qual"))).alias("y"))
 
 
-def g11_allele_models(spark: SparkSession, d: str) -> DataFrame:
-    """A forest of 100 trees, 20 deep, for each of the 30 alleles with most peptides (20 at least), judged on the fifth that it has not seen."""
+def _judged(spark: SparkSession, d: str, grown) -> DataFrame:
+    """Metrics of ``grown`` models for the 30 alleles with most peptides (20 at least) on the fifth that they have not seen."""
     rows = _labelled(spark, d)
     top = A.allele_counts(rows.withColumnRenamed("group", "allele"), 20, 30).select(F.col("allele").alias("group"))
     rows = PT.settled(rows.join(F.broadcast(top), "group", "left_semi"))  # 30 rows
-    forest = PT.settled(GR.fit(rows.where(L.split_mark("id")), L.padded_spec(12, ALIKE)))
+    forest = PT.settled(grown(rows.where(L.split_mark("id")), L.padded_spec(12, ALIKE)))
     done = GR.predict(rows.where(~L.split_mark("id")), forest)
     return L.regression_metrics(done.withColumnRenamed("group", "allele"), "allele", "y", "predicted")
 
 
+def g11_allele_models(spark: SparkSession, d: str) -> DataFrame:
+    """A forest of 100 trees, 20 deep, for each allele."""
+    return _judged(spark, d, GR.fit)
+
+
+def g11_boosted_models(spark: SparkSession, d: str) -> DataFrame:
+    """100 rounds of trees, 8 deep, at a rate of 0.1, for each allele."""
+    return _judged(spark, d, GR.boost)
+
+
 def g12_regression_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The matrix scores as predictions of the measured affinities."""
     a = A.clean(X.assays(spark, d)).withColumn("s", T.adapted_score(F.col("peptide"), "HLA-A*02:01")).where("s is not null")
@@ -205,7 +215,7 @@ def s1_arriving_fasta(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: queries that SQL can't express: fits and what follows from them
-FITTED = {f.__name__: f for f in (g11_allele_models, g13_batch_scores, g14_residue_classifier, g14_importances, g16_signal_models, g18_left_out, g18_weights, g19_left_out_ranks)}
+FITTED = {f.__name__: f for f in (g11_allele_models, g11_boosted_models, g13_batch_scores, g14_residue_classifier, g14_importances, g16_signal_models, g18_left_out, g18_weights, g19_left_out_ranks)}
 QUERIES = {f.__name__: f for f in (g5_padded_encoding, g6_anchored_encoding, g7_core_encoding, g8_residue_context, g9_signal_features, g10_split, g12_regression_metrics, g19_signed_ranks, s1_arriving_sequences, s1_arriving_fasta)}
 
 _code = lambda p: f"instr('{D.AA}', substr(peptide, {p}, 1)) * CAST(length(peptide) >= {p} AS INT)"

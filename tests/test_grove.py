@@ -83,3 +83,22 @@ def test_codes_stand_for_the_padded_features(spark):
         hot = [got[place[p, j]] for p in range(12) for j in range(20)]
         rows = [got[place[p, j] + 20] for p in range(12) for j in range(20)]
         assert hot + rows + got[480:] == r["f"]
+
+
+def test_boosting_equals_plain_rounds(spark):
+    df = spark.createDataFrame([r for r in ROWS if r[0] in ("mid", "one")], "group string, id long, codes binary, y double").repartition(3)
+    own = [r for r in ROWS if r[0] == "mid"]
+    codes, now = [r[2] for r in own], np.full(200, np.mean([r[3] for r in own]))
+    for _ in range(3):
+        left = [(*r[:3], float(r[3] - p)) for r, p in zip(own, now, strict=True)]
+        nodes = dict(_plain(left, np.ones(200), 1, 2, 1))
+        splits = {r["node"]: r for r in G.fit(spark.createDataFrame(left, "group string, id long, codes binary, y double"), SPEC, 1, 2, 1, sample=False).collect()}
+        assert {n: round(r["value"], 9) for n, r in splits.items()} == {n: round(v, 9) for n, v in nodes.items()}
+        for i, c in enumerate(codes):
+            node = 1
+            while splits[node]["column"] >= 0:
+                node = 2 * node + (0 if splits[node]["mask"] >> c[splits[node]["column"]] & 1 else 1)
+            now[i] += 0.1 * splits[node]["value"]
+    for local in (20_000, 100):  # in a task, and round by round
+        got = {r["id"]: r["predicted"] for r in G.predict(df.where("group = 'mid'"), G.boost(df, SPEC, 3, 2, 1, 0.1, local)).collect()}
+        assert np.allclose([got[r[1]] for r in own], now, atol=1e-9)
