@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import LINEAR, METHODS
 from ..operators import assays as A
-from ..operators import evaluation as E
 from ..operators import motifs as M
 from ..operators import peptides as P
 from ..operators import seeds as SD
@@ -252,10 +251,15 @@ def h7_set_profile(spark: SparkSession, d: str) -> DataFrame:
 @query
 def i2_method_rates(spark: SparkSession, d: str) -> DataFrame:
     """Covered and true places of a sequence are compared as arrays; only sequences with truth are scored."""
-    out, parts = T.with_runs(with_truth(spark, d)), []
-    for m, (w, _) in METHODS.items():
-        covered = F.flatten(F.transform(F.col(f"`r_{m}`"), lambda r: F.sequence(r["s"] + w // 2, r["e"] + w // 2)))
-        parts.append(F.struct(F.lit(m).alias("method"), *E.counts(covered, F.col("spots"), F.col("n"))))
+    out, parts, found = T.with_runs(with_truth(spark, d)), [], []
+    for k, (m, (w, _)) in enumerate(METHODS.items()):
+        found.append(F.flatten(F.transform(F.col(f"`r_{m}`"), lambda r: F.sequence(r["s"] + w // 2, r["e"] + w // 2))).alias(f"c_{k}"))
+    out = T.held(out.select("seq_id", "n", "spots", *found))  # once, not for each of the counts
+    out = T.held(out.select("*", *[F.size(F.array_intersect(f"c_{k}", "spots")).cast("long").alias(f"tp_{k}") for k in range(len(METHODS))]))
+    for k, m in enumerate(METHODS):
+        tp = F.col(f"tp_{k}")
+        fp, fn = F.size(f"c_{k}").cast("long") - tp, F.size("spots").cast("long") - tp
+        parts.append(F.struct(F.lit(m).alias("method"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), (F.col("n") - tp - fp - fn).alias("tn")))
     return A.rates(out.select("seq_id", F.inline(F.array(*parts))))
 
 
