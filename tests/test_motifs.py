@@ -1,11 +1,13 @@
 """Motif places, merges and laid-out layers against plain Python, on texts of 100,000 letters too."""
 
+import math
 import random
 import re
 import time
 
 import pytest
 
+from immunoscan.functions import dims as D
 from immunoscan.operators import innate as I
 from immunoscan.operators import motifs as M
 from immunoscan.plans.spatial import CPG
@@ -32,6 +34,19 @@ def test_places_of_all_patterns(seqs):
     assert sorted((r["seq_id"], r["name"], r["start"], r["end"], r["motif"]) for r in got) == want
 
 
+def test_receptor_motifs_carry_their_notes(seqs):
+    got = {(r["name"], r["annotation"]) for r in M.receptor_motifs(seqs).select("name", "annotation").distinct().collect()}
+    assert len(got) >= 4 and got <= set(M.NOTES.items())
+
+
+def test_cut_log_odds_of_sequences_that_end_at_the_cut(spark):
+    """Places of the odds that lie beyond the last letter count 0."""
+    rows = [(1, "A" * 15), (2, "W" * 15), (3, "G" * 16), (4, "L" * 40)]
+    out = {r["seq_id"]: r for r in I.cut_log_odds(spark.createDataFrame([(i, s, len(s)) for i, s in rows], "seq_id long, seq string, n long").repartition(2)).collect()}
+    assert sorted(out) == [1, 2, 3, 4]
+    assert (out[1]["cut"], out[1]["log_odds"]) == (20, round(sum(math.log(v.get("A", 0.01) / 0.05) for o, v in D.CUT_SHARES.items() if 20 + o < 15), 6))
+
+
 def test_variants_where_rgd_stands_are_left_out(seqs):
     got = {(r["seq_id"], r["name"], r["start"]) for r in M.stimulating_motifs(seqs).collect()}
     want = set()
