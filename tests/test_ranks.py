@@ -87,6 +87,22 @@ def test_signed_ranks_of_many_pairs_are_normal(spark):
     assert L.signed_ranks(few, "method", "g", "v", "base").first()["p"] == pytest.approx(L.signed_ranks(few, "method", "g", "v", "base", exact=0).first()["p"], abs=0.02)
 
 
+def test_signed_ranks_stay_exact_up_to_the_given_number_of_pairs(spark):
+    r = random.Random(2)
+    rows = [(m, i, r.randrange(40) + 3.0 * (m == "m")) for m in ("base", "m") for i in range(300)]
+    df = spark.createDataFrame([(m, str(i), float(v)) for m, i, v in rows], "method string, g string, v double")
+    got = L.signed_ranks(df, "method", "g", "v", "base", exact=1023).first()
+    v = {m: {i: x for k, i, x in rows if k == m} for m in ("base", "m")}
+    diffs = [v["m"][i] - v["base"][i] for i in v["base"] if v["m"][i] != v["base"][i]]
+    size, ways = _mean_ranks([abs(d) for d in diffs]), {0: 1}
+    for d in diffs:  # whole numbers of any size
+        step = int(2 * size[abs(d)])
+        ways = {s: ways.get(s, 0) + ways.get(s - step, 0) for s in {*ways, *(s + step for s in ways)}}
+    w = int(2 * sum(size[abs(d)] for d in diffs if d > 0))
+    p = 2 * min(sum(n for s, n in ways.items() if s <= w), sum(n for s, n in ways.items() if s >= w)) / 2 ** len(diffs)
+    assert got["pairs"] == len(diffs) > 50 and got["kind"] == "exact" and got["p"] == pytest.approx(min(1.0, p), abs=1e-9)
+
+
 @pytest.mark.parametrize("z", [0.0, 0.3, 1.0, 1.99, 2.0, 3.5, 8.0])
 def test_upper_tail(spark, z):
     got = spark.range(1).select(L.upper_tail(F.lit(z))).first()[0]
