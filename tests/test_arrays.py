@@ -36,3 +36,14 @@ def test_tracks_of_two_million_letters_take_seconds(spark):
     began = time.time()
     rows = T.aligned(seqs).agg(F.count("*").alias("n"), F.sum("parker").alias("s")).first()
     assert rows["n"] == 2_000_000 and T.regions(seqs).count() % 100 == 0 and time.time() - began < 12
+
+
+def test_tables_of_residues_are_written_compressed(spark):
+    from pathlib import Path
+
+    from immunoscan.sources import files
+
+    seqs = spark.createDataFrame([(1, "doc_1", "ACDEFGHIKLMNPQRSTVWY" * 40, 800)], "seq_id long, name string, seq string, n long")
+    for path in (files.write_scores(T.aligned(seqs)), files.write_predictions(seqs, ["kolaskar-tongaonkar", "emini"])):
+        parts = list(Path(path.removeprefix("file://")).glob("part-*"))
+        assert parts and all(p.name.endswith(".gz") for p in parts) and sum(p.stat().st_size for p in parts) < 12_000
