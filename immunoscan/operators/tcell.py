@@ -5,10 +5,13 @@ Scores stay in the sequence's own arrays until the last step, in thousandths, so
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import matrices as M
+from . import arrays as R
+from .arrays import codes_of, pieces_of, window_sums
 from .peptides import ic50_of, percentile_of
 from .tracks import held, letters, upto
 
@@ -39,15 +42,49 @@ def binders(seqs: DataFrame, allele: str, least: float = 0.5, k: int = 9) -> Dat
     return each.select("seq_id", "start", (F.col("start") + k - 1).alias("end"), "peptide", "score", F.round(ic50, 6).alias("ic50"), F.round(percentile_of(ic50), 6).alias("pct_rank"))
 
 
+def windows(seqs: DataFrame, **matrices: M.Matrix) -> DataFrame:
+    """seq_id, start and one column a matrix: the scores of the windows that start there; null where only others have one."""
+
+    def rows(seq):
+        codes = codes_of(seq)
+        scores = [window_sums(codes, m) / 1000 for m in matrices.values()]
+        size = max(map(len, scores))
+        return [np.arange(1, size + 1), *[np.concatenate((s, np.full(size - len(s), np.nan))) for s in scores]]
+
+    return R.exploded(seqs, ["seq_id"], "start long, " + ", ".join(f"{n} double" for n in matrices), rows)
+
+
 def best_cores(seqs: DataFrame, alleles: list[str], k: int = 15) -> DataFrame:
     """seq_id, start, and for the n-th allele core_n (from 1, the first of equals) and score_n of its best 9-mer core in each k-mer."""
-    out, arrays = letters(seqs), {}
-    for n, a in enumerate(alleles):
-        out = held(out.withColumn(f"c{n}", M.window_scores("code", M.anchored(M.CLASS_TWO[a]))))
-        out = out.withColumn(f"b{n}", F.transform(upto(F.col("n") - k + 1), lambda i: F.array_max(F.slice(f"c{n}", i, k - 8))))  # noqa: B023
-        arrays[f"core_{n}"] = F.transform(upto(F.col("n") - k + 1), lambda i: F.array_position(F.slice(f"c{n}", i, k - 8), F.col(f"b{n}")[i - 1]))  # noqa: B023
-        arrays[f"score_{n}"] = F.col(f"b{n}")
-    return exploded(out, **arrays)
+    matrices = [M.anchored(M.CLASS_TWO[a]) for a in alleles]
+
+    def rows(seq):
+        size, codes = max(0, len(seq) - k + 1), codes_of(seq)
+        out = [np.arange(1, size + 1)]
+        for m in matrices:
+            cores = window_sums(codes, m)
+            best, place = cores[:size].copy(), np.ones(size, np.int64)
+            for j in range(1, k - 8):
+                other = cores[j : j + size]
+                place[other > best] = j + 1
+                np.maximum(best, other, out=best)
+            out += [place, best]
+        return out
+
+    return R.exploded(seqs, ["seq_id"], "start long, " + ", ".join(f"core_{n} long, score_{n} int" for n in range(len(alleles))), rows)
+
+
+def cut_places(seqs: DataFrame) -> DataFrame:
+    """seq_id, pos, score, context (the letters around, cut after the third) of the places 7 to n - 6."""
+    matrix = M.sparse(M.CLEAVAGE, -6, 6)
+
+    def rows(seq):
+        scores = window_sums(codes_of(seq), matrix)
+        at = np.arange(len(scores))
+        return [at + 7, scores / 1000, pieces_of(seq, at + 3, 7)]
+
+    out = R.exploded(seqs, ["seq_id"], "pos long, score double, context string", rows)
+    return out.withColumn("context", F.concat(F.substring("context", 1, 3), F.lit("|"), F.substring("context", 4, 4)))
 
 
 def cores_of(peptide: Column, values: list[Column]) -> Column:
@@ -152,13 +189,19 @@ def spread_scores(scores: str, k: int, n: str = "n") -> Column:
 
 
 def top_windows(seqs: DataFrame, alleles: list[str], k: int = 9, top: int = 100) -> DataFrame:
-    """seq_id, allele, rank, start, score of the best windows of each sequence and allele."""
-    out, parts = class_one(seqs, alleles, k), []
-    for a in alleles:
-        s = F.col(f"`{a}`")
-        best = F.slice(F.sort_array(F.transform(s, lambda x, i: F.struct((-x).alias("s"), (i + 1).alias("start")))), 1, top)
-        parts.append(F.transform(best, lambda r, i: F.struct(F.lit(a).alias("allele"), (i + 1).cast("long").alias("rank"), r["start"].cast("long").alias("start"), milli(-r["s"]).alias("score"))))  # noqa: B023
-    return out.select("seq_id", F.inline(F.concat(*parts)))
+    """seq_id, allele, rank, start, score of the best windows of each sequence and allele, of equal ones the first."""
+    matrices = {a: M.anchored(M.CLASS_ONE[a], k) for a in alleles}
+
+    def rows(seq):
+        codes, out = codes_of(seq), []
+        for a, m in matrices.items():
+            scores = window_sums(codes, m)
+            best = np.argsort(-scores, kind="stable")[:top]
+            out.append(([a] * len(best), np.arange(1, len(best) + 1), best + 1, scores[best] / 1000))
+        names, *numbers = zip(*out, strict=True)
+        return [[a for part in names for a in part], *map(np.concatenate, numbers)]
+
+    return R.exploded(seqs, ["seq_id"], "allele string, rank long, start long, score double", rows)
 
 
 def adapted_score(peptide: Column, allele: str) -> Column:

@@ -115,15 +115,11 @@ def d18_top_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d21_cleavage(spark: SparkSession, d: str) -> DataFrame:
-    out = T.letters(X.sequences(spark, d)).withColumn("k", T.cleavage())
-    cut = lambda a, b: F.array_join(F.slice("aa", a, b), "")
-    rows = F.transform("k", lambda x, i: F.struct((i + 7).cast("long").alias("pos"), T.milli(x).alias("score"), F.concat(cut(i + 4, 3), F.lit("|"), cut(i + 7, 4)).alias("context")))
-    return out.select("seq_id", F.inline(rows))
+    return T.cut_places(X.sequences(spark, d))
 
 
 def d22_transport(spark: SparkSession, d: str) -> DataFrame:
-    out = T.letters(X.sequences(spark, d)).withColumns({"a": M.window_scores("code", M.transport(9)), "b": M.window_scores("code", M.transport(10))})
-    return T.exploded(out, nine=F.col("a"), ten=F.col("b")).select("seq_id", "start", T.milli("nine").alias("nine"), T.milli("ten").alias("ten"))
+    return T.windows(X.sequences(spark, d), nine=M.transport(9), ten=M.transport(10))
 
 
 def d23_scaled(spark: SparkSession, d: str) -> DataFrame:
