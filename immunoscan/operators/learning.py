@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims as D
+from . import arrays as R
+from .arrays import codes_of, rounded
 from .assays import auc
 from .grove import spec_of
 from .innate import axa_points, best_stretch, cut_points, cut_sites, heads
@@ -153,6 +155,25 @@ def residue_context(seqs: DataFrame, reach: int = 4) -> DataFrame:
     return each.select("seq_id", "pos", "centre", "left", "right", (at / last).alias("relative"), (F.least(at, F.col("n") - 1 - at) / F.greatest(F.lit(1.0), (F.col("n") - 1) / 2)).alias("distance"))
 
 
+def scale_context(seqs: DataFrame, scale: str = "hydropathy", reach: int = 4) -> DataFrame:
+    """seq_id, pos, centre, left, right, relative, distance of ``residue_context`` for one of its scales, to six decimals: numbers, not arrays."""
+    table = np.array([0.0, *_standard(CONTEXT[scale])])
+
+    def rows(seq):
+        n = len(seq)
+        v = np.concatenate((np.zeros(reach), table[codes_of(seq)], np.zeros(reach)))
+        at = np.arange(n)
+        before, after = np.minimum(at, reach), np.minimum(n - 1 - at, reach)  # how many there are on either side
+        left, right = np.zeros(n), np.zeros(n)
+        for k in range(reach):  # from the left to the right
+            left += v[k : k + n]
+            right += v[reach + 1 + k : reach + 1 + k + n]
+        out = [v[reach : reach + n], left / np.maximum(1, before), right / np.maximum(1, after)]
+        return [at + 1, *map(rounded, out), at / max(1, n - 1), np.minimum(at, n - 1 - at) / max(1.0, (n - 1) / 2)]
+
+    return R.exploded(seqs, ["seq_id"], "pos long, centre double, left double, right double, relative double, distance double", rows)
+
+
 def signal_features(seqs: DataFrame) -> DataFrame:
     """seq_id and the named numbers of the first 70 letters: charge in letters 1 to 5, hydropathy of 6 to 20, small letters and
     the best A-x-A triple of 16 to 30, hydropathy in ten and charge in five parts of the first 50, shares of nine letters in the first 40, charged

@@ -47,3 +47,16 @@ def test_tables_of_residues_are_written_compressed(spark):
     for path in (files.write_scores(T.aligned(seqs)), files.write_predictions(seqs, ["kolaskar-tongaonkar", "emini"])):
         parts = list(Path(path.removeprefix("file://")).glob("part-*"))
         assert parts and all(p.name.endswith(".gz") for p in parts) and sum(p.stat().st_size for p in parts) < 12_000
+
+
+def test_window_jobs_of_two_million_letters_take_seconds(spark):
+    """Helix windows, summaries, binding windows and contexts of so many took more than a minute as interpreted array functions."""
+    from immunoscan.functions import matrices as M
+    from immunoscan.operators import innate, learning, tcell
+
+    text = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(20_000))
+    seqs = spark.range(100, numPartitions=8).select(F.col("id").alias("seq_id"), F.lit(text).alias("seq"), F.lit(len(text)).cast("long").alias("n"))
+    learning.scale_context(seqs.limit(1)).count()
+    began = time.time()
+    jobs = [innate.helices(seqs), innate.summary(seqs), innate.consensus(seqs), tcell.windows(seqs, nine=M.transport(9), ten=M.transport(10)), tcell.top_windows(seqs, list(M.CLASS_ONE)), learning.scale_context(seqs)]
+    assert all(j.groupBy("seq_id").count().groupBy("count").count().count() == 1 for j in jobs) and time.time() - began < 30
