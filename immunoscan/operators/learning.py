@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims as D
 from . import arrays as R
+from . import context_forest as CF
 from .arrays import codes_of, rounded
 from .assays import auc
 from .grove import spec_of
@@ -182,6 +183,11 @@ def residue_context(seqs: DataFrame, reach: int = 4) -> DataFrame:
     return each.select("seq_id", "pos", "centre", "left", "right", (at / last).alias("relative"), (F.least(at, F.col("n") - 1 - at) / F.greatest(F.lit(1.0), (F.col("n") - 1) / 2)).alias("distance"))
 
 
+def context_space(reach: int = 4) -> CF.Space:
+    """The numbers of ``residue_context``, in order, for a ``context_forest``."""
+    return CF.Space(np.array([[0.0, *_standard(v)] for v in CONTEXT.values()]), reach)
+
+
 def scale_context(seqs: DataFrame, scale: str = "hydropathy", reach: int = 4) -> DataFrame:
     """seq_id, pos, centre, left, right, relative, distance of ``residue_context`` for one of its scales, to six decimals: numbers, not arrays."""
     table = np.array([0.0, *_standard(CONTEXT[scale])])
