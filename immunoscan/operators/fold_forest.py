@@ -1,22 +1,25 @@
 """Leave-one-group-out forests of classification trees, all folds in shared passes.
 
 A fold is a group that is held out. The same tree of two folds differs only by two groups' rows, and most of its splits are
-the same; so a node belongs to the path of splits that leads to it, and folds that split alike share it. A pass counts the rows of every open
-node by column, bin and class, apart for each group that one of the node's folds holds out; a fold's counts are those of all groups less
-those of its own. Counts are whole numbers, so a fold's forest is that of a fit without the group, whatever the partitioning and after a lost task.
+the same; so a node belongs to the path of splits that leads to it, and folds that split alike share it. A level of the trees is two passes. One counts the rows of
+every open node by column, bin and class, over all groups, once for all folds. The other runs over the folds, a row each with the group's residues (some 24 bytes a residue): it takes
+their own rows off the counts and chooses. Counts are whole numbers, so a fold's forest is that of a fit without the group, whatever the partitioning and after a lost task.
 
 Values are cut into bins at given or approximate quantiles of all rows (labels have no part in them). Rows count once to several
 times in a tree, as a Poisson draw from their id and the tree says. Classes are balanced within the fold, impurity is Gini's. A split looks at ``tries`` columns, drawn by tree and
 place; if none of these can part the node, at one more, and so on.
 
-The driver holds the splits of ``block`` folds and ``lot`` trees at a time; each lot is ``depth`` passes and one that scores.
+What each fold has split stays with the fold. The driver holds the different splits of ``lot`` trees and the counts of one level's open nodes; each lot is ``depth`` levels and a pass that scores.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
+import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -28,9 +31,6 @@ from .settle import settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
-SPLIT = "tree int, node long, fold int, column int, cut int, value double, low double, high double, n_low long, n_high long"
-
-
 def column_order(tree: int, place: int, columns: int) -> np.ndarray:
     """The order in which a split looks at columns; ``place`` is the node's number in a full tree (root 1)."""
     return np.random.default_rng([tree, place]).permutation(columns)
@@ -73,7 +73,7 @@ def quantile_cuts(rows: DataFrame, columns: list[str], bins: int) -> list[np.nda
     return [np.unique(np.array(found[c] or [0.0], float)) for c in columns]
 
 
-def scores(rows: DataFrame, group: str, id: str, label: str, columns: list[str], trees: int = 200, depth: int = 6, leaf: int = 20, tries: int | None = None, bins: int = 64, cuts: list | None = None, block: int = 256, lot: int = 50) -> DataFrame:
+def scores(rows: DataFrame, group: str, id: str, label: str, columns: list[str], trees: int = 200, depth: int = 6, leaf: int = 20, tries: int | None = None, bins: int = 64, cuts: list | None = None, block: int = 4096, lot: int = 50) -> DataFrame:
     """group_ (text), id_, y_, p_: each row of a group with both classes, and its mean probability over the trees of the fold that holds its group out. ``id`` is a long;
     nulls among the columns count as 0, and labels other than 1 as class 0. A group without rows of both classes inside and outside is no fold; a null group is never held out."""
     tries = tries or max(1, int(len(columns) ** 0.5))
@@ -82,144 +82,248 @@ def scores(rows: DataFrame, group: str, id: str, label: str, columns: list[str],
     sizes = ready.groupBy("group_").agg(F.count("*").alias("n"), F.sum("y_").alias("pos")).collect()  # a row a group
     n, pos = sum(r["n"] for r in sizes), sum(r["pos"] for r in sizes)
     held = sorted((r["group_"], n - r["n"], pos - r["pos"]) for r in sizes if r["group_"] is not None and 0 < r["pos"] < r["n"] and 0 < pos - r["pos"] < n - r["n"])
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    ready = settled(ready.repartition(max(cores, ready.rdd.getNumPartitions())))  # small tables come in one part, and a row costs all its trees
     out = None
     for i in range(0, len(held), block):
-        folds = held[i : i + block]
-        weight = [(m / (2 * (m - ones)), m / (2 * ones)) for _, m, ones in folds]
-        names = [g for g, *_ in folds]
-        now = ready.where(F.col("group_").isin(*names)).withColumn("p_", F.lit(0.0))
+        folds = {g: (m / (2 * (m - ones)), m / (2 * ones)) for g, m, ones in held[i : i + block]}
+        now = settled(_packed(ready.where(F.col("group_").isin(*folds)) if len(held) > block else ready, folds, cuts).repartition(2 * cores))
         for first in range(0, trees, lot):
-            which = range(first, min(trees, first + lot))
-            grown = _grow(ready, names, np.array(weight), cuts, which, depth, leaf, tries)
-            now = settled(_scored(now, names, cuts, grown))
-        now = now.select("group_", "id_", "y_", (F.col("p_") / trees).alias("p_"))
-        out = now if out is None else out.unionByName(now)
+            now = _grown(ready, now, folds, cuts, range(first, min(trees, first + lot)), depth, leaf, tries)
+        done = _unpacked(now, trees)
+        out = done if out is None else out.unionByName(done)
     return out if out is not None else ready.select("group_", "id_", "y_", F.lit(0.0).alias("p_")).where(F.lit(False))
 
 
-def _grow(rows: DataFrame, names: list, weight: np.ndarray, cuts: list, which: range, depth: int, leaf: int, tries: int) -> dict:
-    """For each tree: ``go`` (node, fold) -> column, cut, child up to the cut, child beyond it, and ``value`` (node, fold) -> probability."""
-    trees = {t: {"go": {}, "value": {}, "splits": {}, "next": 2} for t in which}
-    front = {(t, 1): (1, list(range(len(names)))) for t in which}  # place in a full tree, folds
-    for _ in range(depth):
-        if not front:
+FOLD = "group_ string, ids binary, y binary, bins binary, p binary, state binary"
+MADE = "array<struct<tree:int,node:int,column:int,cut:int,low:boolean,high:boolean>>"
+
+
+def _packed(rows: DataFrame, folds: dict, cuts: list) -> DataFrame:
+    """A row a fold: its residues' ids, classes, bins and sums of probabilities as bytes, some 24 each."""
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        if key[0] not in folds:
+            return pd.DataFrame([], columns=[c.split()[0] for c in FOLD.split(", ")])
+        part = part.sort_values("id_")
+        bins = np.stack([np.searchsorted(c, part[f"x_{k}"].to_numpy()) for k, c in enumerate(cuts)]).astype(np.uint16)
+        return pd.DataFrame([(key[0], part["id_"].to_numpy(np.int64).tobytes(), part["y_"].to_numpy(np.uint8).tobytes(), bins.tobytes(), np.zeros(len(part)).tobytes(), b"")], columns=[c.split()[0] for c in FOLD.split(", ")])
+
+    return rows.where("group_ is not null").groupBy("group_").applyInPandas(pack, FOLD)
+
+
+def _unpacked(packed: DataFrame, trees: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for g, ids, y, p in zip(*(batch.column(c).to_pylist() for c in ("group_", "ids", "y", "p")), strict=True):
+                ids = np.frombuffer(ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(ids), pa.string()), pa.array(ids), pa.array(np.frombuffer(y, np.uint8).astype(np.int32)), pa.array(np.frombuffer(p) / trees)], names=["group_", "id_", "y_", "p_"])
+
+    return packed.mapInArrow(run, "group_ string, id_ long, y_ int, p_ double")
+
+
+def _grown(rows: DataFrame, packed: DataFrame, folds: dict, cuts: list, which: range, depth: int, leaf: int, tries: int) -> DataFrame:
+    """``packed`` with the probabilities of these trees added. The driver gets the different splits and the counts of their nodes, whatever the number of folds."""
+    splits: dict = {t: {} for t in which}
+    following = dict.fromkeys(which, 2)
+    front = {t: [1] for t in which}
+    for level in range(depth):
+        totals = _totals(rows, cuts, splits, front)
+        made = settled(_decided(packed, totals, splits, folds, cuts, which, level, depth, leaf, tries))
+        packed = made.drop("made")
+        ways = made.select(F.inline("made")).groupBy("tree", "node", "column", "cut").agg(F.bool_or("low").alias("low"), F.bool_or("high").alias("high")).collect()
+        front = {t: [] for t in which}
+        for t, node, column, cut, low, high in sorted(map(tuple, ways)):
+            children = (following[t], following[t] + 1)
+            following[t] += 2
+            splits[t].setdefault(node, {})[column, cut] = children
+            front[t] += [child for child, open_ in zip(children, (low, high), strict=True) if open_]
+        if not any(front.values()):
             break
-        found = _pass(rows, names, weight, cuts, {t: k["splits"] for t, k in trees.items()}, front, leaf, tries)
-        later: dict = {}
-        for t, node, fold, column, cut, value, low, high, n_low, n_high in sorted(found):
-            tree = trees[t]
-            if node == 1:
-                tree["value"][1, fold] = value
-            if column < 0:
-                continue
-            ways = tree["splits"].setdefault(node, {})
-            if (column, cut) not in ways:
-                ways[column, cut] = (tree["next"], tree["next"] + 1)
-                tree["next"] += 2
-            children = ways[column, cut]
-            tree["go"][node, fold] = (column, cut, *children)
-            place = front[t, node][0]
-            for child, side, p, size in ((children[0], 0, low, n_low), (children[1], 1, high, n_high)):
-                tree["value"][child, fold] = p
-                if size >= 2 * leaf and 0 < p < 1:  # pure nodes are done
-                    later.setdefault((t, child), (2 * place + side, []))[1].append(fold)
-        front = later
-    return trees
-
-
-def _pass(rows: DataFrame, names: list, weight: np.ndarray, cuts: list, splits: dict, front: dict, leaf: int, tries: int) -> list[tuple]:
-    """A row for each open node and fold, as SPLIT."""
+    return settled(_scored(packed, len(cuts), depth))
+
+
+def _totals(rows: DataFrame, cuts: list, splits: dict, front: dict) -> dict:
+    """For each tree the open nodes, in order, and all rows of each by column, bin and class."""
     wide = max(len(c) for c in cuts) + 1
-    state = rows.sparkSession.sparkContext.broadcast((names, splits, front))
+    cells = len(cuts) * wide * 2
+    state = rows.sparkSession.sparkContext.broadcast((splits, {t: set(v) for t, v in front.items()}))
 
     def count(batches):
-        names, splits, front = state.value
-        at = {g: k for k, g in enumerate(names)}
-        last = max(splits) + 1
+        splits, front = state.value
+        have: dict = {}
         for batch in batches:
-            group, ids, y, bins = _rows(batch, cuts)
+            _, ids, y, bins = _rows(batch, cuts)
             if not len(ids):
                 continue
-            fold = np.array([at.get(g, len(names)) for g in group])
-            drawn = draws(ids, last)
+            drawn = draws(ids, max(splits) + 1)
             cell = (np.arange(len(cuts)) * wide + bins) * 2 + y[:, None]
             for t, ways in splits.items():
                 todo = [(1, np.flatnonzero(drawn[:, t]))]
-                keys, mass = [], []
                 while todo:
                     node, r = todo.pop()
-                    if (t, node) in front and r.size:
-                        apart = np.zeros(len(names) + 1, bool)  # the last: groups that no fold holds out
-                        apart[front[t, node][1]] = True
-                        mine = np.where(apart[fold[r]], fold[r], -1) + 1
-                        keys.append(((node * (len(names) + 1) + mine)[:, None] * (2 * wide * len(cuts)) + cell[r]).ravel())
-                        mass.append(np.repeat(drawn[r, t], len(cuts)))
+                    if not r.size:
+                        continue
+                    if node in front[t]:
+                        own = np.bincount(cell[r].ravel(), np.repeat(drawn[r, t], len(cuts)), cells).astype(np.int64)
+                        have[t, node] = have.get((t, node), 0) + own
                     for (column, cut), children in ways.get(node, {}).items():
                         below = bins[r, column] <= cut
                         todo += [(children[0], r[below]), (children[1], r[~below])]
-                if keys:
-                    key, back = np.unique(np.concatenate(keys), return_inverse=True)
-                    total = np.bincount(back, np.concatenate(mass)).astype(np.int64)
-                    slot, c = np.divmod(key, 2 * wide * len(cuts))
-                    node, mine = np.divmod(slot, len(names) + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t), pa.int32()), pa.array(node, pa.int64()), pa.array(mine - 1, pa.int32()), pa.array(c, pa.int32()), pa.array(total, pa.int64())], names=["tree", "node", "own", "cell", "n"])
-
-    def split(batches):
-        front = state.value[2]
+        yield from _counted(have)
+
+    def add(batches):
+        have: dict = {}
         for batch in batches:
-            lists = batch.column("v")
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            own, cell, n = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
-            out: list[list] = [[] for _ in range(10)]
-            for k, (t, node) in enumerate(zip(batch.column("tree").to_pylist(), batch.column("node").to_pylist(), strict=True)):
-                place, folds = front[t, node]
-                part = slice(ends[k], ends[k + 1])
-                apart = np.zeros((len(folds) + 1, len(cuts), wide, 2))  # the last: of groups that none of these folds holds out
-                slot = np.where(own[part] < 0, len(folds), np.searchsorted(folds, own[part]))
-                np.add.at(apart.reshape(len(folds) + 1, -1), (slot, cell[part]), n[part])
-                cells = apart.sum(axis=0) - apart[:-1]
-                w = weight[folds]
-                column, cut = choose(cells, w, column_order(t, place, len(cuts)), tries, leaf)
-                mine = cells[np.arange(len(folds)), np.maximum(column, 0)]
-                below = np.cumsum(mine, axis=1)[np.arange(len(folds)), cut]
-                whole = mine.sum(axis=1)
-                share = [v[:, 1] * w[:, 1] / np.maximum(1e-300, (v * w).sum(axis=1)) for v in (whole, below, whole - below)]
-                for col, values in zip(out, ([t] * len(folds), [node] * len(folds), folds, column, cut, *share, below.sum(axis=1).astype(int), (whole - below).sum(axis=1).astype(int)), strict=True):
-                    col.extend(values)
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 3, *[pa.int64()] * 2)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=[c.split()[0] for c in SPLIT.split(", ")])
-
-    parts = rows.mapInArrow(count, "tree int, node long, own int, cell int, n long")
-    whole = parts.groupBy("tree", "node", "own", "cell").agg(F.sum("n").alias("n"))
-    nodes = whole.groupBy("tree", "node").agg(F.collect_list(F.struct("own", "cell", "n")).alias("v"))  # at most (folds + 1) x columns x bins x 2 in a list
-    return [tuple(r) for r in nodes.mapInArrow(split, SPLIT).collect()]  # a row a fold and open node
-
-
-def _scored(rows: DataFrame, names: list, cuts: list, grown: dict) -> DataFrame:
-    """``rows`` with the probabilities of these trees added to ``p_``."""
-    state = rows.sparkSession.sparkContext.broadcast((names, [(k["go"], k["value"]) for k in grown.values()]))
+            for t, node, at, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (t, node) not in have:
+                    have[t, node] = np.zeros(cells, np.int64)
+                have[t, node][np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        yield from _counted(have)
+
+    schema = "tree int, node int, at binary, n binary"
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out: dict = {}
+    for t, node, at, n in sorted(tuple(r) for r in rows.mapInArrow(count, schema).repartition(parts, "tree", "node").mapInArrow(add, schema).collect()):  # a row an open node
+        nodes, dense = out.setdefault(t, ([], []))
+        nodes.append(node), dense.append(np.zeros(cells, np.int32 if sum(np.frombuffer(n, np.int64)) < 2**31 else np.int64))
+        dense[-1][np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int64)
+    return {t: (np.array(nodes), np.array(dense)) for t, (nodes, dense) in out.items()}
+
+
+def _counted(have: dict):
+    at = {k: np.flatnonzero(v).astype(np.int32) for k, v in have.items()}
+    keys = list(have)
+    for i in range(0, len(keys), 1000):
+        some = keys[i : i + 1000]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in some], pa.int32()), pa.array([k[1] for k in some], pa.int32()), pa.array([at[k].tobytes() for k in some], pa.binary()), pa.array([have[k][at[k]].tobytes() for k in some], pa.binary())], names=["tree", "node", "at", "n"])
+
+
+class _State:
+    """A fold's trees by place in a full tree (root 1): shared node (0: none or closed), column (-1: a leaf), cut and probability."""
+
+    def __init__(self, raw: bytes, trees: int, depth: int):
+        shape = (trees, 2 << depth)
+        if raw:
+            self.node, self.column, self.cut, self.value = pickle.loads(zlib.decompress(raw))
+        else:
+            self.node, self.column, self.cut, self.value = np.zeros(shape, np.int32), np.full(shape, -1, np.int16), np.zeros(shape, np.int16), np.full(shape, 0.5)
+            self.node[:, 1] = 1
+
+    def places(self, bins: np.ndarray, levels: int) -> np.ndarray:
+        """Trees x rows: where each row of bins (columns x rows) is after so many levels; what ends before stays."""
+        at = np.ones((len(self.node), bins.shape[1]), np.int64)
+        tree, row = np.arange(len(self.node))[:, None], np.arange(bins.shape[1])
+        for _ in range(levels):
+            c = self.column[tree, at]
+            at = np.where(c >= 0, 2 * at + (bins[np.maximum(c, 0), row] > self.cut[tree, at]), at)
+        return at
+
+    def packed(self) -> bytes:
+        return zlib.compress(pickle.dumps((self.node, self.column, self.cut, self.value)), 1)
+
+
+def _decided(packed: DataFrame, totals: dict, splits: dict, folds: dict, cuts: list, which: range, level: int, depth: int, leaf: int, tries: int) -> DataFrame:
+    """``packed`` with the splits of one more level of each fold, and ``made``, which those are and whether their children are open."""
+    k_, wide = len(cuts), max(len(c) for c in cuts) + 1
+    cells = k_ * wide * 2
+    state = packed.sparkSession.sparkContext.broadcast((totals, splits, folds))
+    first = 1 << level
 
     def run(batches):
-        names, trees = state.value
-        at = {g: k for k, g in enumerate(names)}
+        totals, splits, folds = state.value
+        orders = {(t, p): column_order(t, p, k_) for t in which for p in range(first, 2 * first)}
         for batch in batches:
-            group, _, _, bins = _rows(batch, cuts)
-            p = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).copy()
-            fold = np.array([at[g] for g in group], int)
-            for f in np.unique(fold):
-                for go, value in trees:
-                    todo = [(1, np.flatnonzero(fold == f))]
-                    while todo:
-                        node, r = todo.pop()
-                        if (node, f) not in go:
-                            p[r] += value.get((node, f), 0.5)  # 0.5: a tree whose draw is empty
-                            continue
-                        column, cut, low, high = go[node, f]
-                        below = bins[r, column] <= cut
-                        todo += [(low, r[below]), (high, r[~below])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=batch.schema.names)
+            for row in batch.to_pylist():
+                y, ids = np.frombuffer(row["y"], np.uint8), np.frombuffer(row["ids"], np.int64)
+                bins = np.frombuffer(row["bins"], np.uint16).reshape(k_, -1).astype(np.int64)
+                have, made = _State(row["state"] if level else b"", len(which), depth), []
+                drawn = draws(ids, which[-1] + 1)[:, which[0] :].T  # trees x rows
+                place = have.places(bins, level)
+                weight = np.array([folds[row["group_"]]])
+                cell = (np.arange(k_)[:, None] * wide + bins) * 2 + y
+                for i, t in enumerate(which):
+                    open_ = np.flatnonzero(have.node[i, first : 2 * first]) + first
+                    if t not in totals or not open_.size:
+                        continue
+                    nodes, dense = totals[t]
+                    at = np.minimum(np.searchsorted(nodes, have.node[i, open_]), len(nodes) - 1)
+                    known = nodes[at] == have.node[i, open_]
+                    open_, at = open_[known], at[known]
+                    slot = np.full(2 * first, -1)
+                    slot[open_] = np.arange(len(open_))
+                    mine = np.where(place[i] >= first, slot[np.minimum(place[i], 2 * first - 1)], -1)
+                    r = np.flatnonzero((mine >= 0) & (drawn[i] > 0))
+                    own = np.bincount((mine[r] * cells + cell[:, r]).ravel(), np.tile(drawn[i, r], k_), len(open_) * cells).astype(np.int64)
+                    left = (dense[at] - own.reshape(-1, cells)).reshape(-1, k_, wide, 2)
+                    column, cut = _chosen(left, weight, np.array([orders[t, p] for p in open_]).reshape(-1, k_), tries, leaf)
+                    each = np.arange(len(open_))
+                    below = left[each, np.maximum(column, 0)]
+                    whole, below = below.sum(axis=1), np.where((np.arange(wide) <= cut[:, None])[:, :, None], below, 0).sum(axis=1)
+                    share = [v[:, 1] * weight[0, 1] / np.maximum(1e-300, (v * weight).sum(axis=1)) for v in (whole, below, whole - below)]
+                    if level == 0 and len(open_):
+                        have.value[i, 1] = share[0][0]
+                    goes = np.flatnonzero(column >= 0)
+                    have.column[i, open_[goes]], have.cut[i, open_[goes]] = column[goes], cut[goes]
+                    opens = []
+                    for side, p, n in ((0, share[1], below), (1, share[2], whole - below)):
+                        have.value[i, 2 * open_[goes] + side] = p[goes]
+                        opens.append((n.sum(axis=1) >= 2 * leaf) & (p > 0) & (p < 1))  # pure nodes are done
+                    made += [{"tree": t, "node": int(nodes[at[j]]), "column": int(column[j]), "cut": int(cut[j]), "low": bool(opens[0][j]), "high": bool(opens[1][j])} for j in goes]
+                    for side in (0, 1):  # whose numbers are known when all folds have chosen
+                        have.node[i, 2 * open_[goes] + side] = np.where(opens[side][goes], -1, 0)
+                yield pa.RecordBatch.from_pylist([row | {"state": have.packed(), "made": made}], schema=arrow)
+
+    def numbered(batches):
+        """Children get the numbers that the driver gave to the splits."""
+        _, splits, _ = state.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                have = _State(row["state"], len(which), depth)
+                for i, p in np.argwhere(have.node == -1).tolist():
+                    up = p // 2
+                    have.node[i, p] = splits[which[i]][int(have.node[i, up])][int(have.column[i, up]), int(have.cut[i, up])][p % 2]
+                yield pa.RecordBatch.from_pylist([row | {"state": have.packed()}], schema=plain)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow, plain = (to_arrow_schema(StructType.fromDDL(d)) for d in (f"{FOLD}, made {MADE}", FOLD))
+    ready = packed.mapInArrow(numbered, FOLD) if level else packed
+    return ready.mapInArrow(run, f"{FOLD}, made {MADE}")
+
+
+def _chosen(cells: np.ndarray, weight: np.ndarray, orders: np.ndarray, tries: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """``choose`` for nodes that look at their columns in orders of their own; the columns beyond ``tries`` are looked at where needed only."""
+    column, cut = np.full(len(cells), -1), np.zeros(len(cells), int)
+    todo = np.arange(len(cells))
+    for most in sorted({min(tries, orders.shape[1]), orders.shape[1]}):
+        if not todo.size:
+            break
+        own = orders[todo, :most]
+        c, at = choose(cells[todo[:, None], own], np.repeat(weight, len(todo), axis=0), np.arange(most), tries, leaf)
+        column[todo], cut[todo] = np.where(c >= 0, own[np.arange(len(todo)), np.maximum(c, 0)], -1), at
+        todo = todo[c < 0]
+    return column, cut
+
+
+def _scored(packed: DataFrame, columns: int, depth: int) -> DataFrame:
+    """``packed`` with the probabilities of its trees added to the rows' sums."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    return rows.mapInArrow(run, rows.schema)
+    plain = to_arrow_schema(StructType.fromDDL(FOLD))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                have, bins = _State(row["state"], 0, depth), np.frombuffer(row["bins"], np.uint16).reshape(columns, -1)
+                at, p = have.places(bins, depth), np.frombuffer(row["p"]).copy()
+                for i in range(len(at)):
+                    p += have.value[i, at[i]]
+                yield pa.RecordBatch.from_pylist([row | {"p": p.tobytes(), "state": b""}], schema=plain)
+
+    return packed.mapInArrow(run, FOLD)
 
 
 def left_out(rows: DataFrame, group: str, id: str, label: str, columns: list[str], **how) -> DataFrame:

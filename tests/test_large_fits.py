@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from immunoscan.operators import context_forest as CF
+from immunoscan.operators import fold_forest as FF
 from immunoscan.operators import grove as GR
 from immunoscan.operators import innate as I
 from immunoscan.operators import learning as L
@@ -83,3 +84,14 @@ def test_signal_jobs_need_the_first_letters_only(spark):
     for job in (I.signal_rules, L.signal_features, L.cut_windows):
         whole, cut = (sorted(map(str, job(x).collect())) for x in (df, I.first_letters(df)))
         assert whole == cut and whole
+
+
+def test_left_out_forests_take_as_many_passes_for_many_folds(spark, monkeypatch):
+    gen = np.random.default_rng(9)
+    df = spark.createDataFrame([(f"g{k % 300}", k, int(gen.random() < 0.4 or k < 600 and k >= 300), float(gen.normal())) for k in range(3000)], "g string, i long, y int, a double").repartition(3)
+    passes, count = [], FF._totals
+    monkeypatch.setattr(FF, "_totals", lambda *a: passes.append(1) or count(*a))
+    how = {"trees": 2, "depth": 2, "leaf": 5, "cuts": [np.array([-1.0, 0.0, 1.0])]}
+    whole = {tuple(r) for r in FF.scores(df, "g", "i", "y", ["a"], **how).select("id_", "p_").collect()}
+    assert len(passes) <= 2 and len(whole) > 2000
+    assert whole == {tuple(r) for r in FF.scores(df, "g", "i", "y", ["a"], block=200, **how).select("id_", "p_").collect()} and len(passes) > 2
