@@ -2,16 +2,14 @@
 
 Two unit vectors with cosine >= c have squared distance <= 2 - 2c. The vectors are rotated by a fixed
 random orthogonal matrix and split into blocks; a block's budget is its share of that distance, so at
-least one block of a linked pair is within its own. Each block is range-joined over a grid on its first
-coordinates: a cell is as wide as the block's radius, a row is at home in one cell and visits half of the
-neighbours, so that a pair meets once a block. A pair that qualifies in several blocks counts in the
-first one only, hence the union of candidates needs no distinct. Candidates are verified in double
-precision on the given vectors.
+least one block of a linked pair is within its own. Pairs within a block's budget are candidates; they are
+verified in double precision on the given vectors.
 
 Equal vectors of a label form a class first; only one row of each is joined, with its weight and a number of its own, so a vec_id that
-stands in several classes links them with nothing. Cells of
-many rows are split into units of bounded size, chunk against chunk. Tasks return link counts and a star
-forest of the links, never all pairs.
+stands in several classes links them with nothing. The classes of a label are dealt into chunks of bounded size, which are written once to the
+shared folder. A unit of the join is two chunks of one label, named by file and place; its task reads them. So no vector is copied for the
+units that it meets in: disk grows with the vectors, only work with their pairs. A table names what was written; Spark commits it, so
+files of lost tasks are never read. Tasks return link counts and a star forest of the links, never all pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label,
 link with nothing: n_links 0, their own component. Repeated rows link with each other. Extra columns are
@@ -20,18 +18,21 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-from itertools import product
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components, forest
-from .shared import materialize, partitions, table
+from .shared import materialize, partitions, shared_dir, table
 
-UNIT = 2048  # rows a side of a unit
+UNIT, VALUES = 4096, 1 << 21  # rows of a chunk at most, and their components
+TILE = 1024  # rows a side that are compared at once
+CHUNKED = "label long, dim int, file string, offset long, rows int, cid long, k1 long, k2 long, n long, least long"
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -49,98 +50,129 @@ def _radii(dim: int, count: int, cosine: float) -> list[tuple[int, int, float]]:
     return [(lo, hi, (2 - 2 * cosine) * (hi - lo) / dim + 1e-9) for lo, hi in _blocks(dim, count)]
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+def _most(dim: int) -> int:
+    """Rows of a chunk of vectors of so many components."""
+    return min(UNIT, max(64, VALUES // dim))
 
 
-def _by_dim(batch):
-    size = batch.column("embedding").value_lengths().to_numpy()
-    for dim in np.unique(size):
-        yield int(dim), batch.filter(pa.array(size == dim))
-
-
-def _cells(cosine: float, blocks: int, grid: int):
-    """Rows (cell, home, cid, n, embedding): one at home and the visits of each block."""
+def _written(folder: str, kind: str):
+    """Writes the vectors of rows that come in order of label, dim and part; gives rows of CHUNKED."""
 
     def run(batches):
-        for batch in batches:
-            for dim, part in _by_dim(batch):
-                x = _matrix(part.column("embedding"), dim)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(dim)
-                label = part.column("label").to_numpy().astype(np.int64)
-                for b, (lo, hi, budget) in enumerate(_radii(dim, blocks, cosine)):
-                    g = min(grid, hi - lo)
-                    at = np.floor(x[:, lo : lo + g] / (math.sqrt(budget) * (1 + 1e-6))).astype(np.int64)
-                    for step in product((0, 1, -1), repeat=g):
-                        lead = next((s for s in step if s), 0)
-                        if lead < 0:
-                            continue
-                        key = np.full(len(x), b * 4096 + dim, np.int64)
-                        for c in (label, *(at + np.array(step)).T):
-                            key = key * np.int64(0x1E3779B97F4A7C15) + c
-                        home = pa.array(np.full(len(x), lead == 0))
-                        same = [part.column(c) for c in ("cid", "n", "embedding")]
-                        info = [pa.array(np.full(len(x), b, np.int32)), part.column("label")]
-                        yield pa.RecordBatch.from_arrays([pa.array(key), home, *info, *same], names=["cell", "home", "block", "label", "cid", "n", "embedding"])
-
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.vectors"
+        task, made, at, out, held, size, last = TaskContext.get().partitionId() << 40, 0, 0, None, [], 0, None
+
+        def chunk():
+            nonlocal made, at, out
+            rows = pa.Table.from_batches(held)
+            if out is None:
+                out = store.open_output_stream(f"{root}/{name}", compression=None)
+            number = rows.num_rows
+            cid, n = task + made + np.arange(number, dtype=np.int64), rows.column("n").to_numpy()
+            data = b"".join((cid.tobytes(), n.tobytes(), rows.column("embedding").combine_chunks().flatten().to_numpy().astype(kind).tobytes()))
+            out.write(data)
+            label, dim, _ = last
+            same = [np.full(number, label), np.full(number, dim, np.int32), pa.array([name]).take(pa.array(np.zeros(number, np.int64))), np.full(number, at), np.full(number, number, np.int32)]
+            made, at = made + number, at + len(data)
+            own = [rows.column(c).combine_chunks() for c in ("k1", "k2", "n", "least")]
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (*same, cid, *own)], names=names)
+
+        try:
+            for batch in batches:
+                keys = [batch.column(c).to_numpy() for c in ("label", "dim", "part")]
+                turns = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+                for lo, hi in zip([0, *turns], [*turns, batch.num_rows], strict=True):
+                    now = tuple(int(k[lo]) for k in keys) if hi > lo else last
+                    while lo < hi:
+                        if held and (now != last or size >= _most(last[1])):
+                            yield chunk()
+                            held, size = [], 0
+                        take = min(hi - lo, _most(now[1]) - size)
+                        held.append(batch.slice(lo, take))
+                        lo, size, last = lo + take, size + take, now
+            if held:
+                yield chunk()
+        finally:
+            if out is not None:
+                out.close()
+
+    names = [c.split()[0] for c in CHUNKED.split(", ")]
     return run
 
 
-def _verify(cosine: float, blocks: int):
-    def unit(rows: pa.Table):
-        # cells are known by a hash: labels, dims and blocks that share one are told apart here
-        kinds = {}
-        label, block = rows.column("label").to_numpy(), rows.column("block").to_numpy()
-        size = rows.column("embedding").combine_chunks().value_lengths().to_numpy()
-        for kind in set(zip(label.tolist(), block.tolist(), size.tolist(), strict=True)):
-            kinds[kind] = np.flatnonzero((label == kind[0]) & (block == kind[1]) & (size == kind[2]))
-        for (_, b, dim), at in kinds.items():
-            part = rows.take(pa.array(at))
-            raw = _matrix(part.column("embedding").combine_chunks(), dim)
-            norm = np.linalg.norm(raw, axis=1)
-            x = (raw / norm[:, None]) @ rotation(dim)
-            cid, n = part.column("cid").to_numpy(), part.column("n").to_numpy()
-            side, home = part.column("side").to_numpy(), part.column("home").to_numpy(zero_copy_only=False)
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not left.size or not right.size:
-                continue
-            ranges = _radii(dim, blocks, cosine)
-            lo, hi, budget = ranges[b]
-            p, q = x[left, lo:hi], x[right, lo:hi]
-            far = (p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * p @ q.T
-            i, j = np.nonzero(far <= budget + 1e-6)
-            i, j = left[i], right[j]
-            use = ~home[j] | (cid[i] < cid[j])
-            i, j = i[use], j[use]
-            cos = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j])
-            i, j = i[cos >= cosine], j[cos >= cosine]
-            gap = (x[i] - x[j]) ** 2
-            within = np.stack([gap[:, lo:hi].sum(1) <= budget for lo, hi, budget in ranges], 1)
-            use = within.argmax(1) == b
-            i, j = i[use], j[use]
-            if not i.size:
-                continue
-            links = np.bincount(i, n[j], len(raw)) + np.bincount(j, n[i], len(raw))
-            some = np.flatnonzero(links)
-            a, c = forest(cid[i], cid[j])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(some.size, np.int32), np.ones(a.size, np.int32)])), pa.array(np.concatenate([cid[some], a])), pa.array(np.concatenate([links[some].astype(np.int64), c]))],
-                names=["kind", "a", "b"],
-            )
+def _sides(x: np.ndarray, ranges: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each block two matrices: the product of a left and a right row is minus the squared distance of their parts."""
+    out = []
+    for lo, hi, _ in ranges:
+        part = x[:, lo:hi]
+        norm, one = (part * part).sum(1, keepdims=True), np.ones((len(x), 1))
+        out.append((np.hstack((2 * part, -norm, -one)).astype(np.float32), np.hstack((part, one, norm)).astype(np.float32)))
+    return out
+
+
+def _joined(folder: str, kind: str, cosine: float, blocks: int):
+    """kind, a, b of units (dim and the places of two chunks): 0, a class, links that it has; 1, two classes that are linked."""
 
     def run(batches):
-        held, last = [], None
+        store, root = fs.FileSystem.from_uri(folder)
+        turned, known = {}, {}
+
+        def chunk(file, offset, rows, dim):
+            if (file, offset) not in known:
+                if len(known) > 1:
+                    known.pop(next(iter(known)))
+                with store.open_input_file(f"{root}/{file}") as source:
+                    data = source.read_at(rows * (16 + dim * np.dtype(kind).itemsize), offset)
+                cid, n = np.frombuffer(data, np.int64, 2 * rows).reshape(2, rows)
+                raw = np.frombuffer(data, kind, rows * dim, 16 * rows).reshape(rows, dim).astype(np.float64)
+                if dim not in turned:
+                    turned.clear()
+                    turned[dim] = rotation(dim)
+                norm = np.linalg.norm(raw, axis=1)
+                x = raw / norm[:, None] @ turned[dim]
+                known[file, offset] = (cid, n, raw, norm, x.astype(np.float32), _sides(x, _radii(dim, blocks, cosine)))
+            return known[file, offset]
+
+        def unit(dim, one, two):
+            ranges, near = _radii(dim, blocks, cosine), 1e-5 + 1e-6 * dim  # near: above the errors of single precision
+            first, second = chunk(*one, dim), chunk(*two, dim)
+            links, edges = [np.zeros(len(first[0])), np.zeros(len(second[0]))], []
+            for p in range(0, len(first[0]), TILE):
+                for q in range(p if one == two else 0, len(second[0]), TILE):
+                    a, b = slice(p, p + TILE), slice(q, q + TILE)
+                    found = None
+                    for (left, _), (_, right), (_, _, budget) in zip(first[5], second[5], ranges, strict=True):
+                        within = left[a] @ right[b].T >= -budget - near
+                        found = within if found is None else np.logical_or(found, within, out=found)
+                    if one == two and p == q:
+                        found = np.triu(found, 1)
+                    i, j = np.divmod(np.flatnonzero(found), found.shape[1])
+                    if not i.size:
+                        continue
+                    # in single precision most are beyond doubt; the others are told in double precision
+                    c = (first[4][a] @ second[4][b].T)[i, j] if i.size > 4096 else np.full(i.size, cosine, np.float32)
+                    i, j, yes, doubt = i + p, j + q, c >= cosine + near, np.abs(c - cosine) < 2 * near
+                    for s in range(0, (at := np.flatnonzero(doubt)).size, 4096):
+                        k = at[s : s + 4096]
+                        yes[k] = np.einsum("ij,ij->i", first[2][i[k]], second[2][j[k]]) / (first[3][i[k]] * second[3][j[k]]) >= cosine
+                    i, j = i[yes], j[yes]
+                    if i.size:
+                        links[0] += np.bincount(i, second[1][j], len(first[0]))
+                        links[1] += np.bincount(j, first[1][i], len(second[0]))
+                        edges.append(forest(first[0][i], second[0][j]))
+            if not edges:
+                return None
+            cid, more = np.concatenate((first[0], second[0])), np.concatenate(links).astype(np.int64)
+            a, b = forest(*map(np.concatenate, zip(*edges, strict=True)))
+            some = np.flatnonzero(more)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([0, 1], np.int32), (some.size, a.size))), pa.array(np.concatenate((cid[some], a))), pa.array(np.concatenate((more[some], b)))], names=["kind", "a", "b"])
+
         for batch in batches:
-            key = batch.column("unit").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if key.size else []
-            for lo, hi in zip(cuts, [*cuts[1:], key.size], strict=True):
-                if held and key[lo] != last:
-                    yield from unit(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-                last = key[lo]
-        if held:
-            yield from unit(pa.Table.from_batches(held))
+            for dim, *places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (made := unit(dim, tuple(places[:3]), tuple(places[3:]))) is not None:
+                    yield made
 
     return run
 
@@ -149,36 +181,43 @@ def near_dedup(vectors: DataFrame, cosine: float = 0.93, blocks: int = 4) -> Dat
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     sound = (F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    good = vectors.where(sound & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")  # numbers stay as they were written
-    count = classes.count()
-    grid = min(3, max(1, math.ceil(math.log(max(1, count) / 100_000, 5))))
-    kind = classes.schema["embedding"].dataType.simpleString()
-    cells = materialize(
-        classes.select("cid", "n", "label", "embedding").mapInArrow(_cells(cosine, blocks, grid), f"cell long, home boolean, block int, label long, cid long, n long, embedding {kind}"),
-        "cells",
-    )
-    large = cells.groupBy("cell").agg(F.count("*").alias("m")).where(F.col("m") > UNIT).select("cell", F.ceil(F.col("m") / UNIT).cast("long").alias("parts"))
-    split = cells.join(large, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    mine = F.pmod(F.xxhash64("cid"), F.col("parts"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    both = split.withColumn("mine", mine).withColumn("other", other)
-    names = ["home", "block", "label", "cid", "n", "embedding"]
-    left = both.where("home").select(F.xxhash64("cell", "mine", "other").alias("unit"), F.lit(0).alias("side"), *names)
-    right = both.select(F.xxhash64("cell", "other", "mine").alias("unit"), F.lit(1).alias("side"), *names)
-    dealt = left.unionByName(right).repartition(partitions(spark), "unit").sortWithinPartitions("unit")
-    found = materialize(dealt.mapInArrow(_verify(cosine, blocks), "kind int, a long, b long"), "links")
+    sound = sound & F.col("vec_id").isNotNull()
+    # two hashes stand for a label and a vector
+    keys = [F.xxhash64("label", "embedding").alias("k1"), F.xxhash64("embedding", "label").alias("k2")]
+    rows = vectors.select("vec_id", "embedding", F.col("label").cast("long").alias("label"), sound.alias("sound"))
+    good = rows.where("sound").select("vec_id", "label", "embedding")
+    kind = "float32" if dict(vectors.dtypes)["embedding"] == "array<float>" else "float64"
+    # how many parts a label's classes are dealt into; few labels have more than one
+    most = F.least(F.lit(UNIT), F.greatest(F.lit(64), F.floor(F.lit(VALUES) / F.col("dim")))) * 3 / 4
+    sizes = good.select("label", F.size("embedding").alias("dim"), *keys).distinct().groupBy("label", "dim").agg(F.count("*").alias("m"))
+    large = materialize(sizes.where(F.col("m") > most).select("label", "dim", F.ceil(F.col("m") / most).cast("long").alias("parts")), "sizes")
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).select("*", *keys).withColumn("dim", F.size("embedding"))
+    dealt = classes.join(F.broadcast(large), ["label", "dim"], "left").withColumn("part", F.coalesce(F.pmod("k2", "parts"), F.lit(0).cast("long"))).drop("parts")
+    dealt = dealt.repartition(partitions(spark), "label", "dim", "part").sortWithinPartitions("label", "dim", "part")
+    folder = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    written = materialize(dealt.withColumn("least", F.col("least").cast("long")).mapInArrow(_written(folder, kind), CHUNKED), "classes")
+    places = ["file", "offset", "rows"]
+    index = materialize(written.select("label", "dim", *places).distinct(), "index")
+    other = index.select("label", "dim", *[F.col(c).alias(f"{c}_2") for c in places])
+    units = index.join(other, ["label", "dim"]).where("struct(file, offset) <= struct(file_2, offset_2)").select("dim", *places, *[f"{c}_2" for c in places])
+    found = materialize(units.repartition(partitions(spark)).mapInArrow(_joined(folder, kind, cosine, blocks), "kind int, a long, b long"), "links")
+    _removed(spark, folder)
     links = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("more"))
     label = materialize(components(found.where("kind = 1").select("a", "b")).select(F.col("node").alias("cid"), F.col("label").alias("part")), "parts")
-    lowest = label.join(classes.select("cid", "least"), "cid").groupBy("part").agg(F.min("least").alias("root"))
+    lowest = label.join(written.select("cid", "least"), "cid").groupBy("part").agg(F.min("least").alias("root"))
     roots = label.join(materialize(lowest, "lowest"), "part").select("cid", "root")
-    named = classes.join(links, "cid", "left").join(roots, "cid", "left")
-    named = named.select("label", "embedding", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("root", "least").alias("root"))
-    out = vectors.select("vec_id", "embedding", F.when(sound & F.col("vec_id").isNotNull(), F.col("label").cast("long")).alias("label"))
-    out = out.join(named, ["label", "embedding"], "left")
+    named = written.join(links, "cid", "left").join(roots, "cid", "left")
+    named = named.select("k1", "k2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("root", "least").alias("root"))
+    out = rows.select("vec_id", *[F.when(F.col("sound"), k).alias(c) for c, k in zip(("k1", "k2"), keys, strict=True)]).join(named, ["k1", "k2"], "left")
     return out.select("vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), (F.coalesce("root", "vec_id") == F.col("vec_id")).alias("kept"))
 
 
+def _removed(spark: SparkSession, folder: str) -> None:
+    """Removes chunks that no later plan reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "embeddings"))
