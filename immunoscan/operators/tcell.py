@@ -5,16 +5,21 @@ Scores stay in the sequence's own arrays until the last step, in thousandths, so
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import matrices as M
 from . import arrays as R
-from .arrays import codes_of, pieces_of, window_sums
+from .arrays import codes_of, pieces_of, rounded, window_sums
 from .peptides import ic50_of, percentile_of
 from .tracks import held, letters, upto
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 
 def class_one(seqs: DataFrame, alleles: list[str], k: int = 9) -> DataFrame:
     """``letters`` with an array of window scores for each allele, named by it."""
@@ -155,11 +160,6 @@ def reference_percentile(peptides: DataFrame, reference: DataFrame) -> DataFrame
     return peptides.join(share, "score")
 
 
-def cleavage(code: str = "code") -> Column:
-    """Scores of the places 7 to n - 6 of a sequence."""
-    return M.window_scores(code, M.sparse(M.CLEAVAGE, -6, 6))
-
-
 def scaled(df: DataFrame, *names: str) -> DataFrame:
     """The named arrays scaled to 0..1 between their least and greatest value; 0.5 where these are equal."""
     ends = {f"{e}_{n}": f(F.col(f"`{n}`")) for n in names for e, f in (("low", F.array_min), ("high", F.array_max))}
@@ -168,14 +168,27 @@ def scaled(df: DataFrame, *names: str) -> DataFrame:
     return out.withColumns({n: step(n) for n in names}).drop(*ends)
 
 
+def to_unit(scores: np.ndarray) -> np.ndarray:
+    """Whole numbers scaled to 0..1 between their least and greatest; 0.5 where these are equal."""
+    low, high = (int(scores.min()), int(scores.max())) if len(scores) else (0, 0)
+    return (scores - low) / (high - low) if high > low else np.full(len(scores), 0.5)
+
+
 def processing(seqs: DataFrame, allele: str, k: int = 9, weights: tuple[float, float, float] = (0.6, 0.2, 0.2)) -> DataFrame:
-    """seq_id, start, mhc, tap, cleavage, combined of each window: weighted sum of the scaled scores, with the cleavage at
-    the window's last letter, 0 before scaling where that has none."""
-    out = held(letters(seqs).withColumns({"m_": M.window_scores("code", M.anchored(M.CLASS_ONE[allele], k)), "t_": M.window_scores("code", M.transport(k)), "k_": cleavage()}))
-    out = out.withColumn("c_", F.transform(upto(F.col("n") - k + 1), lambda i: F.coalesce(F.get("k_", i + k - 8), F.lit(0))))
-    each = exploded(scaled(out, "m_", "t_", "c_"), mhc=F.col("m_"), tap=F.col("t_"), cleavage=F.col("c_"))
+    """seq_id, start, combined of each window to six decimals, and whether it is 0.5 at least: the weighted sum of the scaled scores of binding, transport,
+    and cleavage at the window's last letter, 0 before scaling where that has none."""
+    binding, tap, cut = M.anchored(M.CLASS_ONE[allele], k), M.transport(k), M.sparse(M.CLEAVAGE, -6, 6)
     m, t, c = weights
-    return each.withColumn("combined", m * F.col("mhc") + t * F.col("tap") + c * F.col("cleavage"))
+
+    def rows(seq):
+        codes, size = codes_of(seq), max(0, len(seq) - k + 1)
+        cuts, ends = window_sums(codes, cut), np.zeros(size, np.int64)
+        at = np.arange(max(0, 7 - k), min(size, len(cuts) + 7 - k))  # place j of the cuts, from 0, is that of letter j + 7
+        ends[at] = cuts[at + k - 7]
+        combined = m * to_unit(window_sums(codes, binding)) + t * to_unit(window_sums(codes, tap)) + c * to_unit(ends)
+        return [np.arange(1, size + 1), rounded(combined), rounded(combined, 9) >= 0.5]
+
+    return R.exploded(seqs, ["seq_id"], "start long, combined double, called boolean", rows)
 
 
 def spread_scores(scores: str, k: int, n: str = "n") -> Column:

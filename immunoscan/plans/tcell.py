@@ -128,8 +128,7 @@ def d23_scaled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d24_processing(spark: SparkSession, d: str) -> DataFrame:
-    out = T.processing(X.sequences(spark, d), ONE[0])
-    return out.select("seq_id", "start", F.round("combined", 6).alias("combined"), (F.round("combined", 9) >= 0.5).alias("called"))
+    return T.processing(X.sequences(spark, d), ONE[0])
 
 
 def d25_spread(spark: SparkSession, d: str) -> DataFrame:
