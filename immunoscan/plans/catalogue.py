@@ -54,7 +54,7 @@ def b1_residues(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def b3_linear_track(spark: SparkSession, d: str) -> DataFrame:
-    return T.track(X.sequences(spark, d), LINEAR).select("seq_id", "method", "pos", "score")
+    return T.scored_places(X.sequences(spark, d), LINEAR)
 
 
 @query
