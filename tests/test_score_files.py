@@ -31,6 +31,14 @@ def test_scores_come_back_from_files_of_bounded_size(spark, monkeypatch):
         assert got.columns == wide.columns and sorted((tuple(r) for r in got.collect()), key=str) == want
 
 
+def test_numbers_are_rounded_as_spark_does(spark):
+    values = [0.0, 0.00005, 0.00015, -0.00005, 9.99995, 10.00005, -10.00005, 12.34565, 9.9999, 123456.654321, 1.0, None]
+    rows = [(1, i + 1, "A", v, None, 0.5, v, -1.25) for i, v in enumerate(values)]
+    wide = spark.createDataFrame(rows, "seq_id long, pos long, aa string, " + ", ".join(f"{m.replace('-', '_')} double" for m in T.ALL))
+    want = sorted((tuple(r) for r in wide.select("seq_id", "pos", "aa", *[F.round(c, 4) for c in wide.columns[3:]]).collect()), key=str)
+    assert sorted((tuple(r) for r in files.read_scores(spark, files.write_scores(wide)).collect()), key=str) == want
+
+
 def test_a_task_that_runs_again_replaces_its_files(spark, tmp_path):
     wide = T.aligned(_seqs(spark, [40, 60])).coalesce(1)
     write = lambda: wide.mapInArrow(files._scores_writer(f"file://{tmp_path}"), files.WRITTEN).agg(F.sum("rows")).first()[0]
